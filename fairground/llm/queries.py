@@ -23,6 +23,21 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairground.llm.langid import fit, held_out, predict
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out(docs["doc_id"])))
+    found = predict(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairground.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), k=5, similarity=0.75)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairground.llm.chat import format_chat, read_back
 
@@ -35,6 +50,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op6_sharding": op6_sharding,
+    "op8_language_id": op8_language_id,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
