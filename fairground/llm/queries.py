@@ -17,6 +17,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairground.llm.html_mincut import extract
+
+    return extract(_read(spark, sf_dir, "pages"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairground.llm.decontam import leaks
+
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=5, containment=0.75)
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairground.llm.embed_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairground.llm.sharding import shard
 
@@ -49,6 +67,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_decontamination": op4_decontamination,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_sharding": op6_sharding,
     "op8_language_id": op8_language_id,
     "op9_minhash_dedup": op9_minhash_dedup,
@@ -56,7 +77,19 @@ QUERIES = {
 }
 
 _ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;')"
+_WORDS = "list_filter(string_split_regex(lower(text), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+'), lambda w: w <> '')"
+_SHINGLES = """SELECT DISTINCT {0}, CASE WHEN n < 5 THEN array_to_string(all_words, ' ') ELSE concat_ws(' ', w, w1, w2, w3, w4) END AS g
+  FROM (SELECT *, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2, lead(w, 3) OVER p AS w3, lead(w, 4) OVER p AS w4
+    FROM (SELECT {0}, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n, CASE WHEN len(w) < 5 THEN w END AS all_words
+      FROM (SELECT {0}, {1} AS w FROM {2})) WINDOW p AS (PARTITION BY {0} ORDER BY i)) WHERE n < 5 OR w4 IS NOT NULL"""
 ORACLE_SQL = {
+    "op4_decontamination": f"""
+WITH d AS ({_SHINGLES.format('doc_id', _WORDS, 'documents')}), b AS ({_SHINGLES.format('item_id', _WORDS, 'benchmark')}),
+n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, any_value(item_shingles)::BIGINT AS item_shingles,
+  count(*) / any_value(item_shingles)::DOUBLE AS containment
+FROM d JOIN b USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id
+HAVING count(*) >= 0.75 * any_value(item_shingles)""",
     "op10_chat_formatting": f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
