@@ -17,7 +17,7 @@ from fairground.llm.common import Forest, connected_components, groups_in_order,
 #: probability 1/4, TREES of them with 1.5e-5.
 TREES, TOKENS = 8, 48
 #: Nodes up to this size are compared exhaustively; larger ones branch again.
-LEAF = 256
+LEAF = 2048
 #: Levels after which what is left of a large node is compared block against block.
 LEVELS = 16
 #: Of 1/similarity branches wanted at each node, the share of nodes that take a second one.
@@ -116,16 +116,21 @@ def _confirm(batches, k: int, similarity: float):
         rows, sets = zip(*[(i, s) for i, s in zip(rows, sets, strict=True) if len(s)], strict=True)
         n = np.array([len(s) for s in sets])
         tokens = np.array([minhash(s, mult).view(np.int32) for s in sets])
+        pairs = [(np.full(len(js), i), js) for i, js in _partners(g["tree"][0], tokens, n, np.array([g["big"][r] for r in rows]), least, similarity)]
+        if not pairs:
+            continue
+        left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        # the likeliest first: they connect most rows, and what is connected needs no comparison
+        likely = np.argsort(-(tokens[left] == tokens[right]).sum(1), kind="stable")
         forest = Forest(len(rows))
-        for i, js in _partners(g["tree"][0], tokens, n, np.array([g["big"][r] for r in rows]), least, similarity):
-            for j in js.tolist():
-                if forest.root(i) == forest.root(j):
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
-                    forest.join(i, j)
-                    a.append(g["rep"][rows[i]])
-                    b.append(g["rep"][rows[j]])
+        for i, j in zip(left[likely].tolist(), right[likely].tolist(), strict=True):
+            if forest.root(i) == forest.root(j):
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                forest.join(i, j)
+                a.append(g["rep"][rows[i]])
+                b.append(g["rep"][rows[j]])
     yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -153,7 +158,7 @@ def _leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         leaves = leaves.union(nodes.where(F.col("rows") <= LEAF).select("node", F.lit(-1).alias("tree"), "rep"))
         large = nodes.where(F.col("rows") > LEAF).select("node", "rep")
     # what is still large agrees on LEVELS chosen tokens: every block of it against every other
-    blocks = nodes.where(F.col("rows") > LEAF).withColumn("blocks", F.ceil(F.col("rows") / F.lit(LEAF // 4)).cast("int"))
+    blocks = nodes.where(F.col("rows") > LEAF).withColumn("blocks", F.ceil(F.col("rows") / F.lit(LEAF // 2)).cast("int"))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     leaf = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
@@ -174,8 +179,9 @@ def near_links(docs: DataFrame, profiled: DataFrame, k: int = 5, similarity: flo
     rows = rows.repartition("leaf").sortWithinPartitions("leaf")
     clusters = scratch(rows.mapInArrow(partial(_screen, similarity=similarity), "cluster string, rep long, tree int, big int"), "clusters")
     texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].cast("string").alias("text"))
-    wanted = texts.join(clusters.select("rep").distinct(), "rep", "left_semi")
-    grouped = clusters.join(wanted, "rep").select("cluster", "tree", "rep", "big", "text").repartition("cluster").sortWithinPartitions("cluster")
+    # neither side of these joins has a size bound, so none is broadcast, at any size
+    wanted = texts.join(clusters.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    grouped = clusters.hint("merge").join(wanted, "rep").select("cluster", "tree", "rep", "big", "text").repartition("cluster").sortWithinPartitions("cluster")
     return grouped.mapInArrow(partial(_confirm, k=k, similarity=similarity), "a long, b long")
 
 
