@@ -17,6 +17,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairground.llm.pii import digest
+
+    return digest(_read(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairground.llm.html_mincut import extract
 
@@ -41,6 +47,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairground.llm.licenses import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairground.llm.langid import fit, held_out, predict
 
@@ -67,10 +79,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_pii": op2_pii,
     "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_sharding": op6_sharding,
+    "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_chat_formatting": op10_chat_formatting,
