@@ -105,25 +105,38 @@ def _lookup(keys: np.ndarray, items: np.ndarray, probe: np.ndarray) -> set[int]:
     return {int(i) for a, b in zip(lo, hi, strict=True) for i in items[a:b]}
 
 
+def _found(text: str | None, index: Index, containment: float):
+    """Items that the text holds: their place in the index, shingles shared, shingles in all."""
+    shingles = window_hashes(plain_words(text), index.k)
+    found = index.candidates(shingles) if len(shingles) else ()
+    if found:
+        own = np.unique(shingles)
+        for at in sorted(found):
+            s = index.sets[at]
+            shared = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
+            if shared >= containment * len(s):
+                yield at, shared, len(s)
+
+
 def _search(batches, index: Index, containment: float):
     for batch in batches:
         out = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            shingles = window_hashes(plain_words(text), index.k)
-            if not len(shingles):
-                continue
-            found = index.candidates(shingles)
-            if found:
-                own = np.unique(shingles)
-                for at in sorted(found):
-                    s = index.sets[at]
-                    shared = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
-                    if shared >= containment * len(s):
-                        out.append((doc_id, index.ids[at], shared, len(s), shared / len(s)))
+            out += [(doc_id, index.ids[at], shared, n, shared / n) for at, shared, n in _found(text, index, containment)]
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.record_batch([pa.array(cols[i], pa.int64()) for i in range(4)] + [pa.array(cols[4], pa.float64())], names=["doc_id", "item_id", "n_shared", "item_shingles", "containment"])
 
 
+def _indexes(benchmark: DataFrame, k: int, item_col: str, item_text_col: str):
+    """The indexes of all items, in blocks of bounded size."""
+    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text"))
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-rows * 2 // BLOCK_ITEMS), -(-size * 2 // BLOCK_BYTES))
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        yield Index([tuple(r) for r in block], k)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, containment: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item that it holds: at least `containment` of the item's
     distinct k-word shingles are among the document's, counted exactly on the whole text.
@@ -137,15 +150,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, containment: float
     Null and empty texts and items hold and match nothing. Repeated documents come out as often as they
     are in, repeated items too. Null ids are kept as null. Empty tables give an empty result. Other
     columns are ignored."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text"))
-    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-rows * 2 // BLOCK_ITEMS), -(-size * 2 // BLOCK_BYTES))
+    small_batches(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     found = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        part = texts.mapInArrow(partial(_search, index=Index([tuple(r) for r in block], k), containment=containment), SCHEMA)
+    for index in _indexes(benchmark, k, item_col, item_text_col):
+        part = texts.mapInArrow(partial(_search, index=index, containment=containment), SCHEMA)
         found = part if found is None else found.union(part)
     return found
+
+
+def _without(batches, index: Index, containment: float):
+    for batch in batches:
+        clean = [next(_found(text, index, containment), None) is None for text in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(clean, pa.bool_()))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, containment: float = 0.75, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no item of the benchmark in the sense of leaks().
+
+    Rows are judged where they lie, one pass for each block of items; nothing is shuffled or joined."""
+    small_batches(docs.sparkSession)
+    for index in _indexes(benchmark, k, item_col, item_text_col):
+        docs = docs.withColumn("_text_", F.col(text_col).cast("string")).mapInArrow(partial(_without, index=index, containment=containment), docs.schema)
+    return docs

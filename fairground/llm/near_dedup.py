@@ -215,3 +215,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.75, id_co
     component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each group the one with the smallest
+    id stays. Rows without an id or without words are of no group and all stay; of several rows with
+    one id, the one with the smallest text stays."""
+    near = near_duplicates(docs, k, similarity, id_col, text_col).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.where(docs[id_col].isNotNull())
+    twice = named.groupBy(id_col).agg(F.count("*").alias("rows_"), F.min(text_col).alias("least_")).where("rows_ > 1")
+    kept = named.join(near.hint("merge"), named[id_col].cast("long") == near["doc_id"], "left_semi")
+    once = kept.join(twice.select(id_col).hint("merge"), id_col, "left_anti").select(docs.columns)
+    if not twice.isEmpty():
+        again = kept.join(twice.hint("merge"), id_col).where(F.col(text_col).eqNullSafe(F.col("least_"))).select(docs.columns)
+        once = once.union(again.dropDuplicates([id_col]))
+    return once.union(docs.where(docs[id_col].isNull()))
