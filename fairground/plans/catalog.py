@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from fairground.plans import booth
+from fairground.plans import booth, kiosk, ordered, spatial
 
-QUERIES = {**booth.QUERIES}
-ORACLE_SQL = {**booth.ORACLE_SQL}
+_MODULES = (booth, kiosk, ordered, spatial)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
