@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections import deque
 from functools import partial
 
@@ -30,6 +32,8 @@ _TOKENIZERS: dict[str, tuple] = {}
 def _tokenizer(path: str):
     """The tokenizer, its remembered words, and which ids end a sentence; once per worker."""
     if path not in _TOKENIZERS:
+        # tasks share the cores already; threads of the library's own would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -48,7 +52,7 @@ def encode(texts: list, path: str) -> list[np.ndarray]:
     if len(known) > REMEMBERED_WORDS:
         known.clear()
         known[""] = b""
-    missing = {w for ws in words for w in ws if w not in known}
+    missing = set().union(*words).difference(known)
     split, plain = {}, set()
     for w in missing:
         if len(w) > 1 and w[-1] in ".," and w[-2].isalpha():
@@ -58,7 +62,7 @@ def encode(texts: list, path: str) -> list[np.ndarray]:
             plain.add(w)
     plain = [w for w in plain if w not in known]
     for w, e in zip(plain, tok.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        known[w] = array("I", e.ids).tobytes()
     for w, stem in split.items():
         known[w] = known[stem] + known[w[-1]]
     return [np.frombuffer(b"".join(map(known.__getitem__, ws)), dtype="<u4") for ws in words]
