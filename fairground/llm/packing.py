@@ -25,12 +25,14 @@ STEP = 48
 BLOCK_WINDOWS, HELD_WINDOWS = 128, 6
 #: Words whose ids a Python worker remembers.
 REMEMBERED_WORDS = 600_000
+#: New words of letters only that are encoded in one call; the ids that end words tell them apart.
+WORDS_AT_ONCE = 1000
 
 _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer, its remembered words, and which ids end a sentence; once per worker."""
+    """The tokenizer, its remembered words, which ids end a sentence and which a word; once per worker."""
     if path not in _TOKENIZERS:
         # tasks share the cores already; threads of the library's own would only wait for each other
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,14 +42,16 @@ def _tokenizer(path: str):
         vocab = tok.get_vocab()
         ends = np.zeros(max(vocab.values()) + 2, dtype=bool)
         ends[[i for t, i in vocab.items() if re.fullmatch(r"""[.!?]+["')\]]*(</w>)?""", t)]] = True
-        _TOKENIZERS[path] = (tok, {"": b""}, ends)
+        word_ends = np.zeros(len(ends), dtype=bool)
+        word_ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        _TOKENIZERS[path] = (tok, {"": b""}, ends, word_ends)
     return _TOKENIZERS[path]
 
 
 def encode(texts: list, path: str) -> list[np.ndarray]:
     """The ids of every whole text. Words between blanks and line feeds are encoded one by one and
     remembered: the tokenizer never joins over white space, so the ids are those of the text."""
-    tok, known, _ = _tokenizer(path)
+    tok, known, _, word_ends = _tokenizer(path)
     words = [(t or "").replace("\n", " ").split(" ") for t in texts]
     if len(known) > REMEMBERED_WORDS:
         known.clear()
@@ -61,7 +65,18 @@ def encode(texts: list, path: str) -> list[np.ndarray]:
         else:
             plain.add(w)
     plain = [w for w in plain if w not in known]
-    for w, e in zip(plain, tok.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+    letters = [w for w in plain if w.isalpha()]
+    rest = [w for w in plain if not w.isalpha()]
+    chunks = [letters[i : i + WORDS_AT_ONCE] for i in range(0, len(letters), WORDS_AT_ONCE)]
+    for chunk, e in zip(chunks, tok.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, dtype="<u4")
+        last = np.flatnonzero(word_ends[ids]) + 1
+        if len(last) != len(chunk):  # a word that the tokenizer takes for several
+            rest += chunk
+            continue
+        raw, bounds = ids.tobytes(), [0, *(4 * last).tolist()]
+        known.update((w, raw[a:b]) for w, a, b in zip(chunk, bounds, bounds[1:], strict=False))
+    for w, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
         known[w] = array("I", e.ids).tobytes()
     for w, stem in split.items():
         known[w] = known[stem] + known[w[-1]]
@@ -124,7 +139,7 @@ def _candidates(ids: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray, window:
 
 
 def _pack_partition(batches, path: str, window: int, end_id: int):
-    _, _, ends = _tokenizer(path)
+    _, _, ends, _ = _tokenizer(path)
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     made, held, docs = 0, [], []  # held: arrays of ids; docs: doc_id, tokens, position of its first token
     size = 0
