@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fairground.plans import booth, kiosk, ordered, spatial
+from fairground.plans import booth, kiosk, ordered, spatial, tracking
 
-_MODULES = (booth, kiosk, ordered, spatial)
+_MODULES = (booth, kiosk, ordered, spatial, tracking)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
