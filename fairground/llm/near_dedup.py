@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,40 @@ from fairground.llm.common import Forest, connected_components, groups_in_order,
 #: them are the first choices of the trees. At Jaccard 0.75 one tree's first choice misses a pair with
 #: probability 1/4, TREES of them with 1.5e-5.
 TREES, TOKENS = 8, 48
-#: Nodes up to this size are compared exhaustively; larger ones branch again.
-LEAF = 2048
-#: Levels after which what is left of a large node is compared block against block.
-LEVELS = 16
+#: Rows that meet in a task. Nodes up to WHOLE times this size are compared exhaustively, block against
+#: block; larger ones branch again, as often as _replicas() says.
+LEAF, WHOLE = 2048, 4
+#: Levels after which what is left of a large node is compared block against block, whatever its size.
+LEVELS = 8
 #: Of 1/similarity branches wanted at each node, the share of nodes that take a second one.
 SECOND_BRANCH = 3
+#: Bound on the chance that no leaf holds a pair of the wanted similarity.
+MISS = 1e-4
+
+
+def _missed(depth: int, replicas: int, similarity: float) -> float:
+    """The chance that no leaf holds a pair of this similarity if its first nodes all branch to this depth.
+
+    A branching process for each number of equal tokens that the pair can have, since all paths of a
+    pair choose among the same tokens."""
+    n = TOKENS - TREES
+    equal = np.arange(n + 1) / n
+    weight = np.array([comb(n, i) * similarity**i * (1 - similarity) ** (n - i) for i in range(n + 1)])
+    second, lost = (1 - 1 / n) / SECOND_BRANCH, np.zeros(n + 1)
+    for _ in range(depth):
+        branch = 1 - equal + equal * lost
+        lost = (1 - second) * branch + second * branch**2
+    return float((weight * (1 - similarity + similarity * lost**replicas) ** TREES).sum())
+
+
+def _replicas(depth: int, similarity: float) -> int:
+    """How often every large first node has to branch anew for MISS to hold at this depth."""
+    n = 1
+    while depth and _missed(depth, n, similarity) > MISS:
+        n += 1
+    return n
+
+
 #: Equal tokens that a pair needs to be worth an exact comparison: 25 of 48 when the similarity is
 #: 0.75, 3.7 standard deviations below the mean.
 def _least_tokens(similarity: float) -> int:
@@ -53,12 +82,15 @@ def profiles(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(partial(_profiles, k=k), _PROFILE)
 
 
-def _partners(tree: int, tokens: np.ndarray, n: np.ndarray, big: np.ndarray, least: int, similarity: float):
+def _partners(tree: int, tokens: np.ndarray, n: np.ndarray, big: np.ndarray, side: np.ndarray, least: int, similarity: float):
     """For each row of a leaf the later rows worth an exact comparison here: enough equal tokens, sizes
-    that allow the similarity, and no earlier tree whose first choice puts both in one leaf."""
+    that allow the similarity, not of the same of two blocks (side; -1 in a leaf of one block), and no
+    earlier tree that compares both by its first choice."""
     for i in range(len(n) - 1):
         same = tokens[i + 1 :] == tokens[i]
         ok = (same.sum(1) >= least) & (np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]))
+        if side[i] >= 0:
+            ok &= side[i + 1 :] != side[i]
         if not ok.any():
             continue
         earlier = TREES if tree < 0 else tree
@@ -74,13 +106,13 @@ def _screen(batches, similarity: float):
     """Leaves in, clusters out: the rows that have a partner in their leaf, named by the smallest row
     that such partners connect them with."""
     least = _least_tokens(similarity)
-    out = {c: [] for c in ("cluster", "rep", "tree", "big")}
-    for g in groups_in_order(batches, "leaf", ["leaf", "tree", "rep", "n", "big", "tokens"]):
+    out = {c: [] for c in ("cluster", "rep", "tree", "big", "side")}
+    for g in groups_in_order(batches, "leaf", ["leaf", "tree", "rep", "n", "big", "side", "tokens"]):
         if len(g["rep"]) < 2:
             continue
         forest = Forest(len(g["rep"]))
         tokens = np.array(g["tokens"], dtype=np.int32)
-        for i, js in _partners(g["tree"][0], tokens, np.array(g["n"]), np.array(g["big"]), least, similarity):
+        for i, js in _partners(g["tree"][0], tokens, np.array(g["n"]), np.array(g["big"]), np.array(g["side"]), least, similarity):
             for j in js.tolist():
                 forest.join(i, j)
         roots = [forest.root(i) for i in range(len(g["rep"]))]
@@ -91,6 +123,7 @@ def _screen(batches, similarity: float):
                 out["rep"].append(g["rep"][i])
                 out["tree"].append(g["tree"][i])
                 out["big"].append(g["big"][i])
+                out["side"].append(g["side"][i])
         if len(out["rep"]) > 4096:
             yield _screened(out)
             out = {c: [] for c in out}
@@ -98,7 +131,7 @@ def _screen(batches, similarity: float):
 
 
 def _screened(out: dict) -> pa.RecordBatch:
-    kinds = {"cluster": pa.string(), "rep": pa.int64(), "tree": pa.int32(), "big": pa.int32()}
+    kinds = {"cluster": pa.string(), "rep": pa.int64(), "tree": pa.int32(), "big": pa.int32(), "side": pa.int32()}
     return pa.record_batch({c: pa.array(out[c], kinds[c]) for c in kinds})
 
 
@@ -107,7 +140,7 @@ def _confirm(batches, k: int, similarity: float):
     least, mult = _least_tokens(similarity), seeds(TOKENS)
     num, den = round(similarity * 100), 100
     a, b = [], []
-    for g in groups_in_order(batches, "cluster", ["cluster", "tree", "rep", "big", "text"]):
+    for g in groups_in_order(batches, "cluster", ["cluster", "tree", "rep", "big", "side", "text"]):
         first = {}
         for i, rep in enumerate(g["rep"]):
             first.setdefault(rep, i)
@@ -116,7 +149,8 @@ def _confirm(batches, k: int, similarity: float):
         rows, sets = zip(*[(i, s) for i, s in zip(rows, sets, strict=True) if len(s)], strict=True)
         n = np.array([len(s) for s in sets])
         tokens = np.array([minhash(s, mult).view(np.int32) for s in sets])
-        pairs = [(np.full(len(js), i), js) for i, js in _partners(g["tree"][0], tokens, n, np.array([g["big"][r] for r in rows]), least, similarity)]
+        big, side = np.array([g["big"][r] for r in rows]), np.array([g["side"][r] for r in rows])
+        pairs = [(np.full(len(js), i), js) for i, js in _partners(g["tree"][0], tokens, n, big, side, least, similarity)]
         if not pairs:
             continue
         left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
@@ -134,35 +168,55 @@ def _confirm(batches, k: int, similarity: float):
     yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(leaf, tree, rep) of all trees, and (rep, big): in which trees its first node was too large."""
-    first = reps.select("rep", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
-    first = first.select("rep", "tree", F.xxhash64("tree", "token").alias("node"))
-    counted = first.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1")
-    nodes = scratch(first.join(counted, "node"), "nodes")
-    big = nodes.where(F.col("rows") > LEAF).groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("big"))
-    leaves = nodes.where(F.col("rows") <= LEAF).select(F.col("node").alias("leaf"), "tree", "rep")
-    tokens = reps.select("rep", "tokens")
-    large = nodes.where(F.col("rows") > LEAF).select("node", "rep")
-    for level in range(1, LEVELS + 1):
-        if large.isEmpty():
-            return leaves, big
+def _compared(nodes: DataFrame) -> DataFrame:
+    """leaf, tree, side, rep: every pair of a node's rows in exactly one leaf of at most about LEAF rows."""
+    blocks = F.when(F.col("rows") > LEAF, F.ceil(F.col("rows") / F.lit(LEAF // 2))).otherwise(1).cast("int")
+    own = nodes.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    leaf = F.when(F.col("blocks") == 1, F.col("node")).otherwise(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+    return paired.select(leaf.alias("leaf"), F.col("tree").cast("int").alias("tree"), side.cast("int").alias("side"), "rep")
+
+
+def _branches(large: DataFrame, tokens: DataFrame) -> tuple[DataFrame | None, int]:
+    """_compared() of what (node, rep) branch into, and the depth of the deepest."""
+    leaves, depth = None, 0
+    while not large.isEmpty():
+        depth += 1
         # the node chooses tokens by its own hash, the same for all of its rows: one, or sometimes two
-        pick = lambda i: F.pmod(F.xxhash64("node", F.lit(level), F.lit(i)), F.lit(TOKENS - TREES)) + TREES  # noqa: E731, B023
-        picks = F.when(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(SECOND_BRANCH)) == 0, F.array(pick(0), pick(1))).otherwise(F.array(pick(0)))
+        pick = lambda i: F.pmod(F.xxhash64("node", F.lit(depth), F.lit(i)), F.lit(TOKENS - TREES)) + TREES  # noqa: E731, B023
+        picks = F.when(F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(SECOND_BRANCH)) == 0, F.array(pick(0), pick(1))).otherwise(F.array(pick(0)))
         branched = large.withColumn("at", F.explode(F.array_distinct(picks))).join(tokens, "rep")
-        branched = branched.select("rep", F.xxhash64("node", F.lit(level), "at", F.get("tokens", F.col("at").cast("int"))).alias("node"))
+        branched = branched.select("rep", F.xxhash64("node", F.lit(depth), "at", F.get("tokens", F.col("at").cast("int"))).alias("node"))
         branched = scratch(branched, "branches")
         counted = branched.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1")
-        nodes = scratch(branched.join(counted, "node"), "nodes")
-        leaves = leaves.union(nodes.where(F.col("rows") <= LEAF).select("node", F.lit(-1).alias("tree"), "rep"))
-        large = nodes.where(F.col("rows") > LEAF).select("node", "rep")
-    # what is still large agrees on LEVELS chosen tokens: every block of it against every other
-    blocks = nodes.where(F.col("rows") > LEAF).withColumn("blocks", F.ceil(F.col("rows") / F.lit(LEAF // 2)).cast("int"))
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    leaf = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    return leaves.union(paired.select(leaf.alias("leaf"), F.lit(-1).alias("tree"), "rep")), big
+        nodes = scratch(branched.join(counted, "node").withColumn("tree", F.lit(-1)), "nodes")
+        end = depth == LEVELS
+        found = _compared(nodes if end else nodes.where(F.col("rows") <= WHOLE * LEAF))
+        leaves = found if leaves is None else leaves.union(found)
+        if end:
+            break
+        large = nodes.where(F.col("rows") > WHOLE * LEAF).select("node", "rep")
+    return leaves, depth
+
+
+def _leaves(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(leaf, tree, side, rep) of all trees, and (rep, big): in which trees its first node was too large."""
+    first = reps.select("rep", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
+    first = first.select("rep", "tree", F.xxhash64("tree", "token").alias("node"))
+    counted = first.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1")
+    nodes = scratch(first.join(counted, "node"), "nodes")
+    big = nodes.where(F.col("rows") > WHOLE * LEAF).groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("big"))
+    leaves, tokens = _compared(nodes.where(F.col("rows") <= WHOLE * LEAF)), reps.select("rep", "tokens")
+    large = nodes.where(F.col("rows") > WHOLE * LEAF).select("node", "rep")
+    # how often to branch is known by the depth that branching took
+    done, depth = 0, 0
+    while done < (need := _replicas(depth, similarity)):
+        salted = F.explode(F.sequence(F.lit(done), F.lit(need - 1)))
+        more, deep = _branches(large.select("rep", "node", salted.alias("salt")).select(F.xxhash64("node", "salt").alias("node"), "rep"), tokens)
+        leaves = leaves if more is None else leaves.union(more)
+        done, depth = need, max(depth, deep)
+    return leaves, big
 
 
 def near_links(docs: DataFrame, profiled: DataFrame, k: int = 5, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,15 +227,15 @@ def near_links(docs: DataFrame, profiled: DataFrame, k: int = 5, similarity: flo
     usable = profiled.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     reps = scratch(reps.select("rep", "n", "tokens"), "representatives")
-    leaves, big = _leaves(reps)
+    leaves, big = _leaves(reps, similarity)
     known = reps.join(big, "rep", "left").select("rep", "n", F.coalesce("big", F.lit(0)).alias("big"), "tokens")
-    rows = leaves.join(known, "rep").select("leaf", F.col("tree").cast("int").alias("tree"), "rep", "n", F.col("big").cast("int").alias("big"), "tokens")
+    rows = leaves.join(known, "rep").select("leaf", "tree", "side", "rep", "n", F.col("big").cast("int").alias("big"), "tokens")
     rows = rows.repartition("leaf").sortWithinPartitions("leaf")
-    clusters = scratch(rows.mapInArrow(partial(_screen, similarity=similarity), "cluster string, rep long, tree int, big int"), "clusters")
+    clusters = scratch(rows.mapInArrow(partial(_screen, similarity=similarity), "cluster string, rep long, tree int, big int, side int"), "clusters")
     texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].cast("string").alias("text"))
     # neither side of these joins has a size bound, so none is broadcast, at any size
     wanted = texts.join(clusters.select("rep").distinct().hint("merge"), "rep", "left_semi")
-    grouped = clusters.hint("merge").join(wanted, "rep").select("cluster", "tree", "rep", "big", "text").repartition("cluster").sortWithinPartitions("cluster")
+    grouped = clusters.hint("merge").join(wanted, "rep").select("cluster", "tree", "rep", "big", "side", "text").repartition("cluster").sortWithinPartitions("cluster")
     return grouped.mapInArrow(partial(_confirm, k=k, similarity=similarity), "a long, b long")
 
 
@@ -194,9 +248,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.75, id_co
 
     Documents of the same word sequence are one representative, so a group of copies of any size is
     one row of the join. Representatives go down TREES independent trees: a node's rows are split by
-    the value of a minwise token that the node chooses; nodes of at most LEAF rows are screened by
-    their equal tokens and confirmed on the full sets. A pair is confirmed in the first tree whose leaf
-    holds both. No more than LEAF texts meet in a task at once.
+    the value of a minwise token that the node chooses; nodes of at most WHOLE * LEAF rows are screened
+    by their equal tokens, block against block, and confirmed on the full sets. A pair is confirmed in
+    the first tree that compares both. No more than about LEAF texts meet in a task at once. Larger
+    nodes branch, so often that no leaf holds a pair with probability MISS at most.
 
     Rows with null or blank text have an empty set, are linked with nothing and kept. A null id stays
     null, is linked with nothing and kept. Repeated rows share their id and component. An empty table

@@ -70,6 +70,21 @@ def test_large_nodes_branch(spark, monkeypatch):
     check_near(rows, {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()})
 
 
+def test_single_links_in_deep_nodes(spark, monkeypatch):
+    """A passage alone, and documents that share it: each has one link of 0.77, to the passage, in nodes
+    of many times the size of a leaf."""
+    monkeypatch.setattr(near_dedup, "LEAF", 8)
+    passage = [f"c{i}" for i in range(200)]
+    rows = {0: " ".join(passage)} | {i: " ".join(passage + [f"u{i}.{j}" for j in range(57)]) for i in range(1, 161)}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert len(check_near(rows, {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()})) == 160
+
+
+def test_miss_bound():
+    for depth in range(near_dedup.LEVELS + 1):
+        assert near_dedup._missed(depth, near_dedup._replicas(depth, 0.75), 0.75) <= near_dedup.MISS
+
+
 def check_vectors(rows, found):
     good = {i: np.array(v) for i, v in rows.items() if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     unit = {i: v / np.abs(v).max() for i, v in good.items()}
