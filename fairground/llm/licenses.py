@@ -28,10 +28,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
 ]
 
-#: Words of a file that are looked up, the rarest first; share of a notice's weight that must align.
-RARE_WORDS, COVERAGE = 64, 0.6
-#: A word is rare enough to be looked up if it is in at most this share of all files.
-COMMON_SHARE = 0.2
+#: Share of a notice's weight that must align.
+COVERAGE = 0.6
 
 _WORD, _GAP = r"[0-9A-Za-z\x{80}-\x{10FFFF}]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
@@ -72,7 +70,8 @@ def word_weights(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str
     counted = docs.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("files")).collect()
     files = {r["word"]: r["files"] for r in counted}
     total = files.pop("", 0)
-    return total, {w: log2((total + 1) / (files.get(w, 0) + 0.5)) for w in _vocabulary()}
+    # about 1 for a word of all files, never 0: no notice loses its words by how many files hold it
+    return total, {w: log2(1 + (total + 1) / (files.get(w, 0) + 0.5)) for w in _vocabulary()}
 
 
 def _by_label(match: Column) -> Column:
@@ -83,10 +82,10 @@ def _by_label(match: Column) -> Column:
     return label
 
 
-def _aligned(rows: DataFrame, weights: dict[str, float], total: int) -> DataFrame:
+def _aligned(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     """h, labels (array), score: files by their text, with the notices that stand in them.
 
-    A file's rarest licence words are looked up in the postings; where a word of the file and a word of
+    A file's licence words are looked up in the postings; where a word of the file and a word of
     a notice meet, their positions differ by where the notice begins. The words that agree on a notice
     and its beginning are weighed against the whole notice, and its key phrases must occur."""
     spark = rows.sparkSession
@@ -95,17 +94,10 @@ def _aligned(rows: DataFrame, weights: dict[str, float], total: int) -> DataFram
     keyed = anchored.withColumn("keyed", keyed).where(F.size("keyed") > 0)
     words = F.regexp_extract_all(F.lower("text_"), F.lit(f"{_WORD}++"), F.lit(0))
     # the notices' words only; lower() may turn a sign outside of ASCII into a letter, never a word into two
-    bound = common_weight(total)
-    rare = [w for w, x in weights.items() if x >= bound]
-    spots = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda s: s["word"].isin(rare))
-    spots = keyed.select("h", "keyed", spots.alias("spots"))
+    spots = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda s: s["word"].isin(sorted(weights)))
+    found = keyed.select("h", "keyed", F.inline(spots))
     weight = spark.createDataFrame(sorted(weights.items()), "word string, weight double")
-    chosen = spots.withColumn("own", F.array_distinct(F.transform("spots", lambda s: s["word"])))
-    ranked = F.create_map(*[x for w in sorted(rare) for x in (F.lit(w), F.lit(weights[w]))]) if rare else F.create_map().cast("map<string,double>")
-    chosen = chosen.withColumn("own", F.slice(F.array_sort(F.transform("own", lambda w: F.struct((-F.element_at(ranked, w)).alias("less"), w.alias("word")))), 1, RARE_WORDS))
-    chosen = chosen.withColumn("own", F.transform("own", lambda s: s["word"]))
-    found = chosen.select("h", "keyed", F.inline(F.filter("spots", lambda s: F.array_contains("own", s["word"]))))
-    index = postings(spark).where(F.col("word").isin(rare)).join(weight, "word")
+    index = postings(spark).join(weight, "word")
     meets = found.join(F.broadcast(index), "word").where(F.array_contains("keyed", F.col("template")))
     begins = meets.select("h", "template", (F.col("pos") - F.col("at")).alias("begin"), "at", "weight").distinct()
     votes = begins.groupBy("h", "template", "begin").agg(F.sum("weight").alias("agreed"))
@@ -115,11 +107,6 @@ def _aligned(rows: DataFrame, weights: dict[str, float], total: int) -> DataFram
     return scored.groupBy("h").agg(F.sort_array(F.collect_set(F.get(names, F.col("template")))).alias("found"), F.max("share").alias("share"))
 
 
-def common_weight(total: int) -> float:
-    """The weight of a word that COMMON_SHARE of all files have."""
-    return log2((total + 1) / (COMMON_SHARE * total + 0.5)) if total else 0.0
-
-
 def _all(conditions: list[Column]) -> Column:
     whole = conditions[0]
     for c in conditions[1:]:
@@ -132,13 +119,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Words are runs of digits, letters and anything outside of ASCII, in the whole text, A-Z as a-z.
     n_base counts the places of PHRASES, first_word and last_word are where the first and the last
-    begin, base_labels their labels; labels has those of the notices found by their rare words as well.
+    begin, base_labels their labels; labels has those of the notices found by their words as well.
     score is 1 with a phrase, else the largest share of a notice's weight that was found.
 
     Null and empty texts have no words and no labels. Rows come as often as they are in the table, a
     null id stays null, an empty table gives no rows, other columns are ignored."""
     rows = _rows(docs, id_col, text_col)
-    total, weights = word_weights(docs, text_col)
+    _, weights = word_weights(docs, text_col)
     text, pattern = F.col("text_"), _as_pattern(list(PHRASES))
     places = rows.withColumn("places", F.when(text.rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
     places = places.withColumn("n_words", _n_words(text))
@@ -151,7 +138,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.when(F.col("places").isNotNull(), F.col("n_words") - _n_words(F.col("ends.last")) - _n_words(F.element_at("places", -1))).cast("long").alias("last_word"),
         F.coalesce(F.sort_array(F.array_distinct(F.transform("places", _by_label))), F.array().cast("array<string>")).alias("base"),
     )
-    out = base.join(_aligned(rows, weights, total), "h", "left")
+    out = base.join(_aligned(rows, weights), "h", "left")
     labels = F.sort_array(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     return out.select(
         "doc_id", "n_words", F.greatest("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",

@@ -109,3 +109,15 @@ def test_licences_on_odd_rows(spark, common):
     if common:
         assert found[7].labels == "bsd" and found[7].score > 0.9 and found[8].labels == "" and found[9].labels == ""
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("others", [0, 3, 30])
+def test_licences_that_many_files_hold(spark, others):
+    """Labels depend neither on the share of the files with a notice nor on the size of the table."""
+    held = 1 if others == 0 else 20
+    for t in (4, 8, 9, 10):
+        name, notice, _ = licenses.TEMPLATES[t]
+        docs = spark.createDataFrame([(i, f"file {i} {notice} end") for i in range(held)] + [(100 + i, f"plain words {i}") for i in range(others)], "doc_id long, text string")
+        found = licenses.scan(docs).collect()
+        assert {(r.doc_id < 100, r.labels) for r in found} == {(True, name)} | ({(False, "")} if others else set())
+        assert all(r.score > 0.9 for r in found if r.doc_id < 100)
