@@ -27,9 +27,9 @@ _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 CONTEXT = 200
 #: Terms: runs of letters of these lengths.
 SHORTEST, LONGEST = 4, 40
-#: A term is sensitive if so many different texts hold it near the value, if it leaves at most
-#: LEFT_BITS of the value's information, and if it gives at least GAIN_BITS of it.
-SUPPORT, LEFT_BITS, GAIN_BITS = 5, 0.25, 4.0
+#: A term is sensitive if it leaves at most LEFT_BITS of the value's information, and at most that share
+#: of it. Estimates hold DOUBT of a text without the value: a term in one text is no evidence, two are.
+LEFT_BITS, DOUBT = 0.25, 1 / 3
 #: Rows up to which a table of terms or of texts is broadcast (of LONGEST letters or two hashes each).
 BROADCAST_ROWS = 50_000
 
@@ -117,33 +117,40 @@ def _marked(kind: str):
     return lambda m: F.when(_valid(kind, m), F.lit(f"[{kind.upper()}]")).otherwise(m)
 
 
-def sensitive_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, left_bits: float = LEFT_BITS, gain_bits: float = GAIN_BITS) -> DataFrame:
+def sensitive_terms(docs: DataFrame, text_col: str = "text", left_bits: float = LEFT_BITS) -> DataFrame:
     """term, entity, near, documents, left_bits, gain_bits: the terms that give a value away.
 
-    Counts are over all documents: with the value near the term, with the term, with the value. Texts
-    that are equal count once for `support`. Only terms seen near enough texts are counted further."""
+    Counts are of different texts: with the term and the value, with the term, with the value. A term
+    is a candidate for a value once it stands near it; its other places count wherever they are."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(text.alias("text_"), F.xxhash64(text).alias("h"))
     contexts = scratch(_contexts(_with_matches(rows)), "contexts")
-    seen = contexts.select("h", "entity", F.explode(_terms(_without_emails(F.col("context")))).alias("term"))
-    # copies of a text: one row with their number, so that both counts come from one shuffle each
-    seen = seen.groupBy("entity", "term", "h").agg(F.count("*").alias("n"))
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("texts")).where(F.col("texts") >= support)
+    total = rows.select("h").distinct().count()
+    holders = contexts.select("entity", "h").distinct()
+    entities = holders.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    # what a term may leave: of a value with less than one bit of its own, the same share of that
+    entities = entities.withColumn("own_bits", F.log2(F.lit(float(total)) / F.col("with_entity")))
+    entities = entities.withColumn("allowed", F.lit(left_bits) * F.least(F.lit(1.0), "own_bits"))
+    left = lambda together, documents: F.log2((documents + F.lit(DOUBT)) / together)
+    # values for which no term can pass: none leaves less than one that stands in just their texts
+    entities = scratch(entities.where(left(F.col("with_entity"), F.col("with_entity")) <= F.col("allowed")), "entities")
+    wanted = contexts.join(entities.select("entity").hint("merge"), "entity")
+    pairs = wanted.select("entity", F.explode(_terms(_without_emails(F.col("context")))).alias("term")).distinct()
     pairs = scratch(pairs, "terms")
     candidates = pairs.select("term").distinct()
     held = candidates.count()
     if held == 0:
         return pairs.select("term", "entity", *(F.lit(0.0).alias(c) for c in ("near", "documents", "left_bits", "gain_bits"))).limit(0)
-    small = F.broadcast if held <= BROADCAST_ROWS else (lambda x: x.hint("merge"))
-    words = rows.select("h", F.explode(_terms(_without_emails(F.col("text_")))).alias("term")).join(small(candidates), "term", "left_semi")
-    words = words.groupBy("term", "h").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("documents"))
-    total = rows.select("h").distinct().count()
-    entities = contexts.groupBy("entity", "h").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    scored = pairs.join(words, "term").join(entities, "entity")
-    scored = scored.withColumn("left_bits", -F.log2(F.least(F.col("texts") / F.col("documents"), F.lit(1.0))))
-    scored = scored.withColumn("gain_bits", F.log2(F.lit(float(total)) / F.col("with_entity")) - F.col("left_bits"))
-    kept = scored.where((F.col("left_bits") <= left_bits) & (F.col("gain_bits") >= gain_bits))
-    return kept.select("term", "entity", F.col("texts").cast("double").alias("near"), F.col("documents").cast("double").alias("documents"), "left_bits", "gain_bits")
+    small = lambda x, n: F.broadcast(x) if n <= BROADCAST_ROWS else x.hint("merge")
+    words = rows.select("h", F.explode(_terms(_without_emails(F.col("text_")))).alias("term")).join(small(candidates, held), "term", "left_semi")
+    words = scratch(words.distinct(), "words")
+    likely = pairs.join(words.groupBy("term").agg(F.count("*").alias("documents")), "term").join(entities, "entity")
+    likely = scratch(likely.where(left(F.least("documents", "with_entity"), F.col("documents")) <= F.col("allowed")), "likely")
+    met = words.join(small(likely.select("term", "entity"), likely.count()), "term").join(holders.hint("merge"), ["entity", "h"])
+    together = met.groupBy("entity", "term").agg(F.count("*").alias("near"))
+    scored = likely.join(together, ["entity", "term"]).withColumn("left_bits", left(F.col("near"), F.col("documents")))
+    kept = scored.where(F.col("left_bits") <= F.col("allowed"))
+    return kept.select("term", "entity", F.col("near").cast("double").alias("near"), F.col("documents").cast("double").alias("documents"), "left_bits", (F.col("own_bits") - F.col("left_bits")).alias("gain_bits"))
 
 
 def _term_pattern() -> Column:

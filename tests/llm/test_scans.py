@@ -75,6 +75,17 @@ def test_sensitive_terms(spark):
     assert "Quorvex" not in pii.sanitise(docs).where("doc_id = 408").first().sanitised
 
 
+def test_sensitive_terms_of_hot_and_rare_values(spark):
+    """A third of all texts, a small table, two texts of many, and a name far from its address."""
+    plain = lambda n: [f"{['lazy', 'quick', 'brown'][i % 3]} dogs waited over there {i}" for i in range(n)]
+    named = lambda n: [f"Quorvex over there {i} quorvex.k@mail.example.com" for i in range(n)]
+    far = [f"quorvex.k@mail.example.com {'over there ' * 40} Quorvex {i}" for i in range(6)]
+    for rows in (named(100) + plain(200), named(4) + plain(8), named(2) + plain(300), named(6) + far + plain(200)):
+        docs = spark.createDataFrame(list(enumerate([*rows, "then Quorvex left"] if len(rows) == 300 else rows)), "doc_id long, text string")
+        terms = {r.term for r in pii.sensitive_terms(docs).collect()}
+        assert "Quorvex" in terms and not terms & {"over", "there", "dogs", "lazy"}
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
