@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections import deque
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -25,62 +26,143 @@ STEP = 48
 BLOCK_WINDOWS, HELD_WINDOWS = 128, 6
 #: Words whose ids a Python worker remembers.
 REMEMBERED_WORDS = 600_000
-#: New words of letters only that are encoded in one call; the ids that end words tell them apart.
-WORDS_AT_ONCE = 1000
 
-_TOKENIZERS: dict[str, tuple] = {}
+#: A word of Latin letters with or without punctuation after it: two pieces to the tokenizer, the first
+#: of them the same in lower case. Apostrophes and angle brackets may begin pieces of other rules.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_PLAIN = rf"^(?P<stem>{_LETTERS})(?P<tail>[!\"#$%&()*+,./:;=?@\[\\\]^_`{{|}}~-]*)$"
+#: Bytes of text whose words are looked up together.
+TEXT_BYTES = 8 << 20
+#: Stands for the end of a word; no letter's bytes hold it.
+_END = "\x01"
 
+_TOKENIZERS: dict[str, _Words] = {}
 
-def _tokenizer(path: str):
-    """The tokenizer, its remembered words, which ids end a sentence and which a word; once per worker."""
-    if path not in _TOKENIZERS:
+
+def _byte_of_sign() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary stands for: printable ones for themselves,
+    the others in order from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class _Words:
+    """The ids of words, each encoded once and remembered, in one buffer.
+
+    Letters are encoded by the same merges in a faster library: every token of the vocabulary encodes to
+    itself, so the lowest rank among neighbours' joined bytes names the merge that the tokenizer would
+    make. Everything else goes through the tokenizer as it is."""
+
+    def __init__(self, path: str) -> None:
         # tasks share the cores already; threads of the library's own would only wait for each other
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        vocab = tok.get_vocab()
-        ends = np.zeros(max(vocab.values()) + 2, dtype=bool)
-        ends[[i for t, i in vocab.items() if re.fullmatch(r"""[.!?]+["')\]]*(</w>)?""", t)]] = True
-        word_ends = np.zeros(len(ends), dtype=bool)
-        word_ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        _TOKENIZERS[path] = (tok, {"": b""}, ends, word_ends)
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        signs, ranks = _byte_of_sign(), {}
+        self.word_ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        for token, i in vocab.items():
+            stem = token.removesuffix("</w>")
+            raw = bytes(signs[c] for c in stem)
+            if _END.encode() not in raw or len(raw) == 1 and stem == token:
+                self.word_ends[i] = stem != token
+                ranks[raw + _END.encode() if stem != token else raw] = i
+        self.letters = tiktoken.Encoding("letters", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
+        self.sentence_ends = np.zeros(max(vocab.values()) + 2, dtype=bool)
+        self.sentence_ends[[i for t, i in vocab.items() if re.fullmatch(r"""[.!?]+["')\]]*(</w>)?""", t)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {"": 0}
+        self.ids, self.held = np.empty(1 << 16, dtype="<u4"), 0
+        self.start, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = len(self.at), len(words)
+        while self.held + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        while first + n > len(self.start):
+            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+        self.ids[self.held : self.held + len(ids)] = ids
+        self.start[first : first + n] = self.held + np.cumsum(sizes) - sizes
+        self.size[first : first + n] = sizes
+        self.held += len(ids)
+        self.at.update(zip(words, range(first, first + n), strict=True))
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of these different words are; new ones are encoded."""
+        if not len(words):
+            return np.zeros(0, dtype=np.int64)
+        names = _strings(words)
+        new = np.fromiter((w not in self.at for w in names), bool, len(names))
+        if new.any():
+            letters = new & pc.match_substring_regex(words, f"^{_LETTERS}$").to_numpy(zero_copy_only=False)
+            stems = _strings(words.filter(pa.array(letters)))
+            rest = _strings(words.filter(pa.array(new & ~letters)))
+            if stems:
+                ids = self.letters.encode_to_numpy(_END.join([*stems, ""]), disallowed_special=())
+                self._add(stems, ids, np.diff(np.flatnonzero(self.word_ends[ids]) + 1, prepend=0))
+            if rest:
+                found = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+                self._add(rest, np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64))
+        return np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        parts = pc.extract_regex(coded.dictionary, _PLAIN)
+        stems = pc.coalesce(pc.utf8_lower(pc.struct_field(parts, "stem")), coded.dictionary).dictionary_encode()
+        tails = pc.fill_null(pc.struct_field(parts, "tail"), "").dictionary_encode()
+        if len(self.at) + len(stems.dictionary) + len(tails.dictionary) > REMEMBERED_WORDS:
+            self.forget()
+        at = np.stack([self.places(x.dictionary)[x.indices.to_numpy()] for x in (stems, tails)], axis=1)
+        ids, sizes = _gather(self.ids, self.start, self.size, at.ravel())
+        sizes = sizes.reshape(-1, 2).sum(1)
+        ids, sizes = _gather(ids, np.cumsum(sizes) - sizes, sizes, coded.indices.to_numpy())
+        upto = np.concatenate(([0], np.cumsum(sizes)))[ends]
+        return [ids[a:b] for a, b in zip(upto, upto[1:], strict=False)]
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """Words without blanks as strings: joined and split again, much faster than one after another."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
+
+
+def _gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words at these places, one after another, and how many each has."""
+    sizes = size[places]
+    upto = np.cumsum(sizes)
+    total = int(upto[-1]) if len(upto) else 0
+    return ids[np.repeat(start[places] - upto + sizes, sizes) + np.arange(total)], sizes
+
+
+def _words(path: str) -> _Words:
+    """The words of a tokenizer, once per Python worker."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = _Words(path)
     return _TOKENIZERS[path]
 
 
-def encode(texts: list, path: str) -> list[np.ndarray]:
-    """The ids of every whole text. Words between blanks and line feeds are encoded one by one and
-    remembered: the tokenizer never joins over white space, so the ids are those of the text."""
-    tok, known, _, word_ends = _tokenizer(path)
-    words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    if len(known) > REMEMBERED_WORDS:
-        known.clear()
-        known[""] = b""
-    missing = set().union(*words).difference(known)
-    split, plain = {}, set()
-    for w in missing:
-        if len(w) > 1 and w[-1] in ".," and w[-2].isalpha():
-            split[w] = w[:-1]
-            plain.update((w[:-1], w[-1]))
-        else:
-            plain.add(w)
-    plain = [w for w in plain if w not in known]
-    letters = [w for w in plain if w.isalpha()]
-    rest = [w for w in plain if not w.isalpha()]
-    chunks = [letters[i : i + WORDS_AT_ONCE] for i in range(0, len(letters), WORDS_AT_ONCE)]
-    for chunk, e in zip(chunks, tok.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, dtype="<u4")
-        last = np.flatnonzero(word_ends[ids]) + 1
-        if len(last) != len(chunk):  # a word that the tokenizer takes for several
-            rest += chunk
-            continue
-        raw, bounds = ids.tobytes(), [0, *(4 * last).tolist()]
-        known.update((w, raw[a:b]) for w, a, b in zip(chunk, bounds, bounds[1:], strict=False))
-    for w, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-        known[w] = array("I", e.ids).tobytes()
-    for w, stem in split.items():
-        known[w] = known[stem] + known[w[-1]]
-    return [np.frombuffer(b"".join(map(known.__getitem__, ws)), dtype="<u4") for ws in words]
+def encode(batches, path: str):
+    """doc_id and the ids of every whole text, TEXT_BYTES of text or a batch at a time. Words between
+    blanks and line feeds are encoded one by one and remembered: the tokenizer never joins over white
+    space, so the ids are those of the text."""
+    held, size = [], 0
+    for batch in chain(batches, [None]):
+        if held and (batch is None or size + batch.nbytes > TEXT_BYTES):
+            texts = pa.concat_arrays([b.column(1) for b in held])
+            names = chain.from_iterable(b.column(0).to_pylist() for b in held)
+            yield from zip(names, _words(path).encode(texts), strict=True)
+            held, size = [], 0
+        if batch is not None:
+            held.append(batch)
+            size += batch.nbytes
 
 
 def choose_cuts(pos: list[int], cost: list[int], window: int, powers: list[int]) -> list[int]:
@@ -139,10 +221,10 @@ def _candidates(ids: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray, window:
 
 
 def _pack_partition(batches, path: str, window: int, end_id: int):
-    _, _, ends, _ = _tokenizer(path)
+    ends = _words(path).sentence_ends
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     made, held, docs = 0, [], []  # held: arrays of ids; docs: doc_id, tokens, position of its first token
-    size = 0
+    size, end = 0, np.array([end_id], dtype="<u4")
 
     def flush(last: bool):
         nonlocal made, held, docs, size
@@ -178,15 +260,12 @@ def _pack_partition(batches, path: str, window: int, end_id: int):
         docs = [(d, n, p - done) for d, n, p in docs if p + n > done]
         return out
 
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 128):
-            part_of = batch.slice(lo, 128)
-            for doc_id, ids in zip(part_of.column(0).to_pylist(), encode(part_of.column(1).to_pylist(), path), strict=True):
-                docs.append((doc_id, len(ids) + 1, size))
-                held += [ids, np.array([end_id], dtype="<u4")]
-                size += len(ids) + 1
-                if size >= BLOCK_WINDOWS * window:
-                    yield flush(False)
+    for doc_id, ids in encode(batches, path):
+        docs.append((doc_id, len(ids) + 1, size))
+        held += [ids, end]
+        size += len(ids) + 1
+        if size >= BLOCK_WINDOWS * window:
+            yield flush(False)
     if size:
         yield flush(True)
 
@@ -196,8 +275,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
 
     Every partition of the table is a stream of its own: its documents' ids (and `end_id` after
     each) follow one another, and the cuts between windows minimise padding plus the cost of ending a
-    window inside a document. No shuffle, and only the tokens of some windows are held at a time. A
-    lost task packs the same rows into the same windows again; window numbers carry the partition's.
+    window inside a document. No shuffle, and only the tokens of a batch of documents and of some windows are held
+    at a time. A lost task packs the same rows into the same windows again; window numbers carry the partition's.
 
     Returns the pieces: which ids of which document lie where. Windows are padded to `window`, except
     where their length is a power of two. Null and empty texts are documents of one token. Repeated

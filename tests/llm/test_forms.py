@@ -50,13 +50,33 @@ def test_packing_on_a_whole_table(spark):
 
 
 def test_packing_on_odd_rows(spark):
-    rows = dict(enumerate([None, "", " ", "a\tb\nc d e", "Don't stop-now... 3.14 x.y, U.S. 50% <|endoftext|>", "İstanbul ſtraße 😀👍🏽 é 한국어 中文。", "x" * 9000, "word. " * 6000, "...,,, .a ,b 1, 2."]))
+    rows = dict(enumerate([None, "", " ", "a\tb\nc d e", "Don't stop-now... 3.14 x.y, U.S. 50% <|endoftext|>", "İstanbul ſtraße 😀👍🏽 é 한국어 中文。", "x" * 9000, "word. " * 6000, "...,,, .a ,b 1, 2.",
+                           "O'Neil's isn't 'tis x' y'' ÀÉ!! Straße... naïve?! e\u0301a cafe\u0301. a\x01b \x01 c\x01 µm ªº ×÷ ﬁn don<|endoftext|>t end<|endoftext|> a_b _x_ (ab) [c]: d-e f- Ÿ ÿ~", "Å \u00c5 A\u030a \u212b K \u212a"]))
     docs = spark.createDataFrame([(i, t, 7) for i, t in rows.items()], "doc_id long, text string, start int").repartition(2)
     check_packing(rows, packing.pack(docs, PATH).collect())
     assert packing.pack(docs.limit(0), PATH).count() == 0
     assert packing.pack(docs.selectExpr("CAST(NULL AS long) AS doc_id", "text"), PATH).where("doc_id IS NULL").count() > 0
 
 
+def test_tokens_encode_to_themselves():
+    """What the faster encoding of letters rests on."""
+    tok, signs = Tokenizer.from_file(PATH), packing._byte_of_sign()
+    words = {}
+    for token, i in tok.get_vocab(with_added_tokens=False).items():
+        try:
+            stem = bytes(signs[c] for c in token.removesuffix("</w>")).decode()
+        except UnicodeDecodeError:
+            continue
+        if token.endswith("</w>") and stem.isalpha() and stem == stem.lower():
+            words[stem] = i
+    assert len(words) > 10000
+    for found, i in zip(tok.encode_batch_fast(list(words), add_special_tokens=False), words.values(), strict=True):
+        assert found.ids == [i]
+    stems = [w * n for w in list(words)[::7] for n in (1, 2, 3)]
+    whole = packing._words(PATH).letters.encode_to_numpy("\x01".join([*stems, ""]), disallowed_special=())
+    assert whole.tolist() == [i for e in tok.encode_batch_fast(stems, add_special_tokens=False) for i in e.ids]
+
+
 def test_cuts_are_the_best(spark):
     """Against all ways to cut, over short streams."""
     rng = np.random.default_rng(3)
