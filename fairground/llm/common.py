@@ -6,6 +6,9 @@ import atexit
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,23 +55,6 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 # ---------------------------------------------------------------------------------------------
 # words and shingles
 
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i below n at least."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            for key, base in (("up", _P), ("down", _PINV)):
-                a = np.full(size, base, dtype=np.uint64)
-                a[0] = 1
-                _POWERS[key] = np.multiply.accumulate(a)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit integers."""
     with np.errstate(over="ignore"):
@@ -79,43 +65,76 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def lowered_words(text: str | None) -> bytes:
-    """Words `[^\\x20\\x09-\\x0D]+` with A-Z lowered, one space between them."""
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
-
-
-def window_hashes(joined: bytes, k: int) -> np.ndarray:
-    """The 64-bit hash of every k consecutive words, in order; with fewer words, of all of them."""
-    if not joined:
-        return np.zeros(0, dtype=np.uint64)
-    raw = np.frombuffer(joined, dtype=np.uint8)
-    gaps = np.flatnonzero(raw == 32)
-    start = np.concatenate(([0], gaps + 1))
-    end = np.append(gaps, len(raw))
-    if len(start) > k:
-        start, end = start[: len(start) - k + 1], end[k - 1 :]
-    elif len(start) < k:
-        start, end = start[:1], end[-1:]
-    else:
-        start, end = start[:1], end[-1:]
-    up, down = _powers(len(raw) + 1)
+#: Bytes to bytes: A-Z to a-z, and what separates words `[^\\x20\\x09-\\x0D]+` to a blank.
+LOWERED = bytes(32 if c in (9, 10, 11, 12, 13) else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of texts and where each begins and ends in them; nulls are empty."""
+    texts = pc.fill_null(texts, "")
+    if texts.offset or not len(texts):
+        texts = pa.concat_arrays([texts, pa.array([""], texts.type)])[: len(texts)]
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[: len(texts) + 1].astype(np.int64)
+    return np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[: bounds[-1]], bounds
+
+
+def hashed_words(texts: pa.Array, table: bytes = LOWERED) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of every text, in order, and where the texts' words begin and end.
+
+    table maps bytes to bytes; words are runs of anything but blanks then. Each different word of a
+    batch is hashed once."""
+    raw, bounds = _buffer(texts)
+    raw = np.frombuffer(table, dtype=np.uint8)[raw]
+    blank = raw == 32
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    inner = bounds[:-1][np.diff(bounds) > 0]
+    begins[inner] = ~blank[inner]
+    first = np.flatnonzero(begins)
+    if not len(first):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(bounds), dtype=np.int64)
+    kept = ~blank
+    letters = raw[kept]
+    offsets = np.append((np.cumsum(kept) - 1)[first], len(letters)).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    one = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
+    names = pc.binary_join(one, b" ")[0].as_py().split(b" ")
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+    return hashes[words.indices.to_numpy()], np.searchsorted(first, bounds)
+
+
+def shingle_hashes(texts: pa.Array, k: int, table: bytes = LOWERED) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The hashes of every k consecutive words of each text, in order (with fewer words, of all of them),
+    and hashed_words()."""
+    words, bounds = hashed_words(texts, table)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * down[: len(raw)], out=total[1:])
-        return mix((total[end] - total[start]) * up[start] + (end - start).astype(np.uint64))
-
-
-def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles of a whole text."""
-    return np.unique(window_hashes(lowered_words(text), k))
+        grown = mix(words + _ODD)
+        for j in range(1, k):
+            grown = mix(grown[:-1] * _ODD + words[j:])
+        out = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a >= k:
+                out.append(grown[a : b - k + 1])
+            elif b > a:
+                short = mix(words[a : a + 1] + _ODD)
+                for j in range(a + 1, b):
+                    short = mix(short * _ODD + words[j : j + 1])
+                out.append(short)
+            else:
+                out.append(words[:0])
+    return out, words, bounds
 
 
-def minhash(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """One 32-bit minimum per seed (odd 64-bit multipliers) over a non-empty set."""
-    out = np.empty(len(seeds), dtype=np.uint32)
-    with np.errstate(over="ignore"):
-        for i, seed in enumerate(seeds):
-            out[i] = ((shingles * seed) >> np.uint64(32)).min()
+def minhashes(shingles: list[np.ndarray], seeds: np.ndarray) -> np.ndarray:
+    """sets x seeds: 32-bit minima (odd 64-bit multipliers) over non-empty sets, or lists with repeats."""
+    out = np.empty((len(shingles), len(seeds)), dtype=np.uint32)
+    if shingles:
+        flat = np.concatenate(shingles)
+        first = np.cumsum([0, *map(len, shingles[:-1])])
+        with np.errstate(over="ignore"):
+            for i, seed in enumerate(seeds):
+                out[:, i] = np.minimum.reduceat((flat * seed) >> np.uint64(32), first)
     return out
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairground.llm.common import mix, small_batches, window_hashes
+from fairground.llm.common import scratch, shingle_hashes, small_batches
 
 #: Minimum functions. An item of q shingles is looked for in windows of less than 8 q: at containment
 #: 0.75 their Jaccard similarity is over 1/11, so all functions miss with probability under 1.1e-4.
@@ -17,16 +17,19 @@ FUNCTIONS = 96
 #: Segment of the smallest size class, in shingles; each class doubles it. A window is four segments
 #: of its class and overlaps the next by one, so an item of the class lies in a window whole.
 SEGMENT, WINDOW, STRIDE = 8, 4, 3
-#: Items and bytes of item text in a block; more items are searched for block after block.
-BLOCK_ITEMS, BLOCK_BYTES = 4096, 4 << 20
+#: Items and bytes of item text in a block, whose index (about 2 KB an item) is broadcast; more items are
+#: searched for block after block, one index at a time.
+BLOCK_ITEMS, BLOCK_BYTES = 16_384, 16 << 20
 
 _SPACED = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 SCHEMA = "doc_id long, item_id long, n_shared long, item_shingles long, containment double"
 
 
-def plain_words(text: str | None) -> bytes:
-    """Lower-cased letters and digits of any script, one space for whatever stands between."""
-    return b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED).split())
+def shingles_of(texts: list, k: int) -> list[np.ndarray]:
+    """The hashes of every k consecutive words of each text: lower-cased letters and digits of any
+    script, and whatever stands between them separates."""
+    lowered = pa.array([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts], pa.binary())
+    return shingle_hashes(lowered, k, _SPACED)[0]
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +56,7 @@ class Index:
         self.k, self.ids, self.sets, self.classes = k, [], [], {}
         short: list[int] = []
         keys: dict[int, list] = {}
-        for item_id, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
-            s = np.unique(window_hashes(plain_words(text), k))
+        for item_id, s in zip([i for i, _ in items], map(np.unique, shingles_of([t for _, t in items], k)), strict=True):
             if not len(s):
                 continue
             at = len(self.ids)
@@ -105,9 +107,8 @@ def _lookup(keys: np.ndarray, items: np.ndarray, probe: np.ndarray) -> set[int]:
     return {int(i) for a, b in zip(lo, hi, strict=True) for i in items[a:b]}
 
 
-def _found(text: str | None, index: Index, containment: float):
-    """Items that the text holds: their place in the index, shingles shared, shingles in all."""
-    shingles = window_hashes(plain_words(text), index.k)
+def _found(shingles: np.ndarray, index: Index, containment: float):
+    """Items that a text holds: their place in the index, shingles shared, shingles in all."""
     found = index.candidates(shingles) if len(shingles) else ()
     if found:
         own = np.unique(shingles)
@@ -118,23 +119,35 @@ def _found(text: str | None, index: Index, containment: float):
                 yield at, shared, len(s)
 
 
-def _search(batches, index: Index, containment: float):
+def _search(batches, shared_index, containment: float):
+    index = shared_index.value
     for batch in batches:
         out = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            out += [(doc_id, index.ids[at], shared, n, shared / n) for at, shared, n in _found(text, index, containment)]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pa.record_batch([pa.array(cols[i], pa.int64()) for i in range(4)] + [pa.array(cols[4], pa.float64())], names=["doc_id", "item_id", "n_shared", "item_shingles", "containment"])
+        for doc_id, digest, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingles_of(batch.column(2).to_pylist(), index.k), strict=True):
+            out += [(doc_id, index.ids[at], shared, n, shared / n, digest) for at, shared, n in _found(own, index, containment)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        kinds = [*[pa.int64()] * 4, pa.float64(), pa.string()]
+        yield pa.record_batch([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "n_shared", "item_shingles", "containment", "digest"])
 
 
-def _indexes(benchmark: DataFrame, k: int, item_col: str, item_text_col: str):
-    """The indexes of all items, in blocks of bounded size."""
+def _matches(docs: DataFrame, benchmark: DataFrame, k: int, containment: float, id_col: str | None, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """SCHEMA and a digest of the document's text, over all items."""
+    spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text"))
     rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-rows * 2 // BLOCK_ITEMS), -(-size * 2 // BLOCK_BYTES))
+    text = docs[text_col].cast("string")
+    ids = docs[id_col].cast("long") if id_col else F.lit(None).cast("long")
+    texts = docs.select(ids.alias("doc_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
+    found = None
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        yield Index([tuple(r) for r in block], k)
+        shared_index = spark.sparkContext.broadcast(Index([tuple(r) for r in block], k))
+        part = scratch(texts.mapInArrow(partial(_search, shared_index=shared_index, containment=containment), f"{SCHEMA}, digest string"), "leaks")
+        shared_index.destroy()  # the driver and the executors hold one index at a time
+        found = part if found is None else found.union(part)
+    return found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, containment: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -150,26 +163,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, containment: float
     Null and empty texts and items hold and match nothing. Repeated documents come out as often as they
     are in, repeated items too. Null ids are kept as null. Empty tables give an empty result. Other
     columns are ignored."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    found = None
-    for index in _indexes(benchmark, k, item_col, item_text_col):
-        part = texts.mapInArrow(partial(_search, index=index, containment=containment), SCHEMA)
-        found = part if found is None else found.union(part)
-    return found
-
-
-def _without(batches, index: Index, containment: float):
-    for batch in batches:
-        clean = [next(_found(text, index, containment), None) is None for text in batch.column(batch.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(clean, pa.bool_()))
+    return _matches(docs, benchmark, k, containment, id_col, text_col, item_col, item_text_col).drop("digest")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, containment: float = 0.75, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that hold no item of the benchmark in the sense of leaks().
-
-    Rows are judged where they lie, one pass for each block of items; nothing is shuffled or joined."""
-    small_batches(docs.sparkSession)
-    for index in _indexes(benchmark, k, item_col, item_text_col):
-        docs = docs.withColumn("_text_", F.col(text_col).cast("string")).mapInArrow(partial(_without, index=index, containment=containment), docs.schema)
-    return docs
+    """The rows of docs, all columns of whatever names, that hold no item of the benchmark in the sense
+    of leaks(). Rows are judged by their text alone: repeated rows go or stay together, null and empty
+    texts stay, an empty table stays empty. Spark broadcasts the digests of the texts to go if they are
+    few, and shuffles otherwise."""
+    gone = _matches(docs, benchmark, k, containment, None, text_col, item_col, item_text_col).select("digest").distinct()
+    gone = scratch(gone, "contaminated")
+    rows = docs.select(F.md5(docs[text_col].cast("string").cast("binary")).alias("digest"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.join(gone, "digest", "left_anti").select("row.*")

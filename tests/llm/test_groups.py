@@ -3,9 +3,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fairground.llm import decontam, embed_dedup, near_dedup
+from fairground.llm.common import shingle_hashes
 from fairground.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -61,6 +63,41 @@ def test_minhash_on_odd_rows(spark):
     assert left.where("doc_id IS NOT NULL").count() == len({r.doc_id for r in left.collect()}) - 1
 
 
+def test_minhash_on_repeated_ids(spark):
+    """One id with several texts, one of them null, joins their groups; each text is judged by itself."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 0), (1, None, 0), (2, b, 0), (2, a + " x", 0), (3, None, 0), (3, c, 0), (4, c + " y", 0), (5, "alone here", 0), (5, b + " z", 0), (None, a, 0), (6, "", 0), (6, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rows int")
+    found = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == {
+        (1, 36): (1, True), (1, 0): (1, True), (2, 36): (1, False), (2, 37): (1, False), (3, 0): (3, True), (3, 36): (3, True),
+        (4, 37): (3, False), (5, 1): (1, False), (5, 37): (1, False), (None, 36): (None, True), (6, 0): (6, True),
+    }
+    left = sorted((str(r.doc_id), r.text) for r in near_dedup.deduplicated(docs).collect() if r.text)
+    assert left == sorted([("1", a), ("2", b), ("3", c), ("5", "alone here"), ("None", a)])
+
+
+def test_hashes_of_words():
+    """No two different word sequences of like structure share a hash: Thue-Morse words and complements,
+    texts cut elsewhere, words in another order."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "ab c d e f", "a bc d e f", "a b c d e", "b a c d e", "a a a a a", "a a a a", "", None, " a\t b ", "a b"]
+    shingles, words, bounds = shingle_hashes(pa.array(texts, pa.string()), 5)
+    assert [len(x) for x in shingles] == [1] * 8 + [0, 0, 1, 1] and len({int(x[0]) for x in shingles[:8]}) == 8
+    assert shingles[10] == shingles[11] and (np.diff(bounds) == [len((t or "").split()) for t in texts]).all()
+    cut = shingle_hashes(pa.array(["x y", *texts], pa.string())[1:], 5)[0]
+    assert all((a == b).all() for a, b in zip(shingles, cut, strict=True))
+
+
+@pytest.mark.parametrize("limit", ["LEAF", "LEAF_SHINGLES"])
+def test_recall_of_small_leaves(spark, monkeypatch, limit):
+    """All links of the whole table, however few rows or shingles meet in a task."""
+    monkeypatch.setattr(near_dedup, limit, 6 if limit == "LEAF" else 3000)
+    test_minhash_on_a_whole_table(spark)
+
+
 def test_large_nodes_branch(spark, monkeypatch):
     """Nodes over the size of a leaf give the same groups."""
     monkeypatch.setattr(near_dedup, "LEAF", 4)
