@@ -25,14 +25,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the Python process ends."""
+    path = f"{checkpoint_dir(spark)}/fairground/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and
-    survives lost executors. The tables are removed when the Python process ends."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/fairground/{name}-{uuid.uuid4().hex}"
+    survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
@@ -42,8 +47,8 @@ def _remove_scratch() -> None:
             jvm, target = spark._jvm, path
             at = jvm.org.apache.hadoop.fs.Path(target)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may be gone by now
-            return
+        except Exception:  # noqa: S112  the JVM, or this table, may be gone by now
+            continue
     _WRITTEN.clear()
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from fairground.llm.common import small_batches
@@ -202,7 +203,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     rows = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_text_"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[:-1]), "lang_pred string, score double"])
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(partial(_predict, model=model), schema)
 
 

@@ -25,13 +25,14 @@ _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
 #: Characters on either side of a value in which terms are counted with it.
 CONTEXT = 200
-#: Terms: runs of letters of these lengths.
-SHORTEST, LONGEST = 4, 40
-#: A term is sensitive if it leaves at most LEFT_BITS of the value's information, and at most that share
-#: of it. Estimates hold DOUBT of a text without the value: a term in one text is no evidence, two are.
-LEFT_BITS, DOUBT = 0.25, 1 / 3
-#: Rows up to which a table of terms or of texts is broadcast (of LONGEST letters or two hashes each).
-BROADCAST_ROWS = 50_000
+#: A term is sensitive if it leaves at most so many bits of the value's information, and at most that share
+#: of it: it is removed up to LEFT_BITS, and generalised to its first letter up to VAGUE_BITS. Estimates
+#: hold DOUBT of a text without the value: a term in one text is no evidence, two are.
+LEFT_BITS, VAGUE_BITS, DOUBT = 0.25, 0.75, 1 / 3
+#: Texts with a term from which on it may be generalised: fewer say too little of so weak a tie.
+VAGUE_TEXTS = 4
+#: Rows and bytes up to which a table of terms or of texts is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
 
 
 def _digits(text: Column) -> Column:
@@ -85,8 +86,8 @@ def _with_matches(rows: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(rf"\p{{L}}{{{SHORTEST},}}+"), F.lit(0))
-    return F.filter(F.array_distinct(found), lambda t: F.length(t) <= LONGEST)
+    """The different runs of letters of a text, of any length."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}++"), F.lit(0)))
 
 
 def _without_emails(text: Column) -> Column:
@@ -117,8 +118,16 @@ def _marked(kind: str):
     return lambda m: F.when(_valid(kind, m), F.lit(f"[{kind.upper()}]")).otherwise(m)
 
 
-def sensitive_terms(docs: DataFrame, text_col: str = "text", left_bits: float = LEFT_BITS) -> DataFrame:
-    """term, entity, near, documents, left_bits, gain_bits: the terms that give a value away.
+def _small(terms: DataFrame, columns: list[str]):
+    """How to join a table of terms: broadcast only if its measured rows and bytes are few."""
+    size = F.coalesce(F.sum(sum((F.octet_length(c) for c in columns), F.lit(16))), F.lit(0))
+    rows, used = terms.agg(F.count("*"), size).first()
+    return rows, (F.broadcast if rows <= BROADCAST_ROWS and used <= BROADCAST_BYTES else lambda x: x.hint("merge"))
+
+
+def sensitive_terms(docs: DataFrame, text_col: str = "text", left_bits: float = LEFT_BITS, vague_bits: float = VAGUE_BITS) -> DataFrame:
+    """term, entity, near, documents, left_bits, gain_bits, removed: the terms that give a value away, and
+    whether so clearly that they are removed (else generalised).
 
     Counts are of different texts: with the term and the value, with the term, with the value. A term
     is a candidate for a value once it stands near it; its other places count wherever they are."""
@@ -130,7 +139,7 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text", left_bits: float =
     entities = holders.groupBy("entity").agg(F.count("*").alias("with_entity"))
     # what a term may leave: of a value with less than one bit of its own, the same share of that
     entities = entities.withColumn("own_bits", F.log2(F.lit(float(total)) / F.col("with_entity")))
-    entities = entities.withColumn("allowed", F.lit(left_bits) * F.least(F.lit(1.0), "own_bits"))
+    entities = entities.withColumn("allowed", F.lit(max(left_bits, vague_bits)) * F.least(F.lit(1.0), "own_bits"))
     left = lambda together, documents: F.log2((documents + F.lit(DOUBT)) / together)
     # values for which no term can pass: none leaves less than one that stands in just their texts
     entities = scratch(entities.where(left(F.col("with_entity"), F.col("with_entity")) <= F.col("allowed")), "entities")
@@ -138,19 +147,21 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text", left_bits: float =
     pairs = wanted.select("entity", F.explode(_terms(_without_emails(F.col("context")))).alias("term")).distinct()
     pairs = scratch(pairs, "terms")
     candidates = pairs.select("term").distinct()
-    held = candidates.count()
+    held, small = _small(candidates, ["term"])
     if held == 0:
-        return pairs.select("term", "entity", *(F.lit(0.0).alias(c) for c in ("near", "documents", "left_bits", "gain_bits"))).limit(0)
-    small = lambda x, n: F.broadcast(x) if n <= BROADCAST_ROWS else x.hint("merge")
-    words = rows.select("h", F.explode(_terms(_without_emails(F.col("text_")))).alias("term")).join(small(candidates, held), "term", "left_semi")
+        return pairs.select("term", "entity", *(F.lit(0.0).alias(c) for c in ("near", "documents", "left_bits", "gain_bits")), F.lit(True).alias("removed")).limit(0)
+    words = rows.select("h", F.explode(_terms(_without_emails(F.col("text_")))).alias("term")).join(small(candidates), "term", "left_semi")
     words = scratch(words.distinct(), "words")
     likely = pairs.join(words.groupBy("term").agg(F.count("*").alias("documents")), "term").join(entities, "entity")
     likely = scratch(likely.where(left(F.least("documents", "with_entity"), F.col("documents")) <= F.col("allowed")), "likely")
-    met = words.join(small(likely.select("term", "entity"), likely.count()), "term").join(holders.hint("merge"), ["entity", "h"])
+    _, small = _small(likely, ["term", "entity"])
+    met = words.join(small(likely.select("term", "entity")), "term").join(holders.hint("merge"), ["entity", "h"])
     together = met.groupBy("entity", "term").agg(F.count("*").alias("near"))
     scored = likely.join(together, ["entity", "term"]).withColumn("left_bits", left(F.col("near"), F.col("documents")))
-    kept = scored.where(F.col("left_bits") <= F.col("allowed"))
-    return kept.select("term", "entity", F.col("near").cast("double").alias("near"), F.col("documents").cast("double").alias("documents"), "left_bits", (F.col("own_bits") - F.col("left_bits")).alias("gain_bits"))
+    clear = F.lit(left_bits / max(left_bits, vague_bits)) * F.col("allowed")
+    scored = scored.withColumn("removed", F.col("left_bits") <= clear)
+    kept = scored.where(F.col("removed") | ((F.col("left_bits") <= F.col("allowed")) & (F.col("documents") >= VAGUE_TEXTS)))
+    return kept.select("term", "entity", F.col("near").cast("double").alias("near"), F.col("documents").cast("double").alias("documents"), "left_bits", (F.col("own_bits") - F.col("left_bits")).alias("gain_bits"), "removed")
 
 
 def _term_pattern() -> Column:
@@ -158,27 +169,28 @@ def _term_pattern() -> Column:
 
 
 def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, **thresholds) -> DataFrame:
-    """The columns in keep, and `text_`, the matches and pieces of every kind, and `<kind>_s`, its spans
-    (the kind `term`: occurrences of sensitive terms outside of the other spans).
+    """row (a struct of the columns in keep), `text_`, the matches and pieces of every kind, `<kind>_s`,
+    its spans (the kind `term`: occurrences of sensitive terms outside of the other spans), and `vague`,
+    the terms to be generalised rather than removed.
 
     Null text counts as empty. Rows come as often as they are in the table, whatever their other
-    columns hold; an empty table gives no rows."""
-    keep = keep or []
+    columns hold or are called; an empty table gives no rows."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(*[docs[c] for c in keep], text.alias("text_"), F.xxhash64(text).alias("h_"))
+    rows = docs.select(F.struct(*[docs[c] for c in keep or [text_col]]).alias("row"), text.alias("text_"), F.xxhash64(text).alias("h_"))
     terms = scratch(sensitive_terms(docs, text_col, **thresholds), "sensitive")
-    held = terms.select("term").distinct()
-    n = held.count()
+    held = terms.groupBy("term").agg(F.bool_or("removed").alias("removed"))
+    n, small = _small(held, ["term"])
+    none = F.array().cast("array<string>")
     if n:
-        small = F.broadcast if n <= BROADCAST_ROWS else (lambda x: x.hint("merge"))
         hits = rows.select("h_", F.explode(_terms(_without_emails(F.col("text_")))).alias("term")).join(small(held), "term")
-        hits = scratch(hits.groupBy("h_").agg(F.sort_array(F.collect_set("term")).alias("terms")), "hits")
-        few = hits.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0] <= BROADCAST_ROWS
+        hits = hits.groupBy("h_").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.collect_set(F.when(~F.col("removed"), F.col("term"))).alias("vague"))
+        hits = scratch(hits, "hits")
+        rows_held, used = hits.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)), F.coalesce(F.sum(F.octet_length(F.array_join("terms", ","))), F.lit(0))).first()
+        few = rows_held <= BROADCAST_ROWS and used <= BROADCAST_BYTES
         rows = rows.join(F.broadcast(hits) if few else hits.hint("merge"), "h_", "left")
         rows = _cut(rows, "term", _term_pattern(), F.col("terms").isNotNull())
     else:
-        none = F.array().cast("array<string>")
-        rows = rows.withColumn("terms", F.lit(None).cast("array<string>")).withColumn("term_m", none).withColumn("term_p", none)
+        rows = rows.withColumn("terms", F.lit(None).cast("array<string>")).withColumn("vague", none).withColumn("term_m", none).withColumn("term_p", none)
     rows = _with_matches(rows)
     for kind in [*PATTERNS, "term"]:
         rows = rows.withColumn(f"{kind}_s", _spans(kind, F.col(f"{kind}_p"), F.col(f"{kind}_m")))
@@ -196,6 +208,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Defined for all input as find() is; a null id stays null."""
     found = find(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), "text", ["doc_id"])
+    found = found.withColumn("doc_id", F.col("row.doc_id"))
     base = F.array_join(F.concat(*[_listed(k) for k in PATTERNS]), ",")
     every = F.array_join(F.concat(*[_listed(k) for k in [*PATTERNS, "term"]]), ",")
     return found.select(
@@ -204,18 +217,27 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
+_MARKS = rf"\[(?:{'|'.join(kind.upper() for kind in PATTERNS)})\]"
+
+
 def sanitise(docs: DataFrame, text_col: str = "text", out_col: str = "sanitised", **thresholds) -> DataFrame:
     """All columns of docs and out_col: the text with every value generalised to its kind, `[EMAIL]`,
-    and every sensitive term outside of them to `[TERM]`. Kinds are replaced one after another, each in
-    what the ones before have left. Null texts stay null; everything else is as in find()."""
+    and, outside of these marks, every sensitive term removed, `[TERM]`, or generalised to its first
+    letter, `[Q.]`. Kinds are replaced one after another, each in what the ones before have left. Null
+    texts stay null; out_col replaces a column of its name; everything else is as in find()."""
     names = docs.columns
-    found = find(docs, text_col, names, **thresholds)
-    found = found.withColumn("now_", F.col("text_"))
+    found = find(docs, text_col, names, **thresholds).withColumn("now_", F.col("text_"))
+
+    def replaced(rows: DataFrame, pattern: Column, some: Column, mark) -> DataFrame:
+        rows = rows.withColumn("m_", F.when(some, F.regexp_extract_all("now_", pattern, F.lit(0))))
+        pairs = F.zip_with(F.split("now_", pattern, -1), F.concat(F.transform("m_", mark), F.array(F.lit(""))), lambda p, m: F.array(p, m))
+        return rows.withColumn("now_", F.when(F.size("m_") > 0, F.array_join(F.flatten(pairs), "")).otherwise(F.col("now_")))
+
     for kind, pattern in PATTERNS.items():
-        found = found.withColumn("m_", F.when(F.size(f"{kind}_m") > 0, F.regexp_extract_all("now_", F.lit(pattern), F.lit(0))))
-        marks = F.transform("m_", _marked(kind))
-        pairs = F.zip_with(F.split("now_", pattern, -1), F.concat(marks, F.array(F.lit(""))), lambda p, m: F.array(p, m))
-        found = found.withColumn("now_", F.when(F.size("m_") > 0, F.array_join(F.flatten(pairs), "")).otherwise(F.col("now_")))
-    found = found.withColumn("now_", F.when(F.size("term_m") > 0, F.regexp_replace("now_", _term_pattern(), F.lit("[TERM]"))).otherwise(F.col("now_")))
-    original = F.col(text_col) if text_col in names else F.lit(None)
-    return found.select(*[found[c] for c in names], F.when(original.isNotNull(), F.col("now_")).alias(out_col))
+        found = replaced(found, F.lit(pattern), F.size(f"{kind}_m") > 0, _marked(kind))
+    vague = lambda m: F.array_contains(F.coalesce("vague", F.array().cast("array<string>")), m)
+    term = lambda m: F.when(m.rlike(f"^{_MARKS}$"), m).when(vague(m), F.concat(F.lit("["), F.left(m, F.lit(1)), F.lit(".]"))).otherwise("[TERM]")
+    found = replaced(found, F.concat(F.lit(_MARKS + "|"), _term_pattern()), F.size("term_m") > 0, term)
+    kept = [F.col(f"row.`{c}`").alias(c) for c in names if c != out_col]
+    original = F.col(f"row.`{text_col}`")
+    return found.select(*kept, F.when(original.isNotNull(), F.col("now_")).alias(out_col))

@@ -7,6 +7,7 @@ from collections import defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fairground.llm import chat, html_mincut, langid, packing, pii, sharding
@@ -130,6 +131,44 @@ def test_sharding(spark):
     assert sharding.shard(odd, 4).count() == 5 and sharding.shard(odd.limit(0), 4).count() == 0
 
 
+def plain_map(totals, shards):
+    load, to = [0] * shards, {}
+    for slot, size in sorted(totals.items(), key=lambda x: (-x[1], x[0])):
+        to[slot] = load.index(min(load))
+        load[to[slot]] += size
+    return to
+
+
+def check_shards(rows, shards):
+    """Near equal bytes, gapless slots, and the map that a plain fold over the slots gives."""
+    load, totals, places = dict.fromkeys(range(shards), 0), defaultdict(int), defaultdict(list)
+    for r in rows:
+        load[r.shard] += r.size
+        totals[r.virtual_slot] += r.size
+        places[r.shard].append(r.slot)
+    want = plain_map(totals, shards)
+    assert all(want[r.virtual_slot] == r.shard for r in rows) and all(sorted(x) == list(range(len(x))) for x in places.values())
+    assert {r.rebalanced_shard for r in rows if r.rebalanced_shard != r.shard} <= {shards}
+    return load
+
+
+def test_shards_are_balanced(spark):
+    for rows in ("id AS doc_id", "7L AS doc_id", "CAST(NULL AS long) AS doc_id", "IF(id % 3 = 0, 7L, id) AS doc_id"):
+        docs = spark.range(20000).selectExpr(rows, "repeat('x', int(pmod(hash(id), 90))) AS text", "1 AS place", "'k' AS key")
+        load = check_shards(sharding.shard(docs, 8).collect(), 8)
+        assert max(load.values()) < 1.02 * min(load.values())
+
+
+def test_stored_map(spark, tmp_path):
+    path = f"{tmp_path}/map"
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CAST(id AS string) AS text")
+    sharding.shard(docs, 4, map_path=path)
+    first, last = sharding.read_map(spark, path, 1).collect(), sharding.read_map(spark, path).collect()
+    assert {r.shard for r in first} == set(range(4)) and {r.shard for r in last} == set(range(5)) and {r.version for r in last} == {2}
+    old = {r.virtual_slot: r.shard for r in first}
+    assert all(r.shard in (4, old[r.virtual_slot]) for r in last) and len(first) == len(last)
+
+
 def test_slot_map_is_edited(spark):
     totals = sharding.slot_bytes(sharding.with_slots(spark.range(20000).selectExpr("id AS doc_id", "repeat('x', int(id % 90)) AS text"))).cache()
     old = sharding.first_map(totals, 8)
@@ -180,6 +219,20 @@ def test_chat_on_odd_rows(spark):
     assert chat.format_chat(table.limit(0)).count() == 0
 
 
+def test_pipeline_stages_with_odd_rows(spark):
+    """Columns of any name, repeated rows, nulls, ties and empty tables pass every stage but the last."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clash = ["score", "lang_pred", "row", "_text_", "digest", "rep", "rows_", "least_", "text_", "h_", "email_m", "terms", "now_", "sanitised_", "sanitised_0", "id", "component", "doc"]
+    wide = docs.limit(60).select("*", *[F.lit(f"own {c}").alias(c) for c in clash])
+    wide = wide.union(wide.limit(5)).union(wide.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).union(wide.limit(2).withColumn("text", F.lit(None).cast("string")))
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (wide, wide.limit(0)):
+            out = stage(spark, rows, SF).collect()
+            if name != "packing":
+                assert all(r[c] == f"own {c}" for r in out for c in clash) and len(out) <= rows.count()
+            assert bool(out) == bool(rows.count())
+
+
 def test_pipeline_against_plain_stages(spark):
     """Every stage by itself: what it keeps is right for its own input, nothing else changes."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

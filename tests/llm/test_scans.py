@@ -1,6 +1,8 @@
 """op2 and op7 against plain Python over whole small tables, and on odd rows."""
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -58,7 +60,7 @@ def test_pii_on_odd_rows(spark):
     assert pii.digest(docs.selectExpr("CAST(NULL AS long) AS doc_id", "text")).count() == len(ODD)
     clean = {r.doc_id: r for r in pii.sanitise(docs).collect()}
     assert clean[0].sanitised == "mail [EMAIL], x@y [EMAIL][EMAIL]" and clean[6].sanitised is None and clean[5].sanitised == ""
-    assert clean[4].sanitised == "😀 [EMAIL] 😀 [PHONE] é [CARD]" and clean[2].h == "x"
+    assert clean[4].sanitised == "😀 [EMAIL] 😀 [PHONE] é [CARD]" and clean[2].h == "x" and clean[2].email_m == "y"
 
 
 def test_sensitive_terms(spark):
@@ -86,6 +88,49 @@ def test_sensitive_terms_of_hot_and_rare_values(spark):
         assert "Quorvex" in terms and not terms & {"over", "there", "dogs", "lazy"}
 
 
+def plain_terms(rows):
+    """The whole rule on one machine: texts with a term, texts with a value, both near one another."""
+    texts = {t or "" for t in rows}
+    near, holders, counts = {}, {}, {}
+    for text in texts:
+        bare = re.sub(PATTERNS["email"], " ", text)
+        for term in set(re.findall(r"[^\W\d_]+", bare)):
+            counts[term] = counts.get(term, 0) + 1
+    for text in texts:
+        for kind, pattern in PATTERNS.items():
+            for m in re.finditer(pattern, text):
+                if good(kind, m[0]):
+                    key = f"{kind}:{m[0].lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', m[0])}"
+                    holders.setdefault(key, set()).add(text)
+    out = set()
+    for key, held in holders.items():
+        own = math.log2(len(texts) / len(held))
+        for term, n in counts.items():
+            both = sum(term in re.findall(r"[^\W\d_]+", re.sub(PATTERNS["email"], " ", t)) for t in held)
+            if both and (left := math.log2((n + pii.DOUBT) / both)) <= pii.VAGUE_BITS * min(1, own) + 1e-12:
+                removed = left <= pii.LEFT_BITS * min(1, own) + 1e-12
+                if removed or n >= pii.VAGUE_TEXTS:
+                    out.add((term, key, removed))
+    return out
+
+
+def test_sensitive_terms_against_plain_counts(spark):
+    rng = random.Random(4)
+    names = [f"Name{chr(65 + i)}" + "x" * (i * 9) for i in range(8)]
+    rows = []
+    for i in range(300):
+        n = rng.randrange(8)
+        who = f"{names[n]} at {names[n].lower()[:6]}@mail.example.com" if rng.random() < 0.4 else rng.choice(["", names[n] if rng.random() < 0.1 else ""])
+        rows.append(f"{rng.choice(['old', 'new'])} note {who} of {rng.choice(['red', 'blue', 'green'])} {i}")
+    rows += [None, "", rows[0], rows[0]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {(r.term, r.entity, r.removed) for r in pii.sensitive_terms(docs).collect()}
+    assert found == plain_terms(rows) and {r[2] for r in found} == {True, False} and any(len(r[0]) > 40 for r in found)
+    vague = next(r[0] for r in found if not r[2] and not any(x[0] == r[0] and x[2] for x in found))
+    clean = [r.sanitised or "" for r in pii.sanitise(docs).collect()]
+    assert not any(f" {vague} " in t for t in clean) and any("[N.]" in t for t in clean) and not any("[[" in t for t in clean)
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
