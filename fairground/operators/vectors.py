@@ -45,16 +45,16 @@ def mean_vectors(rows: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def burst_match(live: DataFrame, gallery: DataFrame) -> DataFrame:
-    """live: burst_id, frame_no, v; gallery: product, v. Per burst the best product, its score and how
-    sure that is.
+    """live: burst_id, frame_no, v; gallery: template, product, v. Per burst the best product, its score and
+    how sure that is. A frame isn't compared with the template of its own number.
 
     A frame's similarity with a product is the best over its templates; a product's score the mean of
     the median and the trimmed mean over the frames. Every frame, the stated queries, meets the gallery
     block by block; a gallery of one block is broadcast."""
     blocks = -(-max(1, gallery.count()) // BLOCK)
-    dealt = gallery.select("product", normalised(F.col("v")).alias("g"), F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block"))
+    dealt = gallery.select("template", "product", normalised(F.col("v")).alias("g"), F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block"))
     asked = live.withColumn("v", normalised(F.col("v"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    sims = asked.join(F.broadcast(dealt) if blocks == 1 else dealt, "block")
+    sims = asked.join(F.broadcast(dealt) if blocks == 1 else dealt, "block").where("frame_no <> template")
     sim = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v"), F.col("g"))))
     per = sims.groupBy("burst_id", "frame_no", "product").agg(F.max(sim).alias("sim"))
     best = F.row_number().over(W.partitionBy("burst_id", "frame_no").orderBy(F.desc("sim"), "product")) == 1

@@ -169,13 +169,13 @@ def q21_count_booths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q22_events_with_booths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 1").groupBy("n_regionkey").agg(F.count("*").alias("booth_count"))
+    counts = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("booth_count"))
     rows = table(spark, sf_dir, "region").join(counts, F.col("r_regionkey") == F.col("n_regionkey"), "left")
     return rows.select(F.col("r_name").alias("event_name"), F.coalesce("booth_count", F.lit(0)).alias("booth_count"))
 
 
 def j01_booths_with_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "region").where("r_regionkey <> 2")
+    events = table(spark, sf_dir, "region")
     rows = table(spark, sf_dir, "nation").join(events, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return rows.select(F.col("n_nationkey").alias("booth_id"), F.col("n_name").alias("booth_name"), F.col("r_name").alias("event_name")).orderBy("booth_name")
 
@@ -187,9 +187,10 @@ def j06_no_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j10_camera_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cameras that are live or counted, with both figures."""
-    live = B.interactions(spark, sf_dir).where("booth_id < 5").groupBy(F.col("booth_id").alias("camera_id")).agg(F.max("ts").alias("last_seen"))
-    counted = B.crossings(spark, sf_dir).where("booth_id > 2").groupBy(F.col("booth_id").alias("camera_id")).agg(F.count("*").alias("crossings"))
+    """Cameras that are live or counted, with both figures; a counter has the number of another camera here,
+    so that some are only the one or the other."""
+    live = B.interactions(spark, sf_dir).groupBy(F.col("booth_id").alias("camera_id")).agg(F.max("ts").alias("last_seen"))
+    counted = B.crossings(spark, sf_dir).groupBy((F.col("booth_id") + 3).alias("camera_id")).agg(F.count("*").alias("crossings"))
     return live.join(counted, "camera_id", "full").select("camera_id", F.round("last_seen", 6).alias("last_seen"), F.coalesce("crossings", F.lit(0)).alias("crossings"))
 
 
@@ -259,11 +260,11 @@ ORACLE_SQL = {
   SELECT day, coalesce(a.n, 0)::BIGINT AS interactions, coalesce(b.n, 0)::BIGINT AS alerts, coalesce(c.n, 0)::BIGINT AS total_in, coalesce(c.peak, 0)::BIGINT AS peak_inside
   FROM d LEFT JOIN a USING (day) LEFT JOIN b USING (day) LEFT JOIN c USING (day) ORDER BY day""",
     "q21_count_booths": "SELECT count(*)::BIGINT AS booths FROM nation",
-    "q22_events_with_booths": "SELECT r_name AS event_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey % 5 <> 1)::BIGINT AS booth_count FROM region",
-    "j01_booths_with_event": "SELECT n_nationkey AS booth_id, n_name AS booth_name, r_name AS event_name FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) ON n_regionkey = r_regionkey ORDER BY n_name",
+    "q22_events_with_booths": "SELECT r_name AS event_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)::BIGINT AS booth_count FROM region",
+    "j01_booths_with_event": "SELECT n_nationkey AS booth_id, n_name AS booth_name, r_name AS event_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey ORDER BY n_name",
     "j06_no_interest": f"SELECT p_partkey AS product_key, p_name AS product_name FROM part WHERE NOT EXISTS (SELECT 1 FROM ({HOLD_SQL}) h WHERE h.product_key = p_partkey AND duration_sec > 49)",
-    "j10_camera_union": f"""SELECT coalesce(a.c, b.c) AS camera_id, round(last_seen, 6) AS last_seen, coalesce(n, 0)::BIGINT AS crossings FROM (SELECT booth_id AS c, max(ts) AS last_seen FROM ({INTERACTION_SQL}) WHERE booth_id < 5 GROUP BY 1) a
-  FULL JOIN (SELECT booth_id AS c, count(*) AS n FROM ({CROSSING_SQL}) WHERE booth_id > 2 GROUP BY 1) b ON a.c = b.c""",
+    "j10_camera_union": f"""SELECT coalesce(a.c, b.c) AS camera_id, round(last_seen, 6) AS last_seen, coalesce(n, 0)::BIGINT AS crossings FROM (SELECT booth_id AS c, max(ts) AS last_seen FROM ({INTERACTION_SQL}) GROUP BY 1) a
+  FULL JOIN (SELECT booth_id + 3 AS c, count(*) AS n FROM ({CROSSING_SQL}) GROUP BY 1) b ON a.c = b.c""",
     "l01_newest_interactions": f"SELECT id, product_name, booth_id, round(ts, 6) AS ts FROM ({INTERACTION_SQL}) ORDER BY ts DESC, id DESC LIMIT 200",
     "l02_oldest_crossings": f"SELECT id, direction, round(ts, 6) AS ts FROM ({CROSSING_SQL}) ORDER BY ts, id LIMIT 2000",
 }

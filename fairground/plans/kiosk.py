@@ -38,7 +38,7 @@ def q28_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q29_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day from the first to the last of the table, 60 at most, with 0 where nothing was scanned."""
-    per = scans(spark, sf_dir).where((F.col("product_id") < 3) & F.col("corrected")).groupBy(local_day("created_at").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    per = scans(spark, sf_dir).where("matched").groupBy(local_day("created_at").cast("date").alias("day")).agg(F.count("*").alias("n"))
     last = scans(spark, sf_dir).agg(F.to_date(F.timestamp_seconds(F.max("created_at"))).alias("last"), F.to_date(F.timestamp_seconds(F.min("created_at"))).alias("first"))
     spine = last.select(F.explode(F.sequence(F.greatest("first", F.date_sub("last", 59)), "last")).alias("day"))
     return spine.join(per, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("scans")).orderBy("day")
@@ -60,7 +60,7 @@ def q31_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j04_scans_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = kiosk_products(spark, sf_dir).select(F.col("id").alias("product_id"), "name")
-    return scans(spark, sf_dir).where("confidence > 0.5").join(names, "product_id", "left").select("id", F.col("product_id").cast("string").alias("product_id"), "name", F.when(~F.col("matched"), "unmatched").when(F.col("corrected"), "corrected").otherwise("matched").alias("outcome"))
+    return scans(spark, sf_dir).join(names, "product_id", "left").select("id", F.col("product_id").cast("string").alias("product_id"), "name", F.when(~F.col("matched"), "unmatched").when(F.col("corrected"), "corrected").otherwise("matched").alias("outcome"))
 
 
 def j05_stale_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def s06_upsert_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t19_merge_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interest by person after a chain of merges: 3k+2 into 3k+1, 3k+1 into 3k."""
     holds = B.hold_events(spark, sf_dir).where("global_person_id IS NOT NULL").select(F.col("global_person_id").alias("person"), "duration_sec")
-    ids = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("loser")).where("loser % 3 <> 0 AND loser < 600")
+    ids = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("loser")).where("loser % 3 <> 0")
     merged = sinks.resolve_merges(ids.withColumn("winner", F.col("loser") - 1))
     rows = holds.join(merged, F.col("person") == F.col("loser"), "left").select(F.coalesce("winner", "person").alias("person"), "duration_sec")
     return rows.groupBy("person").agg(F.count("*").alias("holds"), F.round(F.sum("duration_sec"), 6).alias("duration_sec"))
@@ -162,14 +162,14 @@ ORACLE_SQL = {
     "q27_product_summary": f"SELECT id, name, scan_count, avg_confidence, last_scan FROM ({_PER}) ORDER BY scan_count DESC, name, id",
     "q28_hourly": f"SELECT extract(hour FROM {_AT})::BIGINT AS hour, count(*)::BIGINT AS scans FROM ({SCAN_SQL}) WHERE created_at >= {SINCE} AND matched GROUP BY 1",
     "q29_daily": f"""WITH s AS (SELECT *, ({_AT})::DATE AS day FROM ({SCAN_SQL})), b AS (SELECT greatest(min(day), max(day) - 59) AS first, max(day) AS last FROM s),
-  d AS (SELECT unnest(generate_series(first::TIMESTAMP, last::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM b), n AS (SELECT day, count(*) AS n FROM s WHERE product_id < 3 AND corrected GROUP BY day)
+  d AS (SELECT unnest(generate_series(first::TIMESTAMP, last::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM b), n AS (SELECT day, count(*) AS n FROM s WHERE matched GROUP BY day)
   SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(n, 0)::BIGINT AS scans FROM d LEFT JOIN n USING (day) ORDER BY 1""",
     "q30_product_rows": f"SELECT id, name, category, price, scan_count, avg_confidence FROM ({_PER})",
     "q31_overview": f"""SELECT s AS successful, u AS unmatched, c AS corrected, o AS orphaned, d AS products_scanned, t AS total, round(s / nullif(s + u, 0), 6) AS success_rate FROM (SELECT
   count(*) FILTER (matched AND product_id IS NOT NULL)::BIGINT AS s, count(*) FILTER (NOT matched)::BIGINT AS u, count(*) FILTER (corrected AND product_id IS NOT NULL)::BIGINT AS c,
   count(*) FILTER (matched AND product_id IS NULL)::BIGINT AS o, count(DISTINCT product_id) FILTER (matched)::BIGINT AS d, count(*)::BIGINT AS t FROM ({SCAN_SQL}) WHERE created_at >= {SINCE})""",
     "j04_scans_with_names": f"""SELECT s.id, product_id::VARCHAR AS product_id, name, CASE WHEN NOT matched THEN 'unmatched' WHEN corrected THEN 'corrected' ELSE 'matched' END AS outcome
-  FROM ({SCAN_SQL}) s LEFT JOIN ({PRODUCT_SQL}) p ON p.id = product_id WHERE confidence > 0.5""",
+  FROM ({SCAN_SQL}) s LEFT JOIN ({PRODUCT_SQL}) p ON p.id = product_id""",
     "j05_stale_products": f"SELECT id, name FROM ({PRODUCT_SQL}) p WHERE NOT EXISTS (SELECT 1 FROM ({SCAN_SQL}) s WHERE s.product_id = p.id AND confidence >= 0.6)",
     "q45_catalog_search": f"SELECT id, name FROM ({PRODUCT_SQL}) WHERE contains(lower(concat_ws(' ', name, category, origin)), 'red') AND contains(lower(concat_ws(' ', name, category, origin)), '1')",
     "q46_category_facets": f"SELECT coalesce(category, '__none__') AS category, count(*)::BIGINT AS products FROM ({PRODUCT_SQL}) GROUP BY 1 ORDER BY coalesce(category, '__none__') = '__none__', 2 DESC, 1",
@@ -179,6 +179,6 @@ ORACLE_SQL = {
   SELECT event_type, (count(DISTINCT key) + 2 * count(*) FILTER (key IS NULL))::BIGINT AS kept, (2 * count(*) FILTER (key IS NULL))::BIGINT AS without_key FROM e GROUP BY 1""",
     "s05_upsert_latest": f"SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value, arg_min(k, (ts, event_id)) AS k FROM ({EVENT_SQL}) GROUP BY 1",
     "s06_upsert_min_max": f"SELECT user_id, round(min(ts), 6) AS first_seen, round(max(ts), 6) AS last_seen, arg_max(k, (ts, event_id)) AS k FROM ({EVENT_SQL}) GROUP BY 1",
-    "t19_merge_propagation": f"""SELECT CASE WHEN global_person_id < 600 THEN global_person_id - global_person_id % 3 ELSE global_person_id END AS person, count(*)::BIGINT AS holds, round(sum(duration_sec), 6) AS duration_sec
+    "t19_merge_propagation": f"""SELECT global_person_id - global_person_id % 3 AS person, count(*)::BIGINT AS holds, round(sum(duration_sec), 6) AS duration_sec
   FROM ({HOLD_SQL}) WHERE global_person_id IS NOT NULL GROUP BY 1""",
 }

@@ -156,8 +156,9 @@ def w03_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w05_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users silent for a day at the end of the log."""
     per = B.events(spark, sf_dir).groupBy("user_id").agg(F.max("ts").alias("last"))
-    now = F.max("last").over(W.partitionBy())
-    return per.select("user_id", F.when(now - F.col("last") > 86400, "OFFLINE").otherwise("ONLINE").alias("state"))
+    # one row, the end of the log, beside every user
+    rows = per.join(F.broadcast(per.agg(F.max("last").alias("now"))))
+    return rows.select("user_id", F.when(F.col("now") - F.col("last") > 86400, "OFFLINE").otherwise("ONLINE").alias("state"))
 
 
 def l09_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:

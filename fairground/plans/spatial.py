@@ -72,9 +72,8 @@ def t30_load_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.hysteresis(B.events(spark, sf_dir).select("user_id", "ts", "value"), "user_id", "ts", "value", 60.0, 40.0, 3600.0)
 
 
-def _gallery(spark: SparkSession, sf_dir: str, live: bool) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 5 == 0 if live else F.col("vec_id") % 5 != 0)
-    return vectors.valid(rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")), "v", 64)
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.valid(table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")), "v", 64)
 
 
 def v01_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +84,10 @@ def v01_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v03_burst_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = _gallery(spark, sf_dir, True).select((F.col("vec_id") / 50).cast("int").cast("long").alias("burst_id"), F.col("vec_id").alias("frame_no"), "v")
-    return vectors.burst_match(live, _gallery(spark, sf_dir, False).select(F.col("label").cast("long").alias("product"), "v"))
+    """The stated queries, five frames to a burst, against all other vectors."""
+    rows = _vectors(spark, sf_dir)
+    live = rows.where("vec_id % 20 = 0").select(F.floor(F.col("vec_id") / 100).alias("burst_id"), F.col("vec_id").alias("frame_no"), "v")
+    return vectors.burst_match(live, rows.where("label IS NOT NULL").select(F.col("vec_id").alias("template"), F.col("label").cast("long").alias("product"), "v"))
 
 
 def l06_best_per_track(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +170,13 @@ ORACLE_SQL = {
   t AS (SELECT event_id, (a * 0.4::DOUBLE + coalesce(b * 0.3::DOUBLE, 0) + coalesce(c * 0.3::DOUBLE, 0)) / (0.4::DOUBLE + CASE WHEN b IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN c IS NULL THEN 0 ELSE 0.3::DOUBLE END) AS s,
   1 + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT AS n FROM s) SELECT event_id, round(s, 6) AS score, CASE WHEN s >= 0.7 AND n >= 3 THEN 'HIGH' WHEN s >= 0.4 THEN 'POSSIBLE' ELSE 'LOW' END AS level FROM t""",
     "v01_cosine": f"SELECT vec_id, round(list_cosine_similarity(v, mean), 6) AS cosine FROM ({_VECTORS}) JOIN ({_MEANS.format(_VECTORS)}) USING (label)",
+    "v03_burst_consensus": f"""WITH e AS ({_VECTORS}), s AS (SELECT q.vec_id // 100 AS burst_id, q.vec_id AS frame, g.label::BIGINT AS product, max(list_cosine_similarity(q.v, g.v)) AS sim
+  FROM e q JOIN e g ON q.vec_id % 20 = 0 AND g.vec_id <> q.vec_id AND g.label IS NOT NULL GROUP BY 1, 2, 3), w AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY sim DESC, product) = 1 AS wins FROM s),
+  p AS (SELECT burst_id, product, count(*) AS n, quantile_cont(sim, 0.5) AS med, list_sort(list(sim)) AS sims, count(*) FILTER (wins) AS wins, count(*) FILTER (sim >= {vectors.SUPPORT}) AS supports FROM w GROUP BY 1, 2),
+  c AS (SELECT *, 0.5::DOUBLE * med + 0.5::DOUBLE * list_avg(sims[floor(n * {vectors.TRIM})::INT + 1 : n - floor(n * {vectors.TRIM})::INT]) AS score FROM p),
+  r AS (SELECT *, lead(score) OVER o AS next, row_number() OVER o AS rank FROM c WINDOW o AS (PARTITION BY burst_id ORDER BY score DESC, product))
+  SELECT burst_id, product, round(score, 6) AS score, round(wins / n, 6) AS agreement, round(supports / n, 6) AS support, CASE WHEN n < {vectors.FRAMES} THEN 'unstable' WHEN score < {vectors.SUPPORT} THEN 'unknown'
+  WHEN score - coalesce(next, -1) < {vectors.GAP} OR wins / n < {vectors.AGREEMENT} OR supports / n < {vectors.SUPPORTED} THEN 'ambiguous' ELSE 'matched' END AS status FROM r WHERE rank = 1""",
     "l06_best_per_track": f"SELECT user_id, event_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM ({EVENT_SQL})) WHERE rank <= 8",
     "v07_representative": f"""SELECT label, round(mean[1] / {_NORM}, 6) AS x0, round(mean[64] / {_NORM}, 6) AS x63
   FROM ({_MEANS.format(f'SELECT * FROM ({_VECTORS}) QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 8')})""",

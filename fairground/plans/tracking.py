@@ -109,9 +109,9 @@ def v06_product_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     possible or unknown by likeness and by the gap to the runner-up."""
     rows = vectors.valid(table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")), "v", 64)
     rows = rows.withColumn("v", vectors.normalised(F.col("v")))
-    gallery = rows.where("vec_id % 20 <> 0 AND label IS NOT NULL").select("label", F.col("v").alias("g"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("block"))
+    gallery = rows.where("label IS NOT NULL").select(F.col("vec_id").alias("other"), "label", F.col("v").alias("g"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("block"))
     asked = rows.where("vec_id % 20 = 0").select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("block"))
-    per = asked.join(gallery, "block").groupBy("vec_id", "label").agg(F.round(F.max(vectors.dot(F.col("v"), F.col("g"))), 6).alias("score"))
+    per = asked.join(gallery, "block").where("vec_id <> other").groupBy("vec_id", "label").agg(F.round(F.max(vectors.dot(F.col("v"), F.col("g"))), 6).alias("score"))
     by = W.partitionBy("vec_id").orderBy(F.desc("score"), F.desc("label"))
     top = per.withColumn("next", F.coalesce(F.lead("score").over(by), F.lit(0.0))).withColumn("rank", F.row_number().over(by)).where("rank = 1")
     sure = (F.col("score") >= KNOWN) & (F.col("score") - F.col("next") >= MARGIN)
@@ -132,7 +132,7 @@ ORACLE_SQL = {
   l AS (SELECT user_id, lag(camera_id) OVER w AS from_camera, camera_id AS to_camera, round(ts - lag(ts) OVER w, 6) AS transit_sec FROM f WINDOW w AS (PARTITION BY user_id ORDER BY seen))
   SELECT * FROM l WHERE from_camera IS NOT NULL""",
     "v06_product_classify": f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id, g.label, round(max(list_cosine_similarity(q.v, g.v)), 6) AS score
-  FROM e q JOIN e g ON q.vec_id % 20 = 0 AND g.vec_id % 20 <> 0 AND g.label IS NOT NULL GROUP BY 1, 2),
+  FROM e q JOIN e g ON q.vec_id % 20 = 0 AND g.vec_id <> q.vec_id AND g.label IS NOT NULL GROUP BY 1, 2),
   r AS (SELECT *, coalesce(lead(score) OVER w, 0) AS next, row_number() OVER w AS rank FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, label DESC))
   SELECT vec_id, CASE WHEN score < {POSSIBLE} THEN 'UNKNOWN' WHEN score >= {KNOWN} AND score - next >= {MARGIN} THEN 'KNOWN' ELSE 'POSSIBLE' END AS status,
   CASE WHEN score >= {POSSIBLE} THEN label END AS label, round(score, 3) AS score, round(next, 3) AS runner_up FROM r WHERE rank = 1""",
