@@ -31,6 +31,8 @@ CONTEXT = 200
 LEFT_BITS, VAGUE_BITS, DOUBT = 0.25, 0.75, 1 / 3
 #: Texts with a term from which on it may be generalised: fewer say too little of so weak a tie.
 VAGUE_TEXTS = 4
+#: One in so many texts, by their hash, bounds from below how many hold a term.
+SLICES = 16
 #: Rows and bytes up to which a table of terms or of texts is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
 
@@ -146,6 +148,13 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text", left_bits: float =
     wanted = contexts.join(entities.select("entity").hint("merge"), "entity")
     pairs = wanted.select("entity", F.explode(_terms(_without_emails(F.col("context")))).alias("term")).distinct()
     pairs = scratch(pairs, "terms")
+    # a term that a slice of the texts already holds too often for a value can't pass, however many more hold it
+    _, small = _small(pairs.select("term").distinct(), ["term"])
+    part = rows.where(F.pmod("h", F.lit(SLICES)) == 0).select("h", F.explode(_terms(_without_emails(F.col("text_")))).alias("term"))
+    part = part.join(small(pairs.select("term").distinct()), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    bound = pairs.join(part, "term", "left").join(entities, "entity")
+    frequent = (F.col("least") > F.col("with_entity")) & (left(F.col("with_entity"), F.col("least")) > F.col("allowed"))
+    pairs = scratch(bound.where(~F.coalesce(frequent, F.lit(False))).select("entity", "term"), "rare_terms")
     candidates = pairs.select("term").distinct()
     held, small = _small(candidates, ["term"])
     if held == 0:
