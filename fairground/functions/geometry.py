@@ -33,6 +33,12 @@ def side_of(px, py, line: tuple[float, float, float, float]) -> Column:
     return ((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)) / length
 
 
+def touches_line(x1, y1, x2, y2, line: tuple[float, float, float, float]) -> Column:
+    """Whether the infinite line through two points cuts a box: its corners lie on both sides."""
+    sides = [side_of(px, py, line) for px in (x1, x2) for py in (y1, y2)]
+    return F.coalesce((F.least(*sides) < 0) & (F.greatest(*sides) > 0), F.lit(False))
+
+
 def in_rectangle(px, py, x: float, y: float, width: float, height: float, rotation: float = 0.0) -> Column:
     """Whether a point is in a rectangle that is turned about its centre by so many degrees."""
     cx, cy, turn = x + width / 2, y + height / 2, radians(-rotation)

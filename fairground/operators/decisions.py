@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairground.operators.folds import fold
@@ -66,34 +66,6 @@ def scan_switches(rows: DataFrame) -> DataFrame:
     return fold(rows, ["camera_id"], ["ts", "scan_id"], scan_start, scan_step, SCAN)
 
 
-# ---------------------------------------------------------------------------------------------
-# whether something stands on the platform
-
-#: Share of changed pixels, frames and seconds that turn the state on and off (fixed values).
-ON, OFF = (0.12, 10, 0.6), (0.04, 12, 0.6)
-PRESENCE = "camera_id long, ts double, state string"
-
-
-def presence_start() -> dict:
-    return {"present": False, "frames": 0, "since": None}
-
-
-def presence_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
-    """row: camera_id, ts, ratio. The state turns after enough frames in a row over enough seconds."""
-    level, frames, seconds = OFF if state["present"] else ON
-    if not (row["ratio"] <= level if state["present"] else row["ratio"] >= level):
-        return {**state, "frames": 0, "since": None}, []
-    since = row["ts"] if state["since"] is None else state["since"]
-    if state["frames"] + 1 < frames or row["ts"] - since < seconds:
-        return {**state, "frames": state["frames"] + 1, "since": since}, []
-    turned = not state["present"]
-    return {"present": turned, "frames": 0, "since": None}, [{"camera_id": row["camera_id"], "ts": row["ts"], "state": "PRESENT" if turned else "EMPTY"}]
-
-
-def presence(rows: DataFrame) -> DataFrame:
-    return fold(rows, ["camera_id"], ["ts"], presence_start, presence_step, PRESENCE)
-
-
 # ---------------------------------------------------------------------------------------------
 # which devices are plugged in
 
@@ -102,103 +74,32 @@ GONE_POLLS = 2
 DEVICE = "machine long, ts double, added string, removed string"
 
 
-def device_step(state: tuple, row: dict) -> tuple[tuple, list[dict]]:
+def device_start() -> dict:
+    return {"known": None, "asked": None, "polls": 0}
+
+
+def device_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
     """row: machine, ts, devices (names, or null for a failed poll). The first poll is the baseline;
     new names count at once, missing ones once GONE_POLLS polls in a row show the same devices."""
-    stable, pending, times = state
     if row["devices"] is None:
         return state, []
-    now = sorted(row["devices"])
-    if stable is None:
-        return (now, None, 0), []
-    added, removed = Counter(now) - Counter(stable), Counter(stable) - Counter(now)
-    if not added and not removed:
-        return (stable, None, 0), []
-    if not added:
-        times = times + 1 if pending == now else 1
-        if times < GONE_POLLS:
-            return (stable, now, times), []
-    event = {"machine": row["machine"], "ts": row["ts"], "added": ",".join(sorted(added.elements())), "removed": ",".join(sorted(removed.elements()))}
-    return (now, None, 0), [event]
-
-
-def device_changes(rows: DataFrame) -> DataFrame:
-    return fold(rows, ["machine"], ["ts"], lambda: (None, None, 0), device_step, DEVICE)
-
-
-# ---------------------------------------------------------------------------------------------
-# hands on a product
-
-#: Overlap that counts as contact, frames of it and pixels of movement that confirm (fixed values).
-CONTACT, CONTACT_FRAMES, MOVED_PX = 0.02, 3, 15.0
-INTERACTION = "person long, product long, ts double, status string"
+    now = Counter(row["devices"])
+    if state["known"] is None or now == state["known"]:
+        return {"known": now, "asked": None, "polls": 0}, []
+    came, gone = now - state["known"], state["known"] - now
+    polls = state["polls"] + 1 if state["asked"] == now else 1
+    if not came and polls < GONE_POLLS:
+        return {**state, "asked": now, "polls": polls}, []
+    named = {end: ",".join(sorted(x.elements())) for end, x in (("added", came), ("removed", gone))}
+    return {"known": now, "asked": None, "polls": 0}, [{"machine": row["machine"], "ts": row["ts"], **named}]
 
 
-def interaction_start() -> dict:
-    return {"rest": None, "frames": 0, "moved": 0.0}
-
-
-def interaction_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
-    """row: person, product, ts, iou, cx, cy. Contact frames count up and down; with none left the
-    product rests where it is."""
-    rest = state["rest"] or (row["cx"], row["cy"])
-    moved = max(state["moved"], ((row["cx"] - rest[0]) ** 2 + (row["cy"] - rest[1]) ** 2) ** 0.5)
-    contact = row["iou"] >= CONTACT
-    frames = state["frames"] + 1 if contact else max(0, state["frames"] - 1)
-    if frames == 0:
-        rest, moved = (row["cx"], row["cy"]), 0.0
-    status = "POSSIBLE_INTERACTION" if contact else "UNKNOWN"
-    if frames >= CONTACT_FRAMES and moved >= MOVED_PX:
-        status = "CONFIRMED_INTERACTION"
-    return {"rest": rest, "frames": frames, "moved": moved}, [{"person": row["person"], "product": row["product"], "ts": row["ts"], "status": status}]
-
-
-def interactions(rows: DataFrame) -> DataFrame:
-    return fold(rows, ["person", "product"], ["ts"], interaction_start, interaction_step, INTERACTION)
+def device_changes(rows: DataFrame, tie: str | None = None) -> DataFrame:
+    return fold(rows, ["machine"], ["ts", tie] if tie else ["ts"], device_start, device_step, DEVICE)
 
 
 # ---------------------------------------------------------------------------------------------
-# products confirmed over time and by several cameras
-
-#: Box sizes in pixels of full and of least trust, least confidence and further hits at the latter;
-#: seconds and number of hits remembered, overlap that supports (fixed values).
-FULL_PX, LEAST_PX, FAR_CONFIDENCE, FAR_HITS = 80.0, 24.0, 0.75, 2
-HIT_SECONDS, HITS_KEPT, HIT_IOU = 4.0, 12, 0.2
-CONFIRMED = "camera_id long, product long, ts double, confirmed boolean"
-
-
-def far_share(px: Column) -> Column:
-    """0 for boxes of full trust and of unknown size, 1 at the smallest."""
-    share = (FULL_PX - F.greatest(px, F.lit(LEAST_PX))) / (FULL_PX - LEAST_PX)
-    return F.when(px < FULL_PX, share).otherwise(0.0)
-
-
-def least_confidence(px: Column, base: float) -> Column:
-    return F.greatest(F.lit(base), base + far_share(px) * (FAR_CONFIDENCE - base))
-
-
-def hits_needed(px: Column, base: int) -> Column:
-    return (F.lit(base) + F.bround(far_share(px) * FAR_HITS)).cast("int")
-
-
-def _overlap(a: tuple, b: tuple) -> float:
-    both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
-    return both / union if union > 0 else 0.0
-
-
-def confirm_step(recent: list, row: dict) -> tuple[list, list[dict]]:
-    """row: camera_id, product, ts, x1, y1, x2, y2, needed (hits, this one counted)."""
-    box = (row["x1"], row["y1"], row["x2"], row["y2"])
-    recent = [hit for hit in recent if row["ts"] - hit[0] <= HIT_SECONDS]
-    support = sum(_overlap(hit[1], box) >= HIT_IOU for hit in recent)
-    event = {"camera_id": row["camera_id"], "product": row["product"], "ts": row["ts"], "confirmed": support + 1 >= row["needed"]}
-    return [*recent, (row["ts"], box)][-HITS_KEPT:], [event]
-
-
-def confirmations(rows: DataFrame) -> DataFrame:
-    return fold(rows, ["camera_id", "product"], ["ts"], list, confirm_step, CONFIRMED)
-
+# products that several cameras see
 
 #: Seconds for which a camera's sighting lasts, of one camera's sight that suffice, between changes
 #: (fixed values).
@@ -207,36 +108,38 @@ AGREED = "booth_id long, ts double, product string, confidence double, reason st
 
 
 def agreement_start() -> dict:
-    return {"seen": {}, "first": {}, "current": None, "changed": None}
+    return {"seen": {}, "since": {}, "agreed": None, "changed": None}
 
 
 def agreement_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
     """row: booth_id, ts, camera_id, found (product to confidence: all that the camera sees now).
 
-    A product that two cameras see is agreed on, else one that has been in sight for STABLE seconds; of
-    several, the one in sight for longest. Without any in sight the booth is idle."""
-    now, camera = row["ts"], row["camera_id"]
-    live = {p: {c: s for c, s in cams.items() if now - s[0] <= TOGETHER} for p, cams in state["seen"].items()}
-    first = {p: t for p, t in state["first"].items() if live.get(p)}
-    live = {p: live[p] for p in first}
-    found = dict(row["found"] or [])
-    for p, confidence in found.items():
-        live.setdefault(p, {})[camera] = (now, confidence)
-        first.setdefault(p, now)
-    for p in [p for p in live if p not in found]:
-        live[p].pop(camera, None)
-    live = {p: cams for p, cams in live.items() if cams}
-    first = {p: first[p] for p in live}
-    current = state["current"] if live else None
-    several = [(p, "multi_camera_agreement") for p, cams in live.items() if len(cams) > 1]
-    stable = [(p, "single_camera_stable") for p in live if now - first[p] >= STABLE]
-    best, reason = (several + stable + [(None, None)])[0]
-    state = {"seen": live, "first": first, "current": current, "changed": state["changed"]}
-    if best is None or best == current or (state["changed"] is not None and now - state["changed"] < BETWEEN):
+    The state holds sightings, (product, camera) to time and confidence, the time since which each product
+    has been in sight, and what was agreed on last, and when. A product that two cameras see is agreed on,
+    else one that has been in sight for STABLE seconds; of several, the one in sight for longest. Without
+    any in sight the booth is idle."""
+    now, camera, found = row["ts"], row["camera_id"], dict(row["found"] or [])
+    fresh = {at: seen for at, seen in state["seen"].items() if now - seen[0] <= TOGETHER}
+    in_sight = {p for p, _ in fresh}
+    since = {p: t for p, t in state["since"].items() if p in in_sight}
+    # what the camera says now replaces what it said before
+    fresh = {at: seen for at, seen in fresh.items() if at[1] != camera} | {(p, camera): (now, c) for p, c in found.items()}
+    since |= {p: now for p in found if p not in since}
+    cameras: dict = {}
+    for p, c in fresh:
+        cameras.setdefault(p, set()).add(c)
+    since = {p: t for p, t in since.items() if p in cameras}
+    # in sight for longest first: since keeps the order in which products came
+    together = [p for p in since if len(cameras[p]) > 1]
+    alone = [p for p in since if now - since[p] >= STABLE]
+    best = next(iter(together + alone), None)
+    agreed = state["agreed"] if cameras else None
+    state = {**state, "seen": fresh, "since": since, "agreed": agreed}
+    if best is None or best == agreed or (state["changed"] is not None and now - state["changed"] < BETWEEN):
         return state, []
-    cams = live[best]
-    event = {"booth_id": row["booth_id"], "ts": now, "product": best, "confidence": max(s[1] for s in cams.values()), "reason": reason, "cameras": ",".join(str(c) for c in sorted(cams))}
-    return {**state, "current": best, "changed": now}, [event]
+    reason = "multi_camera_agreement" if together else "single_camera_stable"
+    event = {"booth_id": row["booth_id"], "ts": now, "product": best, "confidence": max(fresh[best, c][1] for c in cameras[best]), "reason": reason, "cameras": ",".join(str(c) for c in sorted(cameras[best]))}
+    return {**state, "agreed": best, "changed": now}, [event]
 
 
 def agreements(rows: DataFrame) -> DataFrame:

@@ -43,6 +43,8 @@ def _arrow(schema: str) -> pa.Schema:
 def throttle(rows: DataFrame, key: str, ts: str, tie: str, interval: float) -> DataFrame:
     """A key's rows that come at least interval after the last row taken (not a tumbling window)."""
     def step(last, row):
+        if row[ts] is None:
+            return last, []
         if last is None or row[ts] - last >= interval:
             return row[ts], [row]
         return last, []
@@ -62,10 +64,13 @@ def tripwire_start() -> dict:
 
 def tripwire_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
     """row: camera_id, track_id, ts, signed distance (null within no line), age, height, inside (the
-    side that counts as inside, 1 or -1). A reading in the dead zone changes nothing; a new side must be
-    read READINGS times in a row; a crossing within the cooldown moves the side but is no event."""
+    side that counts as inside, 1 or -1), and touches (whether the line cuts the box; without it, no).
+    A reading in the dead zone changes nothing, unless the box touches the line: then its side counts
+    however near. A new side must be read READINGS times in a row; a crossing within the cooldown moves
+    the side but is no event."""
     d = row["distance"]
-    if d is None or abs(d) < AMBIGUOUS or row["age"] < LEAST_AGE or row["height"] < LEAST_HEIGHT:
+    unclear = d is None or (abs(d) < AMBIGUOUS and not row.get("touches"))
+    if unclear or row["age"] < LEAST_AGE or row["height"] < LEAST_HEIGHT:
         return state, []
     side = 1 if d >= 0 else -1
     if state["side"] is None:
@@ -84,8 +89,9 @@ def tripwire_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
 CROSSING = "camera_id long, track_id long, ts double, direction string"
 
 
-def tripwire(rows: DataFrame) -> DataFrame:
-    return fold(rows, ["camera_id", "track_id"], ["ts"], tripwire_start, tripwire_step, CROSSING)
+def tripwire(rows: DataFrame, tie: str | None = None) -> DataFrame:
+    """tie: a column that orders readings of one time."""
+    return fold(rows, ["camera_id", "track_id"], ["ts", tie] if tie else ["ts"], tripwire_start, tripwire_step, CROSSING)
 
 
 #: Seconds of holding that confirm interest, of absence that end it (fixed values).
@@ -133,21 +139,5 @@ def _hold(row: dict, event: str, state: dict, at: float) -> dict:
 HOLD = "camera_id long, product long, event string, holder long, start_ts double, ts double"
 
 
-def product_holds(rows: DataFrame) -> DataFrame:
-    return fold(rows, ["camera_id", "product"], ["ts"], hold_start, hold_step, HOLD)
-
-
-def hysteresis(rows: DataFrame, key: str, ts: str, value: str, high: float, low: float, seconds: float) -> DataFrame:
-    """key, ts, state: `paused` once the value was at or over high for so long, `resumed` once it was at
-    or under low for so long."""
-    def step(state, row):
-        on, since = state
-        over = row[value] >= high if not on else row[value] <= low
-        if not over:
-            return (on, None), []
-        since = row[ts] if since is None else since
-        if row[ts] - since >= seconds:
-            return (not on, None), [{key: row[key], "ts": row[ts], "state": "resumed" if on else "paused"}]
-        return (on, since), []
-
-    return fold(rows.select(key, ts, value), [key], [ts], lambda: (False, None), step, f"{key} long, ts double, state string")
+def product_holds(rows: DataFrame, tie: str | None = None) -> DataFrame:
+    return fold(rows, ["camera_id", "product"], ["ts", tie] if tie else ["ts"], hold_start, hold_step, HOLD)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fairground.functions import geometry as G
-from fairground.operators import folds, vectors
+from fairground.operators import decisions, folds, runs, vectors
 from fairground.sources import bindings as B
 from fairground.sources.bindings import EVENT_SQL, POSITION_SQL, table
 
@@ -28,11 +28,29 @@ def j12_near_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.positions(spark, sf_dir).select("id", F.inline(F.filter(near, lambda s: s["distance"] <= 2.0)))
 
 
+#: Metres a second that nobody walks, and what is left of the confidence in such a jump (fixed values).
+TOO_FAST, JUMPED = 3.0, 0.2
+
+
+def position_step(last: tuple | None, row: dict) -> tuple[tuple | None, list[dict]]:
+    """row: person, id, at, wx, wy, confidence. A jump from the last accepted position is told with little
+    confidence, and isn't accepted."""
+    out = {"id": row["id"], "wx": row["wx"], "wy": row["wy"], "confidence": row["confidence"]}
+    if last is not None:
+        seconds = max(1e-3, row["at"] - last[0])
+        if ((row["wx"] - last[1]) ** 2 + (row["wy"] - last[2]) ** 2) ** 0.5 / seconds > TOO_FAST:
+            return last, [{**out, "confidence": round(row["confidence"] * JUMPED, 3)}]
+    return (row["at"], row["wx"], row["wy"]), [out]
+
+
 def t26_world_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points on the floor, and how far they can be trusted: less out of bounds, little after a jump. An
+    hour of the log counts as a second here."""
     wx, wy = G.project(F.col("x"), F.col("y"), HOMOGRAPHY)
-    rows = B.positions(spark, sf_dir).select("id", wx.alias("wx"), wy.alias("wy"))
+    rows = B.positions(spark, sf_dir).select("id", "person", F.round((F.col("ts") - 1704067200) / 3600, 6).alias("at"), F.round(wx, 3).alias("wx"), F.round(wy, 3).alias("wy"))
     fine = F.col("wx").between(-0.5, 9.5) & F.col("wy").between(-0.5, 5.5)
-    return rows.select("id", F.round("wx", 6).alias("wx"), F.round("wy", 6).alias("wy"), F.when(fine, 0.9).otherwise(0.45).alias("confidence"))
+    rows = rows.withColumn("confidence", F.when(fine, 0.9).otherwise(0.45))
+    return folds.fold(rows, ["person"], ["at", "id"], lambda: None, position_step, "id long, wx double, wy double, confidence double")
 
 
 def t27_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,32 +62,54 @@ def l04_top_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t27_heatmap(spark, sf_dir).orderBy(F.desc("traffic"), F.desc(F.col("row") * 20 + F.col("col"))).limit(5).select("row", "col", "traffic")
 
 
+#: Weights of the signals of interest, seconds of looking and of standing that count and that are full,
+#: metres that are near, scores of high and possible interest, signals that high needs (fixed values).
+INTEREST = {"gaze": 0.30, "head_pose": 0.15, "distance": 0.15, "look_duration": 0.15, "stop": 0.10, "approach": 0.10, "interaction": 0.05}
+LOOKS, STANDS, NEAR, HIGH, POSSIBLE, SIGNALS = (1.5, 10.0), (2.0, 15.0), 1.5, 0.70, 0.40, 3
+
+
+def interest(signals: dict) -> tuple:
+    """Score and number of the signals that are there (not null), by their weights, renormalised; null and 0
+    without any."""
+    weight = sum((F.when(x.isNotNull(), INTEREST[c]).otherwise(0.0) for c, x in signals.items()), F.lit(0.0))
+    total = sum((F.coalesce(x * INTEREST[c], F.lit(0.0)) for c, x in signals.items()), F.lit(0.0))
+    return F.when(weight > 0, total / weight), sum((x.isNotNull().cast("int") for x in signals.values()), F.lit(0))
+
+
 def t23_interest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of the signals that are there, renormalised; high needs three of them."""
-    signals = {"look": (0.4, F.least(F.col("value") / 100, F.lit(1.0))), "dwell": (0.3, F.when(F.col("k") % 3 != 0, F.least(F.col("k") / 75, F.lit(1.0)))), "facing": (0.3, F.when(F.col("user_id") % 4 != 0, (F.col("user_id") % 10) / 9.0))}
-    weight = sum((F.when(x.isNotNull(), w).otherwise(0.0) for w, x in signals.values()), F.lit(0.0))
-    score = sum((F.coalesce(x * w, F.lit(0.0)) for w, x in signals.values()), F.lit(0.0)) / weight
-    n = sum((x.isNotNull().cast("int") for _, x in signals.values()), F.lit(0))
-    rows = B.events(spark, sf_dir).select("event_id", score.alias("s"), n.alias("signals"))
-    return rows.select("event_id", F.round("s", 6).alias("score"), F.when((F.col("s") >= 0.7) & (F.col("signals") >= 3), "HIGH").when(F.col("s") >= 0.4, "POSSIBLE").otherwise("LOW").alias("level"))
+    """High needs three signals; without any the interest is unknown."""
+    look, dwell, metres = F.col("value") / 10, F.col("k") / 5, F.pmod(F.col("value"), F.lit(3.0))
+    observed = F.col("k") % 6 != 0
+    signals = {
+        "look_duration": F.when(look >= LOOKS[0], F.least(F.lit(1.0), look / LOOKS[1])), "stop": F.when(dwell >= STANDS[0], F.least(F.lit(1.0), dwell / STANDS[1])),
+        "distance": F.when(observed, F.greatest(F.lit(0.0), 1 - metres / NEAR)), "approach": F.when(observed & (F.col("event_type") == "click"), 1.0),
+        "head_pose": F.when(observed & (F.col("user_id") % 4 != 0), F.col("user_id") % 10 / 9), "gaze": F.when(observed & (F.col("user_id") % 3 != 0), F.col("k") / 100), "interaction": F.when(F.col("event_type") == "purchase", 1.0),
+    }
+    score, n = interest(signals)
+    rows = B.events(spark, sf_dir).select("event_id", F.round(score, 6).alias("s"), n.alias("signals"))
+    level = F.when(F.col("s").isNull(), "UNKNOWN").when((F.col("s") >= HIGH) & (F.col("signals") >= SIGNALS), "HIGH").when(F.col("s") >= POSSIBLE, "POSSIBLE").otherwise("LOW")
+    return rows.select("event_id", F.coalesce("s", F.lit(0.0)).alias("score"), level.alias("level"))
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.events(spark, sf_dir).select((F.col("user_id") % 5).alias("camera_id"), F.col("user_id").alias("track_id"), "ts", ((F.col("k") - 50) / 100.0).alias("distance"), (F.col("k") % 10 / 5.0).alias("age"), (F.col("value") / 100).alias("height"), F.lit(1).alias("inside"))
+    """Foot points right and left of an upright line, of boxes some of which reach over it."""
+    x, half = F.col("k") / 100, F.col("value") / 2000
+    touches = G.touches_line(x - half, F.lit(0.2), x + half, F.lit(0.8), (0.5, 1.0, 0.5, 0.0))
+    return B.events(spark, sf_dir).select((F.col("user_id") % 5).alias("camera_id"), F.col("user_id").alias("track_id"), "ts", ((F.col("k") - 50) / 100.0).alias("distance"), (F.col("k") % 10 / 5.0).alias("age"), (F.col("value") / 100).alias("height"), F.lit(1).alias("inside"), touches.alias("touches"), "event_id")
 
 
 def t02_tripwire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.tripwire(_readings(spark, sf_dir))
+    return folds.tripwire(_readings(spark, sf_dir), "event_id")
 
 
 def t06_product_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = (F.col("ts") - 1704067200) / 600
-    rows = B.events(spark, sf_dir).select((F.col("user_id") % 5).alias("camera_id"), (F.col("k") % 4).alias("product"), seconds.alias("ts"), (F.col("event_type") != "error").alias("moved"), F.when(F.col("value") < 60, F.col("user_id") % 2).alias("holder"))
-    return folds.product_holds(rows)
+    rows = B.events(spark, sf_dir).select((F.col("user_id") % 5).alias("camera_id"), (F.col("k") % 4).alias("product"), seconds.alias("ts"), (F.col("event_type") != "error").alias("moved"), F.when(F.col("value") < 60, F.col("user_id") % 2).alias("holder"), "event_id")
+    return folds.product_holds(rows, "event_id")
 
 
 def t30_load_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.hysteresis(B.events(spark, sf_dir).select("user_id", "ts", "value"), "user_id", "ts", "value", 60.0, 40.0, 3600.0)
+    return runs.hysteresis(B.events(spark, sf_dir), "user_id", "ts", "event_id", "value", 60.0, 40.0, 3600.0).select("user_id", F.round("ts", 6).alias("ts"), "state")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,13 +144,21 @@ def v07_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("label", F.round(F.get(vectors.normalised(F.col("mean")), 0), 6).alias("x0"), F.round(F.get(vectors.normalised(F.col("mean")), 63), 6).alias("x63"))
 
 
+#: Overlap from which on a predicted box is right (fixed value).
+RIGHT_IOU = 0.5
+
+
 def e01_detection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision, recall and F1 of errors foretold by high values, by user."""
-    hit, real = F.col("value") >= 50, F.col("event_type") == "error"
-    per = B.events(spark, sf_dir).groupBy("user_id").agg(F.count_if(hit & real).alias("tp"), F.count_if(hit & ~real).alias("fp"), F.count_if(~hit & real).alias("fn"))
-    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return per.select("user_id", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    """By camera, precision, recall and F1 of predicted boxes, matched one to one with the true ones of
+    their frame, the best overlap first."""
+    from fairground.plans import tracking
+
+    pairs = decisions.greedy_pairs(tracking.j13_iou_pairs(spark, sf_dir).where(F.col("iou") >= RIGHT_IOU)).groupBy("camera_id").agg(F.count("*").alias("tp"))
+    boxes = lambda truth, name: tracking._boxes(spark, sf_dir, truth).groupBy("camera_id").agg(F.count("*").alias(name))
+    rows = boxes(True, "n_true").join(boxes(False, "n_told"), "camera_id", "full").join(pairs, "camera_id", "left").na.fill(0)
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    tp, told, true = F.col("tp"), F.col("n_told"), F.col("n_true")
+    return rows.select("camera_id", share(tp, told).alias("precision"), share(tp, true).alias("recall"), share(2 * tp, told + true).alias("f1"), "tp", (told - tp).alias("fp"), (true - tp).alias("fn"))
 
 
 def e04_pairwise_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,11 +183,18 @@ def q36_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("booth_id", "component").agg(F.every((F.col("status") == "ok") | (F.col("component") > 1)).alias("ok")).groupBy("booth_id").agg(F.every("ok").alias("overall_ok"))
 
 
+#: Samples of a track that vote (fixed value).
+VOTES = 30
+
+
 def q37_attribute_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value with most confidence over a track's samples, and its share."""
-    per = B.events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 6).alias("w"))
-    out = per.groupBy("user_id").agg(F.max_by("event_type", F.struct("w", "event_type")).alias("winner"), F.max("w").alias("most"), F.sum("w").alias("all"))
-    return out.select("user_id", "winner", F.round(F.col("most") / F.col("all"), 6).alias("confidence"))
+    """The value with most confidence over a track's first VOTES samples, the one voted for first of equals,
+    and its share."""
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    voted = B.events(spark, sf_dir).withColumn("place", place).where(F.col("place") <= VOTES)
+    per = voted.groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 6).alias("w"), F.min("place").alias("first"))
+    out = per.groupBy("user_id").agg(F.max_by("event_type", F.struct("w", -F.col("first"))).alias("winner"), F.max("w").alias("most"), F.sum("w").alias("all"))
+    return out.select("user_id", "winner", F.round(F.col("most") / F.col("all"), 3).alias("confidence"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -161,14 +216,21 @@ ORACLE_SQL = {
     "j12_near_zones": "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT id, '{z[0]}' AS zone, round(sqrt(pow(greatest({z[1]} - x, 0, x - {z[1] + z[3]}), 2) + pow(greatest({z[2]} - y, 0, y - {z[2] + z[4]}), 2)), 6) AS distance FROM ({POSITION_SQL})" for z in ZONES
     ) + ") WHERE distance <= 2.0",
-    "t26_world_position": f"""SELECT id, round(wx, 6) AS wx, round(wy, 6) AS wy, CASE WHEN wx BETWEEN -0.5 AND 9.5 AND wy BETWEEN -0.5 AND 5.5 THEN 0.9 ELSE 0.45 END::DOUBLE AS confidence FROM (SELECT id,
-  (x * {_H[0][0]}::DOUBLE + y * {_H[0][1]}::DOUBLE + {_H[0][2]}) / (x * {_H[2][0]}::DOUBLE + y * {_H[2][1]}::DOUBLE + {_H[2][2]}) AS wx,
-  (x * {_H[1][0]}::DOUBLE + y * {_H[1][1]}::DOUBLE + {_H[1][2]}) / (x * {_H[2][0]}::DOUBLE + y * {_H[2][1]}::DOUBLE + {_H[2][2]}) AS wy FROM ({POSITION_SQL}))""",
+    "t26_world_position": f"""WITH RECURSIVE p AS (SELECT id, person, round((ts - 1704067200) / 3600, 6) AS t, round((x * {_H[0][0]}::DOUBLE + y * {_H[0][1]}::DOUBLE + {_H[0][2]}) / (x * {_H[2][0]}::DOUBLE + y * {_H[2][1]}::DOUBLE + {_H[2][2]}), 3) AS wx,
+  round((x * {_H[1][0]}::DOUBLE + y * {_H[1][1]}::DOUBLE + {_H[1][2]}) / (x * {_H[2][0]}::DOUBLE + y * {_H[2][1]}::DOUBLE + {_H[2][2]}), 3) AS wy FROM ({POSITION_SQL})),
+  r AS (SELECT *, CASE WHEN wx BETWEEN -0.5 AND 9.5 AND wy BETWEEN -0.5 AND 5.5 THEN 0.9 ELSE 0.45 END::DOUBLE AS c, row_number() OVER (PARTITION BY person ORDER BY t, id) AS i FROM p),
+  f AS (SELECT person, i, id, wx, wy, c AS confidence, t AS lt, wx AS lx, wy AS ly FROM r WHERE i = 1 UNION ALL
+    SELECT r.person, r.i, r.id, r.wx, r.wy, CASE WHEN j THEN round(c * 0.2::DOUBLE, 3) ELSE c END, CASE WHEN j THEN lt ELSE t END, CASE WHEN j THEN lx ELSE r.wx END, CASE WHEN j THEN ly ELSE r.wy END
+    FROM (SELECT r.*, f.lt, f.lx, f.ly, sqrt(pow(r.wx - lx, 2) + pow(r.wy - ly, 2)) / greatest(0.001::DOUBLE, r.t - lt) > 3.0 AS j FROM f JOIN r ON r.person = f.person AND r.i = f.i + 1) r)
+  SELECT id, wx, wy, confidence FROM f""",
     "t27_heatmap": f"SELECT row, col, traffic, round(traffic / max(traffic) OVER (), 6) AS share FROM ({_HEAT})",
     "l04_top_cells": f"SELECT row, col, traffic FROM ({_HEAT}) ORDER BY traffic DESC, row * 20 + col DESC LIMIT 5",
-    "t23_interest_score": f"""WITH s AS (SELECT event_id, least(value / 100, 1.0) AS a, CASE WHEN k % 3 <> 0 THEN least(k / 75, 1.0) END AS b, CASE WHEN user_id % 4 <> 0 THEN (user_id % 10) / 9.0 END::DOUBLE AS c FROM ({EVENT_SQL})),
-  t AS (SELECT event_id, (a * 0.4::DOUBLE + coalesce(b * 0.3::DOUBLE, 0) + coalesce(c * 0.3::DOUBLE, 0)) / (0.4::DOUBLE + CASE WHEN b IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN c IS NULL THEN 0 ELSE 0.3::DOUBLE END) AS s,
-  1 + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT AS n FROM s) SELECT event_id, round(s, 6) AS score, CASE WHEN s >= 0.7 AND n >= 3 THEN 'HIGH' WHEN s >= 0.4 THEN 'POSSIBLE' ELSE 'LOW' END AS level FROM t""",
+    "t23_interest_score": f"""WITH e AS (SELECT *, value / 10 AS look, k / 5 AS dwell, k % 6 <> 0 AS seen FROM ({EVENT_SQL})), s AS (SELECT event_id, list_filter([
+    {{'w': 0.15::DOUBLE, 's': CASE WHEN look >= 1.5 THEN least(1.0::DOUBLE, look / 10) END}}, {{'w': 0.10::DOUBLE, 's': CASE WHEN dwell >= 2 THEN least(1.0::DOUBLE, dwell / 15) END}}, {{'w': 0.15::DOUBLE, 's': CASE WHEN seen THEN greatest(0.0::DOUBLE, 1 - (value % 3.0) / 1.5) END}},
+    {{'w': 0.10::DOUBLE, 's': CASE WHEN seen AND event_type = 'click' THEN 1.0::DOUBLE END}}, {{'w': 0.15::DOUBLE, 's': CASE WHEN seen AND user_id % 4 <> 0 THEN user_id % 10 / 9 END}}, {{'w': 0.30::DOUBLE, 's': CASE WHEN seen AND user_id % 3 <> 0 THEN k / 100 END}},
+    {{'w': 0.05::DOUBLE, 's': CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE END}}], lambda x: x.s IS NOT NULL) AS l FROM e),
+  t AS (SELECT event_id, len(l) AS n, round(list_sum(list_transform(l, lambda x: x.s * x.w)) / list_sum(list_transform(l, lambda x: x.w)), 6) AS s FROM s)
+  SELECT event_id, coalesce(s, 0.0::DOUBLE) AS score, CASE WHEN n = 0 THEN 'UNKNOWN' WHEN s >= 0.7 AND n >= 3 THEN 'HIGH' WHEN s >= 0.4 THEN 'POSSIBLE' ELSE 'LOW' END AS level FROM t""",
     "v01_cosine": f"SELECT vec_id, round(list_cosine_similarity(v, mean), 6) AS cosine FROM ({_VECTORS}) JOIN ({_MEANS.format(_VECTORS)}) USING (label)",
     "v03_burst_consensus": f"""WITH e AS ({_VECTORS}), s AS (SELECT q.vec_id // 100 AS burst_id, q.vec_id AS frame, g.label::BIGINT AS product, max(list_cosine_similarity(q.v, g.v)) AS sim
   FROM e q JOIN e g ON q.vec_id % 20 = 0 AND g.vec_id <> q.vec_id AND g.label IS NOT NULL GROUP BY 1, 2, 3), w AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY sim DESC, product) = 1 AS wins FROM s),
@@ -180,12 +242,14 @@ ORACLE_SQL = {
     "l06_best_per_track": f"SELECT user_id, event_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM ({EVENT_SQL})) WHERE rank <= 8",
     "v07_representative": f"""SELECT label, round(mean[1] / {_NORM}, 6) AS x0, round(mean[64] / {_NORM}, 6) AS x63
   FROM ({_MEANS.format(f'SELECT * FROM ({_VECTORS}) QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 8')})""",
-    "e01_detection_scores": f"""SELECT user_id, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1
-  FROM (SELECT user_id, count(*) FILTER (value >= 50 AND event_type = 'error') AS tp, count(*) FILTER (value >= 50 AND event_type <> 'error') AS fp, count(*) FILTER (value < 50 AND event_type = 'error') AS fn FROM ({EVENT_SQL}) GROUP BY 1)""",
+    "t30_load_alerts": f"""WITH k AS (SELECT *, CASE WHEN value >= 60 THEN 1 WHEN value <= 40 THEN -1 ELSE 0 END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ({EVENT_SQL})), g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, kind ORDER BY i) AS island FROM k),
+  n AS (SELECT *, ts - first(ts) OVER (PARTITION BY user_id, kind, island ORDER BY i) AS held FROM g), q AS (SELECT user_id, kind, island, min(i) AS i FROM n WHERE kind <> 0 AND held >= 3600 GROUP BY 1, 2, 3), t AS (SELECT *, lag(kind, 1, -1) OVER (PARTITION BY user_id ORDER BY i) AS before FROM q)
+  SELECT user_id, round(ts, 6) AS ts, CASE t.kind WHEN 1 THEN 'paused' ELSE 'resumed' END AS state FROM t JOIN k USING (user_id, i) WHERE before <> t.kind""",
     "e04_pairwise_merges": f"""WITH r AS (SELECT user_id AS t, (user_id * 7 + k % 3) % 97 AS p FROM ({EVENT_SQL})), c AS (SELECT sum(n * (n - 1) // 2) AS c FROM (SELECT count(*) AS n FROM r GROUP BY t, p))
   SELECT c::BIGINT AS correct, ((SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM r GROUP BY p)) - c)::BIGINT AS wrong, ((SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM r GROUP BY t)) - c)::BIGINT AS missed FROM c""",
     "e06_wilson_bound": f"""SELECT user_id, round((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS lower
   FROM (SELECT user_id, count(*)::DOUBLE AS n, count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE AS p FROM ({EVENT_SQL}) GROUP BY 1)""",
     "q36_readiness": f"SELECT booth_id, bool_and(status = 'ok' OR component > 1) AS overall_ok FROM ({B.HEALTH_SQL}) WHERE component IN (0, 1) OR status = 'ok' GROUP BY 1",
-    "q37_attribute_vote": f"""SELECT user_id, arg_max(event_type, (w, event_type)) AS winner, round(max(w) / sum(w), 6) AS confidence FROM (SELECT user_id, event_type, round(sum(value), 6) AS w FROM ({EVENT_SQL}) GROUP BY 1, 2) GROUP BY 1""",
+    "q37_attribute_vote": f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM ({EVENT_SQL})), w AS (SELECT user_id, event_type, round(sum(value), 6) AS w, min(place) AS first FROM p WHERE place <= {VOTES} GROUP BY 1, 2)
+  SELECT user_id, arg_max(event_type, (w, -first)) AS winner, round(max(w) / sum(w), 3) AS confidence FROM w GROUP BY 1""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from fairground.functions import geometry as G
 from fairground.operators import decisions as D
-from fairground.operators import vectors
+from fairground.operators import runs, vectors
 from fairground.sources import bindings as B
 from fairground.sources.bindings import EVENT_SQL, table
 
@@ -67,20 +67,22 @@ def t08_product_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches confirmed by others nearby; small boxes need more of them and more confidence."""
     px, confidence = F.col("k") + 20.0, F.least(F.col("value") / 100, F.lit(1.0))
     x, y = F.pmod(F.col("value"), F.lit(7.0)), (F.col("k") % 12) / 2
-    rows = B.events(spark, sf_dir).where(confidence >= D.least_confidence(px, 0.45))
-    rows = rows.select((F.col("user_id") % 5).alias("camera_id"), (F.col("k") % 4).alias("product"), ((F.col("ts") - 1704067200) / 3600).alias("ts"), x.alias("x1"), y.alias("y1"), (x + 3).alias("x2"), (y + 3).alias("y2"), D.hits_needed(px, 2).alias("needed"))
-    return D.confirmations(rows)
+    penalty = runs.distance_penalty(px)
+    rows = B.events(spark, sf_dir).where(confidence >= 0.45 + penalty * (runs.FAR_CONFIDENCE - 0.45))
+    rows = rows.select((F.col("user_id") % 5).alias("camera_id"), (F.col("k") % 4).alias("product"), F.round((F.col("ts") - 1704067200) / 3600, 6).alias("ts"), x.alias("x1"), y.alias("y1"), (x + 3).alias("x2"), (y + 3).alias("y2"), (2 + F.bround(penalty * runs.FAR_ROWS)).cast("int").alias("needed"), "event_id")
+    found = runs.supported(rows, ["camera_id", "product"], "ts", "event_id", G.iou)
+    return found.select("event_id", (F.col("support") + 1 >= F.col("needed")).alias("confirmed"))
 
 
 def t09_scan_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "unknown").when(F.col("value") < 5, "unstable").otherwise("matched")
-    rows = B.events(spark, sf_dir).select((F.col("user_id") % 40).alias("camera_id"), F.col("event_id").alias("scan_id"), "ts", status.alias("status"), (F.col("k") % 3).alias("product_id"))
+    rows = B.events(spark, sf_dir).select((F.col("user_id")).alias("camera_id"), F.col("event_id").alias("scan_id"), "ts", status.alias("status"), (F.col("k") % 3).alias("product_id"))
     return D.scan_switches(rows)
 
 
 def t25_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.events(spark, sf_dir).select(F.col("user_id").alias("person"), (F.col("k") % 3).alias("product"), "ts", F.when(F.col("event_type") == "error", 0.0).otherwise(0.5).alias("iou"), F.col("value").alias("cx"), F.col("k").cast("double").alias("cy"))
-    return D.interactions(rows)
+    rows = B.events(spark, sf_dir).select(F.col("user_id").alias("person"), (F.col("k") % 3).alias("product"), "ts", F.when(F.col("event_type") == "error", 0.0).otherwise(0.5).alias("iou"), F.col("value").alias("cx"), F.col("k").cast("double").alias("cy"), "event_id")
+    return runs.interactions(rows, "event_id").select("event_id", "status")
 
 
 def t28_camera_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,13 +97,14 @@ def t28_camera_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t29_device_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.when(F.col("event_type") != "error", F.transform(F.sequence(F.lit(0), (F.col("k") % 4).cast("int")), lambda i: F.concat(F.lit("cam"), i)))
-    return D.device_changes(B.events(spark, sf_dir).select((F.col("user_id") % 20).alias("machine"), "ts", names.alias("devices")))
+    return D.device_changes(B.events(spark, sf_dir).select(F.col("user_id").alias("machine"), "ts", "event_id", names.alias("devices")), "event_id")
 
 
 def t32_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slow waves of changed pixels with a little noise."""
     wave = 0.08 + 0.08 * F.sin(F.col("ts") / 200000) + F.col("k") / 5000
-    return D.presence(B.events(spark, sf_dir).select((F.col("user_id") % 5).alias("camera_id"), "ts", wave.alias("ratio")))
+    rows = B.events(spark, sf_dir).select(F.floor(F.col("user_id") / 10).alias("camera_id"), "ts", "event_id", F.round(wave, 6).alias("ratio"))
+    return runs.presence(rows, "camera_id", "ts", "event_id", "ratio").select("camera_id", F.round("ts", 6).alias("ts"), "state")
 
 
 def v06_product_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +127,23 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _BOX_SQL = f"SELECT event_id AS id, user_id % 5 AS camera_id, floor(ts / 3600)::BIGINT AS frame, value % 7.0 AS x, (k % 12) / 2 AS y, event_type FROM ({EVENT_SQL}) WHERE event_type IN ('view', 'click')"
+_USER = "PARTITION BY user_id ORDER BY ts, event_id"
+_SPAN = "PARTITION BY camera_id, product ORDER BY ts, event_id"
 ORACLE_SQL = {
+    "t08_product_confirmation": f"""WITH p AS (SELECT *, 1 - (least(greatest(k + 20.0::DOUBLE, 24), 80) - 24) / 56.0::DOUBLE AS far FROM ({EVENT_SQL})),
+  r AS (SELECT event_id, user_id % 5 AS camera_id, k % 4 AS product, round((ts - 1704067200) / 3600, 6) AS ts, value % 7.0 AS x, (k % 12) / 2 AS y, 2 + round_even(far * 2, 0)::INT AS needed FROM p WHERE least(value / 100, 1.0) >= 0.45::DOUBLE + far * (0.75::DOUBLE - 0.45::DOUBLE)),
+  b AS (SELECT *, list({{'t': ts, 'x': x, 'y': y}}) OVER ({_SPAN} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS back FROM r),
+  n AS (SELECT *, list_transform(back, lambda h: CASE WHEN ts - h.t <= 4 THEN greatest(3 - abs(x - h.x), 0) * greatest(3 - abs(y - h.y), 0) ELSE 0 END) AS hits FROM b)
+  SELECT event_id, coalesce(len(list_filter(hits, lambda i: i / (18 - i) >= 0.2::DOUBLE)), 0) + 1 >= needed AS confirmed FROM n""",
+    "t25_interactions": f"""WITH r AS (SELECT *, k % 3 AS product, event_type <> 'error' AS touch FROM ({EVENT_SQL})), s AS (SELECT *, sum(CASE WHEN touch THEN 1 ELSE -1 END) OVER w AS s FROM r WINDOW w AS (PARTITION BY user_id, product ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+  c AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id, product ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS n FROM s), p AS (SELECT *, sum((n = 0)::INT) OVER (PARTITION BY user_id, product ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS rests FROM c),
+  d AS (SELECT *, sqrt(pow(value - first(value) OVER w, 2) + pow(k - first(k) OVER w, 2)) AS apart FROM p WINDOW w AS (PARTITION BY user_id, product, rests ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+  SELECT event_id, CASE WHEN n >= 3 AND max(apart) OVER (PARTITION BY user_id, product, rests ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) >= 15 THEN 'CONFIRMED_INTERACTION' WHEN touch THEN 'POSSIBLE_INTERACTION' ELSE 'UNKNOWN' END AS status FROM d""",
+    "t32_presence": f"""WITH r AS (SELECT *, user_id // 10 AS camera_id, round(0.08::DOUBLE + 0.08::DOUBLE * sin(ts / 200000) + k / 5000, 6) AS ratio FROM ({EVENT_SQL})),
+  k AS (SELECT *, CASE WHEN ratio >= 0.12 THEN 1 WHEN ratio <= 0.04 THEN -1 ELSE 0 END AS kind, row_number() OVER (PARTITION BY camera_id ORDER BY ts, event_id) AS i FROM r),
+  g AS (SELECT *, i - row_number() OVER (PARTITION BY camera_id, kind ORDER BY i) AS island FROM k), n AS (SELECT *, row_number() OVER w AS n, first(ts) OVER w AS since FROM g WINDOW w AS (PARTITION BY camera_id, kind, island ORDER BY i)),
+  q AS (SELECT camera_id, kind, island, min(i) AS i FROM n WHERE kind <> 0 AND ts - since >= 0.6 AND n >= CASE kind WHEN 1 THEN 10 ELSE 12 END GROUP BY 1, 2, 3), t AS (SELECT *, lag(kind, 1, -1) OVER (PARTITION BY camera_id ORDER BY i) AS before FROM q)
+  SELECT camera_id, round(ts, 6) AS ts, CASE t.kind WHEN 1 THEN 'PRESENT' ELSE 'EMPTY' END AS state FROM t JOIN k USING (camera_id, i) WHERE before <> t.kind""",
     "j13_iou_pairs": f"""WITH b AS ({_BOX_SQL}), p AS (SELECT a.camera_id, a.frame, a.id AS row, b.id AS col, greatest(3 - abs(a.x - b.x), 0) * greatest(3 - abs(a.y - b.y), 0) AS i
   FROM b a JOIN b ON a.camera_id = b.camera_id AND a.frame = b.frame AND a.event_type = 'view' AND b.event_type = 'click')
   SELECT camera_id, frame, row, col, round(i / (18 - i), 9) AS iou FROM p WHERE round(i / (18 - i), 9) >= {MATCH_IOU}""",

@@ -2,7 +2,9 @@
 
 import random
 
+from fairground.functions import geometry as G
 from fairground.operators import decisions as D
+from fairground.operators import runs as R
 
 
 def run(step, state, rows):
@@ -34,31 +36,41 @@ def test_scan_switch():
     assert [(e["scan_id"], e["product_id"]) for e in run(D.scan_step, D.scan_start(), rows)] == [(0, 1), (6, 2), (8, None), (9, 3)]
 
 
-def test_presence_needs_frames_and_seconds():
-    rows = lambda gap, ratios: [{"camera_id": 1, "ts": i * gap, "ratio": r} for i, r in enumerate(ratios)]
-    go = lambda gap, ratios: [e["state"] for e in run(D.presence_step, D.presence_start(), rows(gap, ratios))]
+def test_presence_needs_frames_and_seconds(spark):
+    def go(gap, ratios):
+        table = spark.createDataFrame([(1, i, i * gap, r) for i, r in enumerate(ratios)], "camera_id long, id long, ts double, ratio double")
+        return [r.state for r in R.presence(table, "camera_id", "ts", "id", "ratio").orderBy("ts").collect()]
+
     assert go(0.1, [0.2] * 9 + [0.1] + [0.2] * 9) == []
     assert go(0.1, [0.2] * 10) == ["PRESENT"]
     assert go(0.01, [0.2] * 40) == []
     assert go(0.1, [0.2] * 10 + [0.0] * 12) == ["PRESENT", "EMPTY"]
 
 
+def test_hysteresis(spark):
+    rows = [(1, i, float(i), v) for i, v in enumerate([70, 70, 50, 70, 70, 70, 30, 70, 30, 30, 30, 30])] + [(1, 99, None, 70)]
+    table = spark.createDataFrame(rows, "k long, id long, ts double, v long")
+    assert sorted((r.ts, r.state) for r in R.hysteresis(table, "k", "ts", "id", "v", 60, 40, 2.0).collect()) == [(5.0, "paused"), (10.0, "resumed")]
+
+
 def test_device_changes():
     polls = [["a"], ["a", "b"], ["a"], None, ["a", "b"], ["a"], ["a"], ["a"]]
     rows = [{"machine": 1, "ts": float(i), "devices": d} for i, d in enumerate(polls)]
-    assert [(e["ts"], e["added"], e["removed"]) for e in run(D.device_step, (None, None, 0), rows)] == [(1.0, "b", ""), (6.0, "", "b")]
+    assert [(e["ts"], e["added"], e["removed"]) for e in run(D.device_step, D.device_start(), rows)] == [(1.0, "b", ""), (6.0, "", "b")]
 
 
-def test_interactions():
-    rows = [{"person": 1, "product": 1, "ts": float(i), "iou": o, "cx": x, "cy": 0.0} for i, (o, x) in enumerate([(0.0, 0.0), (0.1, 0.0), (0.1, 10.0), (0.1, 16.0), (0.0, 16.0), (0.0, 16.0), (0.0, 16.0)])]
-    got = [e["status"] for e in run(D.interaction_step, D.interaction_start(), rows)]
+def test_interactions(spark):
+    rows = [(1, 1, i, float(i), o, x, 0.0) for i, (o, x) in enumerate([(0.0, 0.0), (0.1, 0.0), (0.1, 10.0), (0.1, 16.0), (0.0, 16.0), (0.0, 16.0), (0.0, 16.0)])]
+    table = spark.createDataFrame(rows, "person long, product long, id long, ts double, iou double, cx double, cy double")
+    got = [r.status for r in R.interactions(table, "id").orderBy("ts").collect()]
     assert got == ["UNKNOWN", "POSSIBLE_INTERACTION", "POSSIBLE_INTERACTION", "CONFIRMED_INTERACTION", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
 
 
-def test_confirmation():
-    row = lambda ts, x, needed=2: {"camera_id": 1, "product": 1, "ts": ts, "x1": x, "y1": 0.0, "x2": x + 2, "y2": 2.0, "needed": needed}
-    rows = [row(0.0, 0.0), row(1.0, 0.1), row(2.0, 9.0), row(3.0, 0.0, 4), row(9.0, 0.0)]
-    assert [e["confirmed"] for e in run(D.confirm_step, [], rows)] == [False, True, False, False, False]
+def test_confirmation(spark):
+    rows = [(1, 1, i, ts, x, 0.0, x + 2, 2.0, n) for i, (ts, x, n) in enumerate([(0.0, 0.0, 2), (1.0, 0.1, 2), (2.0, 9.0, 2), (3.0, 0.0, 4), (9.0, 0.0, 2)])]
+    table = spark.createDataFrame(rows, "camera_id long, product long, id long, ts double, x1 double, y1 double, x2 double, y2 double, needed int")
+    found = R.supported(table, ["camera_id", "product"], "ts", "id", G.iou).orderBy("ts").collect()
+    assert [r.support + 1 >= r.needed for r in found] == [False, True, False, False, False]
 
 
 def test_agreement():

@@ -60,6 +60,9 @@ def test_tripwire_cases():
     assert go([-0.2, 0.2, 0.2]) == [("in", 2.0)]
     assert go([-0.2, 0.2, -0.2, 0.2]) == []
     assert go([-0.2, 0.2, 0.001, 0.2]) == [("in", 3.0)]  # the dead zone doesn't cancel what is pending
+    touching = [{**r, "touches": abs(r["distance"]) < 0.1} for r in readings(1, [-0.2, 0.01, 0.01])]
+    assert [(e["direction"], e["ts"]) for e in run(folds.tripwire_step, folds.tripwire_start(), touching)] == [("in", 2.0)]  # the box is on the line
+    assert go([-0.2, 0.01, 0.01]) == []
     assert go([-0.2, 0.2, 0.2, -0.2, -0.2, 0.2, 0.2], gap=0.5) == [("in", 1.0), ("in", 3.0)]  # suppressed, but the side moved
 
 
