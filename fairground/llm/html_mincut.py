@@ -41,10 +41,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "says", "silent", "inside")
+    __slots__ = ("tag", "parent", "depth", "says", "silent", "inside", "block")
 
     def __init__(self, tag: str, attrs: list, parent: _Element | None) -> None:
         self.tag, self.parent = tag, parent
+        #: The innermost element around that is a block, this one included, else the page.
+        self.block = self if tag in BLOCKS or parent is None else parent.block
         self.depth = parent.depth + 1 if parent else 0
         self.silent = (parent.silent if parent else False) or tag in SILENT
         self.inside = (parent.inside if parent else False) or tag in ("article", "main")
@@ -69,22 +71,28 @@ class _Element:
 
 
 class _Page(HTMLParser):
-    """Blocks in page order: parent element, text, characters, characters within links."""
+    """Blocks in page order: element of the first text, text, characters, characters within links, and
+    what the elements around all of its text say, by their share of the characters.
+
+    Open elements are kept by name as well, so that the nearest of a name is known at once, however many
+    are open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.top = _Element("#page", [], None)
-        self.blocks: list[tuple[_Element, str, int, int]] = []
+        self.blocks: list[tuple[_Element, str, int, int, float]] = []
         self.text: list[str] = []
         self.owner: _Element | None = None
-        self.links = self.linked = 0
+        self.links = self.linked = self.said = self.heard = 0
+        self.named: dict[str, list[_Element]] = {}
 
     def end_block(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                self.blocks.append((self.owner, text, len(text), min(self.linked, len(text))))
-            self.text, self.linked = [], 0
+                says = self.said / self.heard if self.heard else self.owner.says
+                self.blocks.append((self.owner, text, len(text), min(self.linked, len(text)), says))
+            self.text, self.linked, self.said, self.heard = [], 0, 0, 0
         self.owner = None
 
     def open(self, tag: str, attrs: list) -> None:
@@ -98,21 +106,24 @@ class _Page(HTMLParser):
             self.text and self.text.append(" ")
         if tag not in VOID:
             self.top = _Element(tag, attrs, self.top)
+            self.named.setdefault(tag, []).append(self.top)
             self.links += tag == "a"
 
     def pop(self, names: set, scope: set) -> None:
         """Close the nearest open element of these names, unless one of the scope comes first."""
-        e = self.top
-        while e.parent is not None and e.tag not in names:
-            if e.tag in scope:
-                return
-            e = e.parent
-        if e.parent is not None:
+        e = self.nearest(names)
+        within = self.nearest(scope)
+        if e is not None and (within is None or within.depth <= e.depth):
             self.close_to(e)
 
+    def nearest(self, names) -> _Element | None:
+        open_ = [self.named[n][-1] for n in names if self.named.get(n)]
+        return max(open_, key=lambda e: e.depth) if open_ else None
+
     def close_to(self, e: _Element) -> None:
         while self.top is not e.parent:
             self.links -= self.top.tag == "a"
+            self.named[self.top.tag].pop()
             self.top = self.top.parent
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -124,10 +135,8 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_block()
-        e = self.top
-        while e.parent is not None and e.tag != tag:
-            e = e.parent
-        if e.parent is not None:
+        e = self.nearest((tag,))
+        if e is not None:
             self.close_to(e)
 
     def handle_data(self, data: str) -> None:
@@ -136,11 +145,14 @@ class _Page(HTMLParser):
         if self.owner is None:
             self.owner = self.top
         self.text.append(data)
+        letters = len(data) - data.count(" ")
+        self.said += letters * self.top.says
+        self.heard += letters
         if self.links > 0:
             self.linked += len(data)
 
 
-def blocks_of(html: str | None) -> list[tuple[_Element, str, int, int]]:
+def blocks_of(html: str | None) -> list[tuple[_Element, str, int, int, float]]:
     page = _Page()
     page.feed(html or "")
     page.close()
@@ -150,9 +162,7 @@ def blocks_of(html: str | None) -> list[tuple[_Element, str, int, int]]:
 
 def _container(e: _Element) -> _Element:
     """The element that holds the block: above inline elements and the block's own."""
-    while e.parent is not None and e.tag not in BLOCKS:
-        e = e.parent
-    return e.parent or e
+    return e.block.parent or e.block
 
 
 def _distance(a: _Element, b: _Element) -> int:
@@ -166,15 +176,12 @@ def _distance(a: _Element, b: _Element) -> int:
     return d
 
 
-def _evidence(block: tuple[_Element, str, int, int]) -> float:
+def _evidence(block: tuple[_Element, str, int, int, float]) -> float:
     """Over 0 for content, under it for boilerplate."""
-    e, text, n, linked = block
+    e, text, n, linked, says = block
     words = text.count(" ") + 1
-    score = e.says + min(words, 40) / 20 - 6.0 * linked / n - (0.0 if e.inside else 1.5)
-    tag = e
-    while tag.parent is not None and tag.tag not in BLOCKS:
-        tag = tag.parent
-    score += {"p": 0.5, "h1": 1.0, "h2": 0.5, "h3": 0.5, "pre": 0.5, "blockquote": 0.5, "li": -0.5, "td": -0.5}.get(tag.tag, 0.0)
+    score = says + min(words, 40) / 20 - 6.0 * linked / n - (0.0 if e.inside else 1.5)
+    score += {"p": 0.5, "h1": 1.0, "h2": 0.5, "h3": 0.5, "pre": 0.5, "blockquote": 0.5, "li": -0.5, "td": -0.5}.get(e.block.tag, 0.0)
     return score
 
 
@@ -275,7 +282,7 @@ def _extract(batches):
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page, from its whole html.
 
-    A page's blocks are nodes of a graph. What speaks for or against a block (the elements around it,
+    A page's blocks are nodes of a graph; neighbours of one parent that lean the same way are one node. What speaks for or against a block (the elements around it,
     their classes, its links and length) are the capacities to the two terminals; edges between blocks
     next to each other, and between blocks of one parent, keep neighbours together. The minimum cut labels
     all blocks at once; it is found page by page, nothing is shuffled.

@@ -1,6 +1,7 @@
 """op1, op3, op6, op8, op10 and the pipeline: round trips, laws, held-out accuracy, plain versions."""
 
 import hashlib
+import time
 import zlib
 from collections import defaultdict
 
@@ -106,6 +107,17 @@ def test_html(spark):
     assert QUERIES["op3_html_extraction"](spark, SF).where("n_chars <> length(text)").count() == 0
 
 
+def test_html_of_unclosed_tags():
+    """A megabyte of elements that nobody closes is parsed in time that grows with its length."""
+    began = time.process_time()
+    for unit in ("<i>x<hr>", "<p><b>y", "<button><i>x<hr>", "</p></i></x>z", "<li><ul>x", "<td>x"):
+        html_mincut.main_text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 120
+    prose = "a long sentence of plain words that goes on and on until it is surely prose"
+    page = f"<article><p><span class=ad>Ad!</span> {prose}</p><p>{prose}</p></article><div class=sidebar><p><b>x</b> {prose}</p></div>"
+    assert html_mincut.main_text(page) == f"Ad! {prose}\n{prose}"
+
+
 def test_min_cut(spark):
     """Against all labellings of small graphs."""
     rng = np.random.default_rng(2)
