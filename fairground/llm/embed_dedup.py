@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from math import ceil, comb, erf, sqrt
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairground.llm.common import connected_components, scratch
+from fairground.llm.common import connected_components, mix, scratch
 
 #: One-dimensional projections, and how many of them decide whether the rest are looked at.
 PROJECTIONS, FIRST = 48, 16
@@ -20,8 +21,11 @@ WIDTH = 1.5
 MISS = 2e-4
 #: Levels of a projected value; 256 levels span 8 standard deviations.
 LEVELS_PER_UNIT = 32
-#: Vectors in a cell, a range of the first projection; two cells at most meet in a task.
+#: Vectors in a cell, a range of the first projection, or a part of one; two at most meet in a task.
 CELL = 8192
+#: Standard deviations of a projected difference within which cells meet: a pair that is just similar
+#: enough lies further apart with probability 6e-5.
+REACH = 4.0
 
 
 def windows(cosine: float) -> tuple[int, int, int]:
@@ -65,6 +69,31 @@ def _first_projection(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(p, pa.float64())], names=["rep", "v", "copies", "dim", "p"])
 
 
+def _cell_counts(batches, marks: np.ndarray):
+    for batch in batches:
+        cell, n = np.unique(np.searchsorted(marks, batch.column(0).to_numpy()), return_counts=True)
+        yield pa.record_batch({"cell": pa.array(cell, pa.int32()), "n": pa.array(n, pa.int64())})
+
+
+def _units(marks: np.ndarray, counts: dict, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every cell: its parts, the number of the first of them, and the range of parts within reach. Cells
+    with more vectors than CELL, such as those of one value, are cut into parts by a hash."""
+    low, high = np.append(-np.inf, marks), np.append(marks, np.inf)
+    parts = np.array([max(1, ceil(counts.get(c, 0) / CELL)) for c in range(len(low))], dtype=np.int64)
+    first = np.cumsum(parts) - parts
+    near, far = np.searchsorted(high + reach, low), np.searchsorted(low - reach, high, side="right") - 1
+    return parts, first, first[near], first[far] + parts[far] - 1
+
+
+def _place(batches, marks: np.ndarray, units: tuple):
+    parts, first, near, far = units
+    for batch in batches:
+        cell = np.searchsorted(marks, batch.column("p").to_numpy())
+        part = mix(batch.column("rep").to_numpy().astype(np.uint64)) % parts[cell].astype(np.uint64)
+        own = {"unit": first[cell] + part.astype(np.int64), "near": near[cell], "far": far[cell]}
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, own.values())], names=[*batch.schema.names, *own])
+
+
 def _count_and_verify(table: pa.Table, cosine: float) -> pa.Table:
     """Two cells (or one with itself): links of their vectors, counted, and a forest over them."""
     width, least_first, least_all = windows(cosine)
@@ -86,7 +115,7 @@ def _count_and_verify(table: pa.Table, cosine: float) -> pa.Table:
         return i
 
     edge_a, edge_b = [], []
-    reach = 4.0 * sqrt(2 - 2 * cosine)
+    reach = REACH * sqrt(2 - 2 * cosine)
     low = np.searchsorted(p0[b], p0[a] - reach, side="left")
     high = np.searchsorted(p0[b], p0[a] + reach, side="right")
     span = np.uint8(2 * width)
@@ -134,8 +163,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     """vec_id, n_links, component_id, kept for every row.
 
     Equal vectors are one representative with a number of copies. Representatives are projected on
-    PROJECTIONS fixed random directions and cut into cells of about CELL vectors along the first. Cells
-    within reach of one another meet in a task, in the order of that projection: there a vector counts,
+    PROJECTIONS fixed random directions and cut into cells of about CELL vectors along the first, larger
+    ones into parts. Parts of cells within reach of one another meet in a task, in the order of that projection: there a vector counts,
     for every one in its range, the projections on which the other lies in the window centred on it.
     Pairs whose count passes the threshold set for recall (see windows) are verified by their cosine in
     double precision. A task returns sums of links and a forest, never the pairs.
@@ -155,17 +184,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     total = flat.count()
     cells = max(1, ceil(total / CELL))
     marks = flat.select(F.percentile_approx("p", [i / cells for i in range(1, cells)], 100 * cells)).first()[0] if cells > 1 else []
-    marks = sorted(set(marks or []))
-    reach = 4.0 * sqrt(2 - 2 * cosine)
-    # the cells within reach of each cell, a range of them
-    low, high = [float("-inf"), *marks], [*marks, float("inf")]
-    ranges = [(c, min(j for j in range(len(low)) if high[j] + reach >= low[c]), max(j for j in range(len(low)) if low[j] - reach <= high[c])) for c in range(len(low))]
-    cell = F.lit(0)
-    if marks:
-        cell = F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m < F.col("p")))
-    placed = flat.withColumn("cell", cell).join(F.broadcast(flat.sparkSession.createDataFrame(ranges, "cell int, first int, last int")), "cell")
-    met = placed.withColumn("other", F.explode(F.sequence("first", "last")))
-    met = met.select(F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), (F.col("cell") <= F.col("other")).alias("left"), "rep", "v", "copies", "dim", "p")
+    marks = np.array(sorted(set(marks or [])), dtype=np.float64)
+    counted = flat.select("p").mapInArrow(partial(_cell_counts, marks=marks), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    units = _units(marks, {r["cell"]: r["n"] for r in counted}, REACH * sqrt(2 - 2 * cosine))
+    placed = flat.mapInArrow(partial(_place, marks=marks, units=units), "rep long, v array<double>, copies long, dim int, p double, unit long, near long, far long")
+    met = placed.withColumn("other", F.explode(F.sequence("near", "far")))
+    met = met.select(F.least("unit", "other").alias("i"), F.greatest("unit", "other").alias("j"), (F.col("unit") <= F.col("other")).alias("left"), "rep", "v", "copies", "dim", "p")
 
     def compare(table: pa.Table) -> pa.Table:
         return _count_and_verify(table, cosine)

@@ -152,6 +152,37 @@ def test_embeddings_on_odd_rows(spark, monkeypatch, cell):
     assert embed_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_recall(spark, monkeypatch):
+    """Over many cells: no wrong link, and all but one in a thousand of the right ones."""
+    monkeypatch.setattr(embed_dedup, "CELL", 400)
+    rng = np.random.default_rng(9)
+    held = [r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()]
+    x = np.array([v for v in held if v and all(c is not None and np.isfinite(c) for c in v) and any(v)], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # a partner of each at a cosine just over the least
+    noise = rng.standard_normal(x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    c = rng.uniform(0.9502, 0.97, (len(x), 1))
+    x = np.concatenate([x, c * x + np.sqrt(1 - c * c) * noise])
+    links = (x @ x.T >= 0.95).sum(1) - 1
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(table).collect()}
+    got = np.array([found[i] for i in range(len(x))])
+    assert (got <= links).all() and got.sum() >= 0.999 * links.sum() > 0 and len(found) == len(x)
+
+
+def test_collinear_vectors_are_split(spark, monkeypatch):
+    """Vectors of one direction share every projection: parts of their cell meet, and all are linked."""
+    monkeypatch.setattr(embed_dedup, "CELL", 50)
+    rows = {i: [(i + 1) * x for x in (1.0, -2.0, 3.0, 0.5)] for i in range(300)}
+    table = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    found = embed_dedup.near_duplicates(table).collect()
+    assert all((r.n_links, r.component_id) == (299, 0) for r in found) and len(found) == 300
+    parts, first, near, far = embed_dedup._units(np.zeros(0), {0: 300}, 1.0)
+    assert (parts.tolist(), near.tolist(), far.tolist()) == ([6], [0], [5])
+
+
 def grams(text):
     w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
