@@ -34,7 +34,7 @@ VAGUE_TEXTS = 4
 #: One in so many texts, by their hash, bounds from below how many hold a term.
 SLICES = 16
 #: Rows and bytes up to which a table of terms or of texts is broadcast.
-BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
 
 def _digits(text: Column) -> Column:
@@ -143,8 +143,12 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text", left_bits: float =
     entities = entities.withColumn("own_bits", F.log2(F.lit(float(total)) / F.col("with_entity")))
     entities = entities.withColumn("allowed", F.lit(max(left_bits, vague_bits)) * F.least(F.lit(1.0), "own_bits"))
     left = lambda together, documents: F.log2((documents + F.lit(DOUBT)) / together)
-    # values for which no term can pass: none leaves less than one that stands in just their texts
-    entities = scratch(entities.where(left(F.col("with_entity"), F.col("with_entity")) <= F.col("allowed")), "entities")
+    # values for which no term can pass go: none leaves less than one that stands in just their texts (or, to be
+    # generalised, in the fewest that this takes)
+    share = left_bits / max(left_bits, vague_bits)
+    least = F.greatest("with_entity", F.lit(VAGUE_TEXTS))
+    some = (left(F.col("with_entity"), F.col("with_entity")) <= share * F.col("allowed")) | (left(F.col("with_entity"), least) <= F.col("allowed"))
+    entities = scratch(entities.where(some), "entities")
     wanted = contexts.join(entities.select("entity").hint("merge"), "entity")
     pairs = wanted.select("entity", F.explode(_terms(_without_emails(F.col("context")))).alias("term")).distinct()
     pairs = scratch(pairs, "terms")
@@ -167,8 +171,7 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text", left_bits: float =
     met = words.join(small(likely.select("term", "entity")), "term").join(holders.hint("merge"), ["entity", "h"])
     together = met.groupBy("entity", "term").agg(F.count("*").alias("near"))
     scored = likely.join(together, ["entity", "term"]).withColumn("left_bits", left(F.col("near"), F.col("documents")))
-    clear = F.lit(left_bits / max(left_bits, vague_bits)) * F.col("allowed")
-    scored = scored.withColumn("removed", F.col("left_bits") <= clear)
+    scored = scored.withColumn("removed", F.col("left_bits") <= share * F.col("allowed"))
     kept = scored.where(F.col("removed") | ((F.col("left_bits") <= F.col("allowed")) & (F.col("documents") >= VAGUE_TEXTS)))
     return kept.select("term", "entity", F.col("near").cast("double").alias("near"), F.col("documents").cast("double").alias("documents"), "left_bits", (F.col("own_bits") - F.col("left_bits")).alias("gain_bits"), "removed")
 
