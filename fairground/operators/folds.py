@@ -138,6 +138,39 @@ def _hold(row: dict, event: str, state: dict, at: float) -> dict:
 
 HOLD = "camera_id long, product long, event string, holder long, start_ts double, ts double"
 
+#: Pixels from its resting place from which on a product has moved, and seconds at rest after which it is
+#: settled (fixed values).
+MOVED_PX, SETTLED_AFTER = 20.0, 10.0
+
+
+def placed_start() -> dict:
+    return {"rest": None, "since": None, "seen": None, "settled": False, "hold": hold_start()}
+
+
+def placed_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
+    """row: camera_id, product, ts, cx, cy (the middle of its box), holder. hold_step with the resting place
+    kept here: where a product is first seen, is put down, or lies after it was moved by nobody in sight,
+    and with every step of who holds it. A product that has lain there long enough is `settled`, once."""
+    now, at = row["ts"], (row["cx"], row["cy"])
+    first = state["rest"] is None or now - state["seen"] > ABSENT_AFTER
+    moved = not first and ((at[0] - state["rest"][0]) ** 2 + (at[1] - state["rest"][1]) ** 2) ** 0.5 > MOVED_PX
+    was_held = state["hold"]["holder"] is not None
+    hold, out = hold_step(state["hold"], {**row, "moved": moved, "holder": None if first else row["holder"]})
+    held = hold["holder"] is not None
+    state = {**state, "hold": hold, "seen": now}
+    if held:
+        return {**state, "rest": at if moved and row["holder"] is not None else state["rest"], "since": None, "settled": False}, out
+    if first or moved or was_held:
+        return {**state, "rest": at, "since": now, "settled": False}, out
+    if not state["settled"] and now - state["since"] >= SETTLED_AFTER:
+        state["settled"] = True
+        out.append({"camera_id": row["camera_id"], "product": row["product"], "event": "settled", "holder": None, "start_ts": state["since"], "ts": now})
+    return state, out
+
+
+def placed_products(rows: DataFrame, tie: str | None = None) -> DataFrame:
+    return fold(rows, ["camera_id", "product"], ["ts", tie] if tie else ["ts"], placed_start, placed_step, HOLD)
+
 
 def product_holds(rows: DataFrame, tie: str | None = None) -> DataFrame:
     return fold(rows, ["camera_id", "product"], ["ts", tie] if tie else ["ts"], hold_start, hold_step, HOLD)

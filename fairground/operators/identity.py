@@ -147,10 +147,14 @@ FACE_MOST, BODY_MOST, DECAY, DECIDE, DECIDE_BODY, KEEP, STALE = 2.5, 1.5, 0.95,
 SMOOTHED = "user_id long, ts double, id long, evidence double, label string"
 
 
+def evidence_start() -> dict:
+    return {"e": 0.0, "n": 0, "faces": 0, "label": None, "ts": None}
+
+
 def evidence_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
     """row: user_id, ts, id, logit (positive for one label), face (else body), weight."""
     if state["ts"] is not None and row["ts"] - state["ts"] > STALE:
-        state = {"e": 0.0, "n": 0, "faces": 0, "label": None, "ts": None}
+        state = evidence_start()
     most = FACE_MOST if row["face"] else BODY_MOST * row["weight"]
     e = state["e"] * DECAY + max(-most, min(most, row["logit"]))
     n, faces = state["n"] + 1, state["faces"] + row["face"]
@@ -165,4 +169,4 @@ def evidence_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
 
 
 def smoothed(samples: DataFrame) -> DataFrame:
-    return fold(samples, ["user_id"], ["ts", "id"], lambda: {"e": 0.0, "n": 0, "faces": 0, "label": None, "ts": None}, evidence_step, SMOOTHED)
+    return fold(samples, ["user_id"], ["ts", "id"], evidence_start, evidence_step, SMOOTHED)

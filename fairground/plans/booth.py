@@ -31,12 +31,12 @@ def _interest(holds: DataFrame, *keys: str) -> DataFrame:
 
 
 def q03_product_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _interest(hold_events(spark, sf_dir), "product_name").orderBy(F.desc("mover_count"), "product_name").limit(10)
+    return _interest(hold_events(spark, sf_dir, "product_name", "duration_sec", "global_person_id"), "product_name").orderBy(F.desc("mover_count"), "product_name").limit(10)
 
 
 def q04_interest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By key and name: a product that was renamed comes as two rows."""
-    return _interest(hold_events(spark, sf_dir), "product_key", "product_name")
+    return _interest(hold_events(spark, sf_dir, "product_key", "product_name", "duration_sec", "global_person_id"), "product_key", "product_name")
 
 
 def _matrix(holds: DataFrame, column: str, values: list[str]) -> DataFrame:
@@ -50,37 +50,37 @@ def _matrix(holds: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def q05_gender_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matrix(hold_events(spark, sf_dir), "gender", ["MALE", "FEMALE", "UNKNOWN"]).drop("other")
+    return _matrix(hold_events(spark, sf_dir, "product_key", "product_name", "gender"), "gender", ["MALE", "FEMALE", "UNKNOWN"]).drop("other")
 
 
 def q06_age_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matrix(hold_events(spark, sf_dir), "age_category", ["CHILD", "ADULT", "UNKNOWN"]).drop("other")
+    return _matrix(hold_events(spark, sf_dir, "product_key", "product_name", "age_category"), "age_category", ["CHILD", "ADULT", "UNKNOWN"]).drop("other")
 
 
 def q07_gender_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.col("gender").isin("MALE", "FEMALE")
-    return hold_events(spark, sf_dir).agg(F.count_if(F.col("gender") == "MALE").alias("male"), F.count_if(F.col("gender") == "FEMALE").alias("female"), F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown"))
+    return hold_events(spark, sf_dir, "gender").agg(F.count_if(F.col("gender") == "MALE").alias("male"), F.count_if(F.col("gender") == "FEMALE").alias("female"), F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown"))
 
 
 def q08_age_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.col("age_category").isin("CHILD", "ADULT")
-    return hold_events(spark, sf_dir).agg(F.count_if(F.col("age_category") == "CHILD").alias("child"), F.count_if(F.col("age_category") == "ADULT").alias("adult"), F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown"))
+    return hold_events(spark, sf_dir, "age_category").agg(F.count_if(F.col("age_category") == "CHILD").alias("child"), F.count_if(F.col("age_category") == "ADULT").alias("adult"), F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown"))
 
 
 def q09_interest_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hold_events(spark, sf_dir).agg(F.count("*").alias("total_events"), F.countDistinct("global_person_id").alias("unique_people"))
+    return hold_events(spark, sf_dir, "global_person_id").agg(F.count("*").alias("total_events"), F.countDistinct("global_person_id").alias("unique_people"))
 
 
 def q10_presence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = lambda c: F.coalesce(F.round(c, 6), F.lit(0.0))
     d = F.col("duration_sec").cast("double")
-    return hold_events(spark, sf_dir).agg(F.count("*").alias("sessions"), zero(F.avg(d)).alias("avg_sec"), zero(F.min(d)).alias("min_sec"), zero(F.max(d)).alias("max_sec"))
+    return hold_events(spark, sf_dir, "duration_sec").agg(F.count("*").alias("sessions"), zero(F.avg(d)).alias("avg_sec"), zero(F.min(d)).alias("min_sec"), zero(F.max(d)).alias("max_sec"))
 
 
 def q11_presence_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.lower("age_category")
     known = F.coalesce(c.isin("child", "adult", "staff"), F.lit(False))
-    return hold_events(spark, sf_dir).agg(*[F.count_if(c == k).alias(k) for k in ("child", "adult", "staff")], F.count_if(~known).alias("unknown"))
+    return hold_events(spark, sf_dir, "age_category").agg(*[F.count_if(c == k).alias(k) for k in ("child", "adult", "staff")], F.count_if(~known).alias("unknown"))
 
 
 def q12_tripwire_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ def q15_attribute_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scoped(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [B.interactions(spark, sf_dir).select("booth_id", "ts"), B.health_events(spark, sf_dir).select("booth_id", "ts"), B.crossings(spark, sf_dir).select("booth_id", "ts"), hold_events(spark, sf_dir).select(F.col("booth_id").cast("long"), "ts")]
+    return [B.interactions(spark, sf_dir).select("booth_id", "ts"), B.health_events(spark, sf_dir).select("booth_id", "ts"), B.crossings(spark, sf_dir).select("booth_id", "ts"), hold_events(spark, sf_dir, "booth_id", "ts").select(F.col("booth_id").cast("long"), "ts")]
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +182,7 @@ def j01_booths_with_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j06_no_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products that nobody has held for long."""
-    held = hold_events(spark, sf_dir).where("duration_sec > 49").select("product_key")
+    held = hold_events(spark, sf_dir, "product_key", "duration_sec").where("duration_sec > 49").select("product_key")
     return table(spark, sf_dir, "part").join(held, F.col("p_partkey") == F.col("product_key"), "left_anti").select(F.col("p_partkey").alias("product_key"), F.col("p_name").alias("product_name"))
 
 

@@ -200,9 +200,9 @@ def t24_interest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q42_interest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of every product that was held last: confirmed, over, or perhaps held."""
-    events = spatial.t06_product_holds(spark, sf_dir).groupBy("camera_id", "product").agg(F.max_by("event", F.struct("ts", F.col("event") == "finalized")).alias("last"))
-    products = B.events(spark, sf_dir).select((F.col("user_id") % 5).alias("camera_id"), (F.col("k") % 4).alias("product")).distinct()
-    state = F.when(F.col("last") == "confirmed", "INTEREST_CONFIRMED").when(F.col("last") == "finalized", "NOT_INTERACTING").otherwise("POSSIBLE_INTERACTION")
+    events = spatial.t06_product_holds(spark, sf_dir).groupBy("camera_id", "product").agg(F.max_by("event", F.struct("ts", F.col("event") != "confirmed")).alias("last"))
+    products = B.events(spark, sf_dir).select(F.floor(F.col("user_id") / 10).alias("camera_id"), (F.col("k") % 4).alias("product")).distinct()
+    state = F.when(F.col("last") == "confirmed", "INTEREST_CONFIRMED").when(F.col("last").isNotNull(), "NOT_INTERACTING").otherwise("POSSIBLE_INTERACTION")
     return products.join(events, ["camera_id", "product"], "left").select("camera_id", "product", state.alias("state"))
 
 

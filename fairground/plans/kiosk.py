@@ -95,12 +95,12 @@ def _status():
 
 
 def q23_zone_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = B.hold_events(spark, sf_dir).withColumn("status", _status()).groupBy(F.col("camera_id").alias("zone_id"))
+    per = B.hold_events(spark, sf_dir, "camera_id", "global_person_id", "duration_sec").withColumn("status", _status()).groupBy(F.col("camera_id").alias("zone_id"))
     return per.agg(F.countDistinct("global_person_id").alias("unique_people"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUS])
 
 
 def q24_product_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.hold_events(spark, sf_dir).groupBy("product_key", _status().alias("status")).agg(F.count("*").alias("events"))
+    return B.hold_events(spark, sf_dir, "product_key", "duration_sec").groupBy("product_key", _status().alias("status")).agg(F.count("*").alias("events"))
 
 
 def q25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ def s06_upsert_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t19_merge_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interest by person after a chain of merges: 3k+2 into 3k+1, 3k+1 into 3k."""
-    holds = B.hold_events(spark, sf_dir).where("global_person_id IS NOT NULL").select(F.col("global_person_id").alias("person"), "duration_sec")
+    holds = B.hold_events(spark, sf_dir, "global_person_id", "duration_sec").where("global_person_id IS NOT NULL").select(F.col("global_person_id").alias("person"), "duration_sec")
     ids = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("loser")).where("loser % 3 <> 0")
     merged = sinks.resolve_merges(ids.withColumn("winner", F.col("loser") - 1))
     rows = holds.join(merged, F.col("person") == F.col("loser"), "left").select(F.coalesce("winner", "person").alias("person"), "duration_sec")

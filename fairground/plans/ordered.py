@@ -122,7 +122,7 @@ def q33_hourly_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q34_top8_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.hold_events(spark, sf_dir).groupBy("product_name").agg(F.count("*").alias("mover_count")).orderBy(F.desc("mover_count"), "product_name").limit(8)
+    return B.hold_events(spark, sf_dir, "product_name").groupBy("product_name").agg(F.count("*").alias("mover_count")).orderBy(F.desc("mover_count"), "product_name").limit(8)
 
 
 def q35_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,9 +103,13 @@ def t02_tripwire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t06_product_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of a camera for every ten users; ten minutes of the log count as a second here."""
     seconds = (F.col("ts") - 1704067200) / 600
-    rows = B.events(spark, sf_dir).select((F.col("user_id") % 5).alias("camera_id"), (F.col("k") % 4).alias("product"), seconds.alias("ts"), (F.col("event_type") != "error").alias("moved"), F.when(F.col("value") < 60, F.col("user_id") % 2).alias("holder"), "event_id")
-    return folds.product_holds(rows, "event_id")
+    rows = B.events(spark, sf_dir).select(
+        F.floor(F.col("user_id") / 10).alias("camera_id"), (F.col("k") % 4).alias("product"), seconds.alias("ts"), "event_id",
+        F.when(F.col("event_type") == "error", 0.0).otherwise(F.col("value")).alias("cx"), F.lit(0.0).alias("cy"), F.when(F.col("value") < 60, F.col("user_id") % 2).alias("holder"),
+    )
+    return folds.placed_products(rows, "event_id")
 
 
 def t30_load_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,19 +15,24 @@ def epoch(column: str):
     return (F.unix_micros(F.col(column).cast("timestamp")) / F.lit(1_000_000)).cast("double")
 
 
-def hold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product hold events: a line item is a hold of a part, its order's customer the person."""
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    orders, supplier = table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier")
-    rows = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
-    return rows.select(
-        F.col("l_partkey").alias("product_key"), F.col("p_name").alias("product_name"), F.col("l_quantity").alias("duration_sec"),
-        F.when(F.col("l_returnflag") == "A", "MALE").when(F.col("l_returnflag") == "R", "FEMALE").alias("gender"),
-        F.when(F.col("l_linenumber") == 7, None).when(F.col("l_linestatus") == "F", "ADULT").otherwise("CHILD").alias("age_category"),
-        F.when(F.col("l_linenumber") != 1, F.col("o_custkey")).alias("global_person_id"),
-        F.col("l_suppkey").alias("booth_id"), F.col("s_nationkey").alias("event_id"), F.col("l_linenumber").alias("camera_id"),
-        epoch("l_shipdate").alias("ts"), F.col("l_orderkey").alias("order_id"), F.col("l_extendedprice").alias("price"),
-    )
+def hold_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Product hold events: a line item is a hold of a part, its order's customer the person. Of the given
+    columns (all, if none is given); what they don't need isn't joined. Every line item has its order,
+    part and supplier."""
+    made = {
+        "product_key": F.col("l_partkey"), "product_name": F.col("p_name"), "duration_sec": F.col("l_quantity"),
+        "gender": F.when(F.col("l_returnflag") == "A", "MALE").when(F.col("l_returnflag") == "R", "FEMALE"),
+        "age_category": F.when(F.col("l_linenumber") == 7, None).when(F.col("l_linestatus") == "F", "ADULT").otherwise("CHILD"),
+        "global_person_id": F.when(F.col("l_linenumber") != 1, F.col("o_custkey")),
+        "booth_id": F.col("l_suppkey"), "event_id": F.col("s_nationkey"), "camera_id": F.col("l_linenumber"),
+        "ts": epoch("l_shipdate"), "order_id": F.col("l_orderkey"), "price": F.col("l_extendedprice"),
+    }
+    wanted = columns or tuple(made)
+    rows = table(spark, sf_dir, "lineitem")
+    for needs, name, key, own in (("global_person_id", "orders", "l_orderkey", "o_orderkey"), ("product_name", "part", "l_partkey", "p_partkey"), ("event_id", "supplier", "l_suppkey", "s_suppkey")):
+        if needs in wanted:
+            rows = rows.join(table(spark, sf_dir, name), F.col(key) == F.col(own))
+    return rows.select(*[made[c].alias(c) for c in wanted])
 
 
 HOLD_SQL = """SELECT l_partkey AS product_key, p_name AS product_name, l_quantity AS duration_sec,

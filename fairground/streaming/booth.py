@@ -9,23 +9,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fairground.operators import folds
+from fairground.operators import decisions, folds, identity
+from fairground.sources import shared
+
+
+#: Minutes without a row after which a key's state is forgotten.
+IDLE_MINUTES = 60
 
 
 def _stateful(rows: DataFrame, keys: list[str], order: list[str], start, step, schema: str) -> DataFrame:
-    """step over every key's rows of each batch in order, the state kept as JSON between batches."""
+    """step over every key's rows of each batch in order, the state kept as JSON between batches.
+
+    Rows that come after a later one of their key was taken are dropped, as the booth's cameras do; a key
+    that has been idle is forgotten, so that the state stays as large as what is in sight."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(_key, frames, state: GroupState):
-        kept = json.loads(state.get[0]) if state.exists else start()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept, last = json.loads(state.get[0]) if state.exists else (start(), None)
         out = []
         for row in pd.concat(list(frames)).sort_values(order).to_dict("records"):
+            if last is not None and row[order[0]] < last:
+                continue
+            last = row[order[0]]
             kept, made = step(kept, row)
             out += made
-        state.update((json.dumps(kept),))
+        state.update((json.dumps([kept, last]),))
+        state.setTimeoutDuration(IDLE_MINUTES * 60_000)
         yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def tripwire(readings: DataFrame) -> DataFrame:
@@ -43,6 +58,26 @@ def throttled(rows: DataFrame, key: str, ts: str, interval: float) -> DataFrame:
     return _stateful(rows.select(key, ts), [key], [ts], lambda: None, step, f"{key} long, {ts} double")
 
 
+def product_holds(rows: DataFrame) -> DataFrame:
+    """Holds as they are confirmed and as they end."""
+    return _stateful(rows, ["camera_id", "product"], ["ts"], folds.placed_start, folds.placed_step, folds.HOLD)
+
+
+def scan_switches(rows: DataFrame) -> DataFrame:
+    """The product that a kiosk shows, whenever it changes."""
+    return _stateful(rows, ["camera_id"], ["ts", "scan_id"], decisions.scan_start, decisions.scan_step, decisions.SCAN)
+
+
+def evidence(samples: DataFrame) -> DataFrame:
+    """What is believed of a person after every sample."""
+    return _stateful(samples, ["user_id"], ["ts", "id"], identity.evidence_start, identity.evidence_step, identity.SMOOTHED)
+
+
+def into_tables(rows: DataFrame, path: str, tables: dict, checkpoint: str):
+    """A running query that puts every delivery into several tables (name to a function of its rows)."""
+    return rows.writeStream.foreachBatch(lambda batch, _: shared.fan_out(batch, path, tables)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def idempotent(rows: DataFrame, key: str, event_time: str, late: str = "1 hour") -> DataFrame:
     """One row for each key within the time that rows may be late; rows without a key all stay."""
     timed = rows.withWatermark(event_time, late)

@@ -11,6 +11,7 @@ from fairground.operators import folds, sinks
 from fairground.operators.balance import running_balance
 from fairground.functions.scope import not_merged, period_start
 from fairground.plans import catalog
+from fairground.sources import documents, shared
 from fairground.streaming import booth as live
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +89,50 @@ def test_hold_cases():
     assert go([(0, True, 7), (2.0, True, 7), (9.0, False, None)]) == [("confirmed", 7, 2.0), ("finalized", 7, 2.0)]
 
 
+def test_resting_places():
+    rows = lambda spec: [{"camera_id": 1, "product": 1, "ts": float(t), "cx": float(x), "cy": 0.0, "holder": h} for t, x, h in spec]
+    go = lambda spec: [(e["event"], e["holder"], e["ts"]) for e in run(folds.placed_step, folds.placed_start(), rows(spec))]
+    assert go([(0, 0, 7), (1, 15, 7), (2, 5, 7), (3, 10, 7)]) == []  # touched, but where it rests
+    assert go([(0, 0, 7), (1, 30, 7), (2, 60, 7), (3, 90, 7), (4, 91, None)]) == [("confirmed", 7, 3.0), ("finalized", 7, 4.0)]
+    assert go([(0, 0, None), *[(t, 0, None) for t in range(2, 13, 2)], (13, 40, None), (15, 40, None), (17, 40, None), (19, 40, None), (21, 40, None), (23, 40, None)]) == [("settled", None, 10.0), ("settled", None, 23.0)]
+    assert go([(0, 0, None), (9, 50, 7), (10, 80, 7), (11, 110, 7)]) == []  # gone for too long: seen anew at 9, held from 10
+
+
+def test_holds_stream_is_batch(spark, tmp_path):
+    rows = [(1, p, float(t), float((t // 5 + p) % 3 * 30), 0.0, 7 if t % 11 < 6 else None) for p in range(8) for t in range(60)]
+    schema = "camera_id long, product long, ts double, cx double, cy double, holder long"
+    table = spark.createDataFrame(rows, schema)
+    for part in range(3):
+        table.where(f"ts >= {part * 20} AND ts < {part * 20 + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = live.product_holds(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    batch = folds.placed_products(table).collect()
+    assert batch and sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, batch))
+
+
+def test_fan_out(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id", "id % 3 AS kind")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    live.into_tables(stream, str(tmp_path / "out"), {"all": lambda x: x, "odd": lambda x: x.where("kind = 1")}, str(tmp_path / "state")).awaitTermination(240)
+    assert spark.read.parquet(str(tmp_path / "out/all")).count() == 10 and spark.read.parquet(str(tmp_path / "out/odd")).count() == 3
+
+
+def test_documents(spark):
+    docs = spark.createDataFrame([('{"_note": {"name": "x"}, "a": {"name": "A", "price": "1"}}',), ('[{"key": "b", "name": "B"}]',), ('{"products": {"c": {"name": "C"}}}',), ("broken",), (None,)], "document string")
+    assert sorted((r.key, r.name) for r in documents.catalog(docs).collect()) == [("a", "A"), ("b", "B"), ("c", "C")]
+    good, refused = documents.registered_products(spark.createDataFrame([('{"products": [{"id": "1", "name": "x"}, {"id": "2", "size": "9"}, {"id": "3"}, {"id": "3"}]}',)], "document string"))
+    assert [r.id for r in good.collect()] == ["1"] and sorted(map(tuple, refused.collect())) == [("2", "unknown field"), ("3", "duplicate id")]
+
+
+def test_sheets(spark, tmp_path):
+    full, empty = spark.createDataFrame([(1, "a,b"), (2, None)], "x long, y string"), spark.createDataFrame([], "x long")
+    for kind in ("csv", "json"):
+        found = shared.write_sheets({"full": full, "empty": empty}, str(tmp_path / kind), kind)
+        assert sorted(map(tuple, found["full"].collect())) == [(1, "a,b"), (2, None)] and [r.note for r in found["empty"].collect()] == ["no data"]
+
+
 def test_balance_floors_at_each_step(spark):
     rows = spark.createDataFrame([(1, i, float(i), d) for i, d in enumerate(["out", "out", "in", "in", "out"])], "booth_id long, id long, ts double, direction string")
     assert [r.balance for r in running_balance(rows, ["booth_id"]).orderBy("id").collect()] == [0, 0, 1, 2, 1]
