@@ -13,15 +13,12 @@ from fairground.operators import decisions, folds, identity
 from fairground.sources import shared
 
 
-#: Minutes without a row after which a key's state is forgotten.
-IDLE_MINUTES = 60
-
-
-def _stateful(rows: DataFrame, keys: list[str], order: list[str], start, step, schema: str) -> DataFrame:
+def _stateful(rows: DataFrame, keys: list[str], order: list[str], start, step, schema: str, idle_minutes: float | None = None) -> DataFrame:
     """step over every key's rows of each batch in order, the state kept as JSON between batches.
 
-    Rows that come after a later one of their key was taken are dropped, as the booth's cameras do; a key
-    that has been idle is forgotten, so that the state stays as large as what is in sight."""
+    Rows that come after a later one of their key was taken are dropped, as the booth's cameras do. With
+    idle_minutes, a key without rows for so long is forgotten, so that the state stays as large as what is
+    in sight: for queries that run on, since Spark then never runs out of batches to look for idle keys."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(_key, frames, state: GroupState):
@@ -30,22 +27,25 @@ def _stateful(rows: DataFrame, keys: list[str], order: list[str], start, step, s
             return
         kept, last = json.loads(state.get[0]) if state.exists else (start(), None)
         out = []
-        for row in pd.concat(list(frames)).sort_values(order).to_dict("records"):
+        for found in pd.concat(list(frames)).sort_values(order).to_dict("records"):
+            row = {c: None if v != v else v for c, v in found.items()}  # nulls come as NaN
             if last is not None and row[order[0]] < last:
                 continue
             last = row[order[0]]
             kept, made = step(kept, row)
             out += made
         state.update((json.dumps([kept, last]),))
-        state.setTimeoutDuration(IDLE_MINUTES * 60_000)
+        if idle_minutes is not None:
+            state.setTimeoutDuration(int(idle_minutes * 60_000))
         yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", timeout)
 
 
-def tripwire(readings: DataFrame) -> DataFrame:
+def tripwire(readings: DataFrame, idle_minutes: float | None = None) -> DataFrame:
     """Crossings as they are confirmed; rows of a track are taken in the order of a batch's times."""
-    return _stateful(readings, ["camera_id", "track_id"], ["ts"], folds.tripwire_start, folds.tripwire_step, folds.CROSSING)
+    return _stateful(readings, ["camera_id", "track_id"], ["ts"], folds.tripwire_start, folds.tripwire_step, folds.CROSSING, idle_minutes)
 
 
 def throttled(rows: DataFrame, key: str, ts: str, interval: float) -> DataFrame:
@@ -58,19 +58,19 @@ def throttled(rows: DataFrame, key: str, ts: str, interval: float) -> DataFrame:
     return _stateful(rows.select(key, ts), [key], [ts], lambda: None, step, f"{key} long, {ts} double")
 
 
-def product_holds(rows: DataFrame) -> DataFrame:
+def product_holds(rows: DataFrame, idle_minutes: float | None = None) -> DataFrame:
     """Holds as they are confirmed and as they end."""
-    return _stateful(rows, ["camera_id", "product"], ["ts"], folds.placed_start, folds.placed_step, folds.HOLD)
+    return _stateful(rows, ["camera_id", "product"], ["ts"], folds.placed_start, folds.placed_step, folds.HOLD, idle_minutes)
 
 
-def scan_switches(rows: DataFrame) -> DataFrame:
+def scan_switches(rows: DataFrame, idle_minutes: float | None = None) -> DataFrame:
     """The product that a kiosk shows, whenever it changes."""
-    return _stateful(rows, ["camera_id"], ["ts", "scan_id"], decisions.scan_start, decisions.scan_step, decisions.SCAN)
+    return _stateful(rows, ["camera_id"], ["ts", "scan_id"], decisions.scan_start, decisions.scan_step, decisions.SCAN, idle_minutes)
 
 
-def evidence(samples: DataFrame) -> DataFrame:
+def evidence(samples: DataFrame, idle_minutes: float | None = None) -> DataFrame:
     """What is believed of a person after every sample."""
-    return _stateful(samples, ["user_id"], ["ts", "id"], identity.evidence_start, identity.evidence_step, identity.SMOOTHED)
+    return _stateful(samples, ["user_id"], ["ts", "id"], identity.evidence_start, identity.evidence_step, identity.SMOOTHED, idle_minutes)
 
 
 def into_tables(rows: DataFrame, path: str, tables: dict, checkpoint: str):
