@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fairground.plans import booth, identity, kiosk, ordered, reports, spatial, tracking
+from fairground.plans import booth, identity, kiosk, looks, ordered, reports, spatial, tracking
 
-_MODULES = (booth, kiosk, ordered, spatial, tracking, reports, identity)
+_MODULES = (booth, kiosk, ordered, spatial, tracking, reports, identity, looks)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -34,6 +34,13 @@ def _remove() -> None:
     _MADE.clear()
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table of its own in the shared folder, read back: cuts the lineage, outlives executors."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def append(rows: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Add rows to a log; files are only ever added, so readers see whole appends."""
     writer = rows.write.mode("append")
