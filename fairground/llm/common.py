@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list = []
@@ -52,6 +52,16 @@ def _remove_scratch() -> None:
     _WRITTEN.clear()
 
 
+def named(rows: DataFrame, name: str) -> Column:
+    """A column of rows by its whole name, whatever signs that has."""
+    return rows["`" + name.replace("`", "``") + "`"]
+
+
+def whole(rows: DataFrame, names: list[str] | None = None) -> Column:
+    """The row, or some of its columns, as one struct."""
+    return F.struct(*[named(rows, c).alias(c) for c in names or rows.columns])
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of whole texts stay small, whatever their number in a partition."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

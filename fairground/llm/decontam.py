@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairground.llm.common import scratch, shingle_hashes, small_batches
+from fairground.llm.common import named, scratch, shingle_hashes, small_batches, whole
 
 #: Minimum functions. An item of q shingles is looked for in windows of less than 8 q: at containment
 #: 0.75 their Jaccard similarity is over 1/11, so all functions miss with probability under 1.1e-4.
@@ -137,8 +137,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, k: int, containment: float,
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text"))
     rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-rows * 2 // BLOCK_ITEMS), -(-size * 2 // BLOCK_BYTES))
-    text = docs[text_col].cast("string")
-    ids = docs[id_col].cast("long") if id_col else F.lit(None).cast("long")
+    text = named(docs, text_col).cast("string")
+    ids = named(docs, id_col).cast("long") if id_col else F.lit(None).cast("long")
     texts = docs.select(ids.alias("doc_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
     found = None
     for b in range(blocks):
@@ -173,5 +173,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, containmen
     few, and shuffles otherwise."""
     gone = _matches(docs, benchmark, k, containment, None, text_col, item_col, item_text_col).select("digest").distinct()
     gone = scratch(gone, "contaminated")
-    rows = docs.select(F.md5(docs[text_col].cast("string").cast("binary")).alias("digest"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select(F.md5(named(docs, text_col).cast("string").cast("binary")).alias("digest"), whole(docs).alias("row"))
     return rows.join(gone, "digest", "left_anti").select("row.*")

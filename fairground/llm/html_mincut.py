@@ -32,6 +32,11 @@ AGAINST = frozenset(
 )
 FOR = frozenset("article content post entry main story body text".split())
 HEADER_SAYS, CLASS_SAYS, CLASS_FOR = -6, -8, 2
+#: Elements that hold the whole page: their classes speak of the page, not of a part of it.
+WHOLE = ("html", "body")
+#: Share of a page's letters from which on an element around an article is a page of its own, as it were: its classes
+#: say no more than those of body.
+NEARLY_ALL = 0.9
 #: Units of cost to integer capacities; smoothness between blocks next to each other and between blocks
 #: of one parent, divided by one more than their distance in the tree.
 SCALE, ADJACENT, SIBLING = 100, 1.0, 0.6
@@ -41,7 +46,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "says", "silent", "inside", "block")
+    __slots__ = ("tag", "parent", "depth", "says", "silent", "inside", "block", "against", "good", "letters", "forgiven")
 
     def __init__(self, tag: str, attrs: list, parent: _Element | None) -> None:
         self.tag, self.parent = tag, parent
@@ -51,23 +56,27 @@ class _Element:
         self.silent = (parent.silent if parent else False) or tag in SILENT
         self.inside = (parent.inside if parent else False) or tag in ("article", "main")
         says = TAG_SAYS.get(tag, 0)
+        #: What class and id say against it, whether it looks like an article, the letters in it and in all below, and
+        #: what is taken back of what was said against it and what is around it.
+        self.against, self.good, self.letters, self.forgiven = 0, tag in ("article", "main"), 0, 0
         if tag == "header" and not self.inside:
             says += HEADER_SAYS
         for name, value in attrs:
             value = value or ""
             if name in ("class", "id"):
-                words = {w.lower() for w in _WORD.findall(value)}
+                words = {w.lower() for w in _WORD.findall(value)} if tag not in WHOLE else set()
                 if words & AGAINST:
-                    says += CLASS_SAYS
+                    self.against += CLASS_SAYS
                 elif "header" in words and not self.inside:
-                    says += HEADER_SAYS
+                    self.against += HEADER_SAYS
                 elif words & FOR:
                     says += CLASS_FOR
+                    self.good = True
             elif name == "role":
                 says += ROLE_SAYS.get(value.lower(), 0)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                 self.silent = True
-        self.says = (parent.says if parent else 0) + says
+        self.says = (parent.says if parent else 0) + says + self.against
 
 
 class _Page(HTMLParser):
@@ -85,6 +94,7 @@ class _Page(HTMLParser):
         self.owner: _Element | None = None
         self.links = self.linked = self.said = self.heard = 0
         self.named: dict[str, list[_Element]] = {}
+        self.elements = [self.top]
 
     def end_block(self) -> None:
         if self.text:
@@ -106,6 +116,7 @@ class _Page(HTMLParser):
             self.text and self.text.append(" ")
         if tag not in VOID:
             self.top = _Element(tag, attrs, self.top)
+            self.elements.append(self.top)
             self.named.setdefault(tag, []).append(self.top)
             self.links += tag == "a"
 
@@ -126,6 +137,21 @@ class _Page(HTMLParser):
             self.named[self.top.tag].pop()
             self.top = self.top.parent
 
+    def forgive(self) -> None:
+        """Take back what classes say against elements that hold nearly all of the page and an article in it."""
+        for e in reversed(self.elements[1:]):  # what is within an element comes after it
+            e.parent.letters += e.letters
+        holds = set()
+        for e in self.elements:
+            if e.good and e.parent is not None:
+                above = e.parent
+                while above is not None and id(above) not in holds:
+                    holds.add(id(above))
+                    above = above.parent
+        for e in self.elements[1:]:
+            own = e.against if e.letters >= NEARLY_ALL * self.elements[0].letters and id(e) in holds else 0
+            e.forgiven = e.parent.forgiven - own
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.open(tag, attrs)
 
@@ -148,6 +174,7 @@ class _Page(HTMLParser):
         letters = len(data) - data.count(" ")
         self.said += letters * self.top.says
         self.heard += letters
+        self.top.letters += letters
         if self.links > 0:
             self.linked += len(data)
 
@@ -157,7 +184,8 @@ def blocks_of(html: str | None) -> list[tuple[_Element, str, int, int, float]]:
     page.feed(html or "")
     page.close()
     page.end_block()
-    return page.blocks
+    page.forgive()
+    return [(e, text, n, linked, says + e.forgiven) for e, text, n, linked, says in page.blocks]
 
 
 def _container(e: _Element) -> _Element:

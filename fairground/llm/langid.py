@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from fairground.llm.common import small_batches
+from fairground.llm.common import named, small_batches
 
 #: Hashed n-grams of one to three letters.
 BUCKETS = 1 << 14
@@ -202,7 +202,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     the model knows no language. Rows come as often as they are in the table; none are shuffled."""
     small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
-    rows = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_text_"))
+    rows = docs.select(*[named(docs, c) for c in keep], named(docs, text_col).cast("string").alias("_text_"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(partial(_predict, model=model), schema)
 

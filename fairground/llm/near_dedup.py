@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairground.llm.common import Forest, connected_components, groups_in_order, minhashes, scratch, seeds, shingle_hashes, small_batches
+from fairground.llm.common import Forest, connected_components, groups_in_order, minhashes, named, scratch, seeds, shingle_hashes, small_batches, whole
 
 #: Independent trees, and minwise tokens of a document from which paths choose; the first TREES of
 #: them are the first choices of the trees. At Jaccard 0.75 one tree's first choice misses a pair with
@@ -85,7 +85,7 @@ def profiles(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str
     """doc_id, rep (a 128-bit digest of the word sequence, null without words), the number of shingles,
     the minwise tokens."""
     small_batches(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(named(docs, id_col).cast("long").alias("doc_id"), named(docs, text_col).cast("string").alias("text"))
     return rows.mapInArrow(partial(_profiles, k=k), _PROFILE)
 
 
@@ -246,7 +246,7 @@ def near_links(docs: DataFrame, profiled: DataFrame, k: int = 5, similarity: flo
     rows = leaves.join(known, "rep").select("leaf", "tree", "side", "rep", "doc", "n", F.col("big").cast("int").alias("big"), "tokens")
     rows = rows.repartition("leaf").sortWithinPartitions("leaf")
     clusters = scratch(rows.mapInArrow(partial(_screen, similarity=similarity), "cluster string, rep binary, doc long, tree int, big int, side int"), "clusters")
-    texts = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text"))
+    texts = docs.select(named(docs, id_col).cast("long").alias("doc"), named(docs, text_col).cast("string").alias("text"))
     # neither side of these joins has a size bound, so none is broadcast, at any size
     wanted = texts.join(clusters.select("doc").distinct().hint("merge"), "doc", "left_semi")
     grouped = clusters.hint("merge").join(wanted, "doc").select("cluster", "tree", "rep", "big", "side", "text").repartition("cluster").sortWithinPartitions("cluster")
@@ -314,7 +314,7 @@ def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.75, id_col:
     kept = scratch(first.select("first.id", "first.rep"), "kept")
     wordless = profiled.where(F.col("rep").isNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id")).distinct()
     twice = scratch(profiled.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "twice")
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select(named(docs, id_col).cast("long").alias("id"), named(docs, text_col).cast("string").alias("text"), whole(docs).alias("row"))
     stay = kept.select("id").union(wordless).distinct()
     once = rows.where("id IS NOT NULL").join(stay.hint("merge"), "id", "left_semi")
     if twice.isEmpty():
@@ -322,6 +322,6 @@ def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.75, id_col:
     alone = once.join(twice.hint("merge"), "id", "left_anti")
     schema = T.StructType([rows.schema["id"], rows.schema["text"], T.StructField("rep", T.BinaryType()), rows.schema["row"]])
     again = once.join(twice.hint("merge"), "id", "left_semi").mapInArrow(partial(_with_digest, k=k), schema)
-    named = again.join(kept.hint("merge"), ["id", "rep"], "left_semi").union(again.where("rep IS NULL").select("id", "rep", "text", "row"))
-    chosen = named.groupBy("id", "rep").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    known = again.join(kept.hint("merge"), ["id", "rep"], "left_semi").union(again.where("rep IS NULL").select("id", "rep", "text", "row"))
+    chosen = known.groupBy("id", "rep").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
     return alone.select("row").union(chosen.select("row")).union(rows.where("id IS NULL").select("row")).select("row.*")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairground.llm.common import scratch
+from fairground.llm.common import named, scratch, whole
 
 #: Kinds in the order of the result. Possessive forms and the look-behind keep the patterns linear in
 #: the text; they match what the plain forms match, leftmost and non-overlapping.
@@ -133,7 +133,7 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text", left_bits: float =
 
     Counts are of different texts: with the term and the value, with the term, with the value. A term
     is a candidate for a value once it stands near it; its other places count wherever they are."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    text = F.coalesce(named(docs, text_col).cast("string"), F.lit(""))
     rows = docs.select(text.alias("text_"), F.xxhash64(text).alias("h"))
     contexts = scratch(_contexts(_with_matches(rows)), "contexts")
     total = rows.select("h").distinct().count()
@@ -187,8 +187,8 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
 
     Null text counts as empty. Rows come as often as they are in the table, whatever their other
     columns hold or are called; an empty table gives no rows."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in keep or [text_col]]).alias("row"), text.alias("text_"), F.xxhash64(text).alias("h_"))
+    text = F.coalesce(named(docs, text_col).cast("string"), F.lit(""))
+    rows = docs.select(whole(docs, keep or [text_col]).alias("row"), text.alias("text_"), F.xxhash64(text).alias("h_"))
     terms = scratch(sensitive_terms(docs, text_col, **thresholds), "sensitive")
     held = terms.groupBy("term").agg(F.bool_or("removed").alias("removed"))
     n, small = _small(held, ["term"])
@@ -250,6 +250,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", out_col: str = "sanitised"
     vague = lambda m: F.array_contains(F.coalesce("vague", F.array().cast("array<string>")), m)
     term = lambda m: F.when(m.rlike(f"^{_MARKS}$"), m).when(vague(m), F.concat(F.lit("["), F.left(m, F.lit(1)), F.lit(".]"))).otherwise("[TERM]")
     found = replaced(found, F.concat(F.lit(_MARKS + "|"), _term_pattern()), F.size("term_m") > 0, term)
-    kept = [F.col(f"row.`{c}`").alias(c) for c in names if c != out_col]
-    original = F.col(f"row.`{text_col}`")
+    own = lambda c: F.col("row.`" + c.replace("`", "``") + "`")
+    kept = [own(c).alias(c) for c in names if c != out_col]
+    original = own(text_col)
     return found.select(*kept, F.when(original.isNotNull(), F.col("now_")).alias(out_col))

@@ -231,10 +231,23 @@ def test_chat_on_odd_rows(spark):
     assert chat.format_chat(table.limit(0)).count() == 0
 
 
+def test_classes_of_the_whole_page_say_nothing():
+    """Body, or all that holds the article and nearly everything else, may be called what it likes."""
+    prose = " ".join(["Some words of an article that go on for a while, with commas."] * 4)
+    inner = f"<nav><a href=x>Home</a> <a href=y>More</a></nav><article><h1>Title</h1><p>{prose}</p><p>{prose}</p></article><div class=sidebar>Also here</div><footer>Copyright 2020 us</footer>"
+    want = f"Title\n{prose}\n{prose}"
+    for name in ("", "page has-sidebar", "nav-open", "single post comments-open", "cookie-notice-seen", "ad advert sponsored"):
+        assert html_mincut.main_text(f"<html class='{name}'><body class='{name}' id='comments'>{inner}</body></html>") == want
+        assert html_mincut.main_text(f"<body><div id='{name}'><div class='{name}'>{inner}</div></div><p></p></body>") == want
+    # what holds all of a page but no article is still what it is called
+    for name in ("sidebar", "comments", "cookie-notice"):
+        assert html_mincut.main_text(f"<body><div class='{name}'><p>{prose}</p><p>{prose}</p></div></body>") == ""
+
+
 def test_pipeline_stages_with_odd_rows(spark):
     """Columns of any name, repeated rows, nulls, ties and empty tables pass every stage but the last."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    clash = ["score", "lang_pred", "row", "_text_", "digest", "rep", "rows_", "least_", "text_", "h_", "email_m", "terms", "now_", "sanitised_", "sanitised_0", "id", "component", "doc"]
+    clash = ["score", "lang_pred", "row", "_text_", "digest", "rep", "rows_", "least_", "text_", "h_", "email_m", "terms", "now_", "sanitised_", "sanitised_0", "id", "component", "doc", "a.b", "x`y", "row.text"]
     wide = docs.limit(60).select("*", *[F.lit(f"own {c}").alias(c) for c in clash])
     wide = wide.union(wide.limit(5)).union(wide.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).union(wide.limit(2).withColumn("text", F.lit(None).cast("string")))
     for name, stage in corpus_pipeline.STAGES:
