@@ -104,8 +104,8 @@ def hold_start() -> dict:
 
 def hold_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
     """row: camera_id, product, ts, moved (from its resting place), holder (a track touching it or
-    null). Held from the first moved row with a holder; confirmed once after CONFIRM_AFTER; a hand-off
-    ends one hold and begins the next; released when it rests and nobody touches it, or after absence."""
+    null). Held from the first moved row with a holder; confirmed once after CONFIRM_AFTER; another holder
+    who moves it ends one hold and begins the next, who only touches it doesn't; released when it rests and nobody touches it, or after absence."""
     out = []
 
     def end(at: float) -> None:
@@ -122,7 +122,7 @@ def hold_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
     if row["holder"] is None and not row["moved"]:
         end(row["ts"])
         return hold_start(), out
-    if row["holder"] is not None and row["holder"] != state["holder"]:
+    if row["moved"] and row["holder"] is not None and row["holder"] != state["holder"]:
         end(row["ts"])
         return {"holder": row["holder"], "since": row["ts"], "last": row["ts"], "confirmed": False}, out
     state = {**state, "last": row["ts"]}

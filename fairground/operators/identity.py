@@ -102,11 +102,11 @@ def merges(pairs: DataFrame, persons: DataFrame) -> DataFrame:
     return kept.select("booth_id", F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("loser"), F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("winner"), "sim")
 
 
-ASSIGNED = "booth_id long, track long, person string, status string, score double"
+ASSIGNED = "booth_id long, track long, person string, status string, score double, linked string"
 
 
 def _score(track: dict, person: dict) -> float:
-    """The weighted mean of what is known of both; with less than two signals of looks never enough."""
+    """The weighted mean of what is known of both; with less than two signals of looks never sure."""
     ends = [("reid", sum(a * b for a, b in zip(track["look"], person["look"], strict=True)) if track["look"] and person["look"] else None)]
     ends += [(c, None if track[c] is None or person[c] is None else float(track[c] == person[c])) for c in ("clothing", "body")]
     gap = track["ts"] - person["ts"]
@@ -116,25 +116,26 @@ def _score(track: dict, person: dict) -> float:
     signals = [*ends, ("temporal", temporal), ("spatial", 1.0 if track["camera_id"] == person["camera_id"] else 0.6)]
     known = [(WEIGHTS[c], max(0.0, x)) for c, x in signals if x is not None]
     mean = sum(w * x for w, x in known) / sum(w for w, _ in known)
-    return mean if sum(x is not None for _, x in ends) >= 2 else min(mean, PERHAPS - 0.01)
+    return mean if sum(x is not None for _, x in ends) >= 2 else min(mean, SURE - 0.01)
 
 
 def assign_step(state: tuple, row: dict) -> tuple[tuple, list[dict]]:
     """row: booth_id, track, camera_id, ts, look (unit vector or null), clothing, body. MATCH takes the best
-    person's name, UNCERTAIN and NEW a new one; only persons seen lately are remembered."""
+    person's name, UNCERTAIN and NEW a new one, UNCERTAIN linked to whom it may be; only persons seen lately are remembered."""
     number, persons = state
     persons = [p for p in persons if row["ts"] - p["ts"] <= FORGET]
     scores = [_score(row, p) for p in persons]
     best = max(range(len(scores)), key=lambda i: (scores[i], -i), default=None)
     score = round(scores[best], 6) if best is not None else 0.0
     if best is not None and score >= SURE:
-        name, status = persons[best]["name"], "MATCH"
+        name, status, linked = persons[best]["name"], "MATCH", None
         persons = [{**p, "ts": row["ts"], "camera_id": row["camera_id"]} if i == best else p for i, p in enumerate(persons)]
     else:
         name, status = f"PERSON-{number:04d}", "UNCERTAIN" if score >= PERHAPS else "NEW"
+        linked = persons[best]["name"] if status == "UNCERTAIN" else None
         number += 1
         persons = [*persons, {**{c: row[c] for c in ("look", "clothing", "body", "ts", "camera_id")}, "name": name}]
-    return (number, persons), [{"booth_id": row["booth_id"], "track": row["track"], "person": name, "status": status, "score": score}]
+    return (number, persons), [{"booth_id": row["booth_id"], "track": row["track"], "person": name, "status": status, "score": score, "linked": linked}]
 
 
 def assigned(tracks: DataFrame) -> DataFrame:
@@ -152,17 +153,19 @@ def evidence_start() -> dict:
 
 
 def evidence_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
-    """row: user_id, ts, id, logit (positive for one label), face (else body), weight."""
+    """row: user_id, ts, id, logit (positive for one label), face (else body), weight (of a body; 0 says nothing).
+    Two faces make the evidence that of faces, which decides sooner."""
     if state["ts"] is not None and row["ts"] - state["ts"] > STALE:
         state = evidence_start()
-    most = FACE_MOST if row["face"] else BODY_MOST * row["weight"]
-    e = state["e"] * DECAY + max(-most, min(most, row["logit"]))
-    n, faces = state["n"] + 1, state["faces"] + row["face"]
-    least, samples = DECIDE if faces else DECIDE_BODY
+    counts = row["face"] or row["weight"] > 0
+    push = max(-FACE_MOST, min(FACE_MOST, row["logit"])) if row["face"] else max(-BODY_MOST, min(BODY_MOST, row["logit"])) * row["weight"]
+    e = state["e"] * DECAY + push if counts else state["e"]
+    n, faces = state["n"] + counts, state["faces"] + row["face"]
+    least, samples = DECIDE if faces >= DECIDE[1] else DECIDE_BODY
     label, own = state["label"], "MALE" if e > 0 else "FEMALE"
     if n >= samples and abs(e) >= least:
         label = own
-    elif label is not None and (label != own or abs(e) < KEEP * least):
+    elif n < samples or label != own or abs(e) < KEEP * least:
         label = None
     out = {"user_id": row["user_id"], "ts": row["ts"], "id": row["id"], "evidence": round(e, 6), "label": label or "UNKNOWN"}
     return {"e": e, "n": n, "faces": faces, "label": label, "ts": row["ts"]}, [out]

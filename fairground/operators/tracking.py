@@ -71,18 +71,27 @@ class Tracking:
     """How tracks are matched, born, confirmed and dropped."""
 
     optimal: bool = True
+    #: Overlaps of sure detections, and of those of low score that rescue a track.
     least_iou: float = 0.2
+    rescue_iou: float = 0.2
     high: float = 0.5
     low: float = 0.1
-    birth: float = 0.7
+    #: Score that begins a track, and that confirms it at once.
+    birth: float = 0.5
+    certain: float = 0.7
     confirm_hits: int = 2
+    #: Seconds, and frames of the camera, after which an unseen track is gone.
     max_age: float = 3.5
+    max_missed: int | None = None
+    least_area: float = 0.0
+    #: Whether the last box seen counts beside the one expected.
+    last_box: bool = True
 
 
 #: The booth's tracker, the server's, and the one for products (fixed values).
 BOOTH = Tracking()
-SERVER = Tracking(optimal=False, least_iou=0.2, birth=0.6, confirm_hits=3, max_age=30.0)
-PRODUCT = Tracking(optimal=False, least_iou=0.4, high=0.0, low=0.0, birth=0.0, confirm_hits=2, max_age=3.0)
+SERVER = Tracking(optimal=False, least_iou=0.3, rescue_iou=0.4, birth=0.6, certain=np.inf, confirm_hits=3, max_age=np.inf, max_missed=30, least_area=64.0, last_box=False)
+PRODUCT = Tracking(optimal=False, least_iou=0.4, rescue_iou=0.4, high=0.0, low=0.0, birth=0.0, certain=np.inf, confirm_hits=2, max_age=3.0, last_box=False)
 #: Share of a surprise that corrects the velocity.
 GAIN = 0.35
 
@@ -96,17 +105,15 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both / np.maximum(area(a)[:, None] + area(b)[None] - both, 1e-12)
 
 
-def _matched(boxes: np.ndarray, expected: np.ndarray, how: Tracking) -> list[tuple[int, int]]:
-    """Pairs of a box and an expected box that overlap enough."""
-    if not len(boxes) or not len(expected):
+def _matched(overlap: np.ndarray, least: float, how: Tracking) -> list[tuple[int, int]]:
+    """Pairs of a box and a track that overlap enough; the best of all together, or one after another."""
+    if not overlap.size:
         return []
-    overlap = _iou(boxes, expected)
-    overlap[overlap < how.least_iou] = 0.0
     if how.optimal:
-        return [(r, c) for r, c in assign(overlap) if overlap[r, c] > 0]
+        return [(r, c) for r, c in assign(overlap) if overlap[r, c] >= least]
     pairs, order = [], np.argsort(-overlap, axis=None, kind="stable")
     for r, c in zip(*np.unravel_index(order, overlap.shape), strict=True):
-        if overlap[r, c] <= 0:
+        if overlap[r, c] < least:
             break
         if all(r != a and c != b for a, b in pairs):
             pairs.append((int(r), int(c)))
@@ -121,22 +128,26 @@ def frame_step(how: Tracking):
     def step(state: tuple, row: dict) -> tuple[tuple, list[dict]]:
         number, tracks = state
         now, out = row["ts"], []
-        tracks = [t for t in tracks if now - t["ts"] <= how.max_age]
+        tracks = [t for t in tracks if now - t["ts"] <= how.max_age and (how.max_missed is None or t["missed"] <= how.max_missed)]
         found = sorted(row["found"], key=lambda d: d["id"])
+        found = [d for d in found if (d["x2"] - d["x1"]) * (d["y2"] - d["y1"]) >= how.least_area]
         left = list(range(len(tracks)))
         for strong in (True, False):
             taken = [d for d in found if (d["score"] >= how.high) == strong and d["score"] >= how.low]
             boxes = np.array([[d["x1"], d["y1"], d["x2"], d["y2"]] for d in taken], dtype=float).reshape(-1, 4)
             expected = np.array([tracks[i]["box"] + tracks[i]["speed"] * (now - tracks[i]["ts"]) for i in left]).reshape(-1, 4)
-            pairs = dict(_matched(boxes, expected, how))
+            overlap = _iou(boxes, expected)
+            if how.last_box and left:
+                overlap = np.maximum(overlap, _iou(boxes, np.array([tracks[i]["box"] for i in left])))
+            pairs = dict(_matched(overlap, how.least_iou if strong else how.rescue_iou, how))
             for d, (detection, box) in enumerate(zip(taken, boxes, strict=True)):
                 if d in pairs:
                     t = tracks[left[pairs[d]]]
                     seconds = max(now - t["ts"], 1e-3)
                     speed = t["speed"] + GAIN * (box - expected[pairs[d]]) / seconds
-                    t |= {"box": box, "speed": speed, "ts": now, "hits": t["hits"] + 1}
+                    t |= {"box": box, "speed": speed, "ts": now, "hits": t["hits"] + 1, "missed": 0}
                 elif strong and detection["score"] >= how.birth:
-                    t = {"track": number, "box": box, "speed": np.zeros(4), "ts": now, "hits": 1}
+                    t = {"track": number, "box": box, "speed": np.zeros(4), "ts": now, "hits": how.confirm_hits if detection["score"] >= how.certain else 1, "missed": 0}
                     number += 1
                     tracks.append(t)
                 else:
@@ -144,6 +155,7 @@ def frame_step(how: Tracking):
                 out.append({"camera_id": row["camera_id"], "ts": now, "id": detection["id"], "track": t["track"], "confirmed": t["hits"] >= how.confirm_hits})
             left = [i for k, i in enumerate(left) if k not in pairs.values()]
         # who wasn't seen before being confirmed is forgotten
+        tracks = [{**t, "missed": t["missed"] + (t["ts"] != now)} for t in tracks]
         return (number, [t for t in tracks if t["ts"] == now or t["hits"] >= how.confirm_hits]), out
 
     return step

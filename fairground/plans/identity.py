@@ -223,20 +223,20 @@ def v05_gallery_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v10_person_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated queries against persons (labels) with looks from three cameras: half by the best look, half
-    by the best of the cameras' mean looks. Across cameras, colours have a weight of their own."""
+    by the best of the cameras' mean looks, which the query has part in as any other look. Across cameras, colours have a weight of their own."""
     rows = vectors.valid(table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select("vec_id", "label", (F.col("vec_id") % 3).alias("camera"), F.col("embedding").cast("array<double>").alias("v")), "v", 64)
     unit = rows.withColumn("v", vectors.normalised(F.col("v")))
-    looks = unit.where("vec_id % 20 <> 0")
+    looks = unit
     key = F.struct("label", "camera")
     means = vectors.mean_vectors(looks.withColumn("key", key), "key", "v").select("key.label", "key.camera", F.col("mean").alias("g"))
-    stored = looks.select("label", "camera", F.col("v").alias("g"), F.lit(True).alias("single")).union(means.select("label", "camera", "g", F.lit(False)))
+    stored = looks.select("label", "camera", F.col("v").alias("g"), F.col("vec_id").alias("other"), F.lit(True).alias("single")).union(means.select("label", "camera", "g", F.lit(None), F.lit(False)))
     stored = stored.withColumn("block", F.pmod(F.xxhash64("label", "camera", "g"), F.lit(64)))
     asked = unit.where("vec_id % 20 = 0").select("vec_id", F.col("camera").alias("own"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("block"))
     cnn, colour = lambda c: F.slice(c, 1, 64 - COLOURS), lambda c: F.slice(c, 65 - COLOURS, COLOURS)
     plain = vectors.cosine(F.col("v"), F.col("g"))
     cross = (1 - COLOUR_SHARE) * vectors.cosine(cnn("v"), cnn("g")) + COLOUR_SHARE * vectors.cosine(colour("v"), colour("g"))
     sim = F.when(F.col("own") == F.col("camera"), plain).otherwise(cross)
-    per = asked.join(stored, "block").groupBy("vec_id", "label").agg(F.max(F.when(F.col("single"), sim)).alias("best"), F.max(F.when(~F.col("single"), sim)).alias("mean"), F.count_if("single").alias("n"))
+    per = asked.join(stored, "block").where(~F.col("vec_id").eqNullSafe(F.col("other"))).groupBy("vec_id", "label").agg(F.max(F.when(F.col("single"), sim)).alias("best"), F.max(F.when(~F.col("single"), sim)).alias("mean"), F.count_if("single").alias("n"))
     return per.select("vec_id", "label", F.round(F.when(F.col("n") < 2, F.col("best")).otherwise(0.5 * F.col("best") + 0.5 * F.col("mean")), 6).alias("similarity"))
 
 
@@ -317,10 +317,10 @@ ORACLE_SQL = {
   c AS (SELECT vec_id, label, list_transform(list_zip(v, m), lambda z: z[1] - z[2]) AS v FROM e, m), p AS (SELECT q.vec_id, g.label AS product, round(max(list_cosine_similarity(q.v, g.v)), 6) AS score FROM c q JOIN c g ON q.vec_id % 20 = 0 AND g.vec_id <> q.vec_id AND g.label IS NOT NULL GROUP BY 1, 2),
   r AS (SELECT *, lead(score) OVER w AS next, row_number() OVER w AS rank FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, product))
   SELECT vec_id, CASE WHEN CASE WHEN next IS NULL THEN score >= {ALONE} ELSE score >= {GALLERY[0]} AND round(score - next, 6) >= {GALLERY[1]} END THEN product END AS product, score FROM r WHERE rank = 1""",
-    "v10_person_similarity": f"""WITH u AS (SELECT vec_id, label, vec_id % 3 AS cam, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM ({_V}) WHERE label IS NOT NULL), l AS (SELECT * FROM u WHERE vec_id % 20 <> 0),
+    "v10_person_similarity": f"""WITH u AS (SELECT vec_id, label, vec_id % 3 AS cam, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM ({_V}) WHERE label IS NOT NULL), l AS (SELECT * FROM u),
   n AS (SELECT label, cam, list(x ORDER BY i) AS v FROM (SELECT label, cam, i, avg(x) AS x FROM (SELECT label, cam, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM l) GROUP BY 1, 2, 3) GROUP BY 1, 2),
-  g AS (SELECT label, cam, v, true AS single FROM l UNION ALL SELECT label, cam, v, false FROM n),
-  s AS (SELECT q.vec_id, g.label, single, CASE WHEN q.cam = g.cam THEN list_cosine_similarity(q.v, g.v) ELSE 0.65::DOUBLE * list_cosine_similarity(q.v[1:48], g.v[1:48]) + 0.35::DOUBLE * list_cosine_similarity(q.v[49:64], g.v[49:64]) END AS sim FROM u q JOIN g ON q.vec_id % 20 = 0),
+  g AS (SELECT label, cam, v, true AS single, vec_id AS other FROM l UNION ALL SELECT label, cam, v, false, NULL FROM n),
+  s AS (SELECT q.vec_id, g.label, single, CASE WHEN q.cam = g.cam THEN list_cosine_similarity(q.v, g.v) ELSE 0.65::DOUBLE * list_cosine_similarity(q.v[1:48], g.v[1:48]) + 0.35::DOUBLE * list_cosine_similarity(q.v[49:64], g.v[49:64]) END AS sim FROM u q JOIN g ON q.vec_id % 20 = 0 AND g.other IS DISTINCT FROM q.vec_id),
   p AS (SELECT vec_id, label, max(sim) FILTER (single) AS best, max(sim) FILTER (NOT single) AS mean, count(*) FILTER (single) AS n FROM s GROUP BY 1, 2) SELECT vec_id, label, round(CASE WHEN n < 2 THEN best ELSE 0.5::DOUBLE * best + 0.5::DOUBLE * mean END, 6) AS similarity FROM p""",
     "e05_balanced_accuracy": f"""WITH r AS (SELECT trunc(k / 25)::INT AS bucket, user_id % 2 = 0 AS real, value - user_id % 2 * 8 > 25 AS told FROM {_E}), p AS (SELECT bucket, count(*)::BIGINT AS n, avg(told::INT) FILTER (real) AS tpr, avg((NOT told)::INT) FILTER (NOT real) AS tnr FROM r GROUP BY 1)
   SELECT bucket, n, round((coalesce(tpr, tnr) + coalesce(tnr, tpr)) / 2, 6) AS balanced_accuracy FROM p""",

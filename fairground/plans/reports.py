@@ -492,9 +492,9 @@ def v08_running_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v09_soft_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half by height, half by sharpness, each full at three and six times its least."""
-    height, blur = F.col("k") / 100, F.col("value")
-    score = 0.5 * F.least(F.lit(1.0), height / (3 * 0.12)) + 0.5 * F.least(F.lit(1.0), blur / (6 * 8.0))
-    return B.events(spark, sf_dir).select("event_id", F.round(score, 6).alias("quality"))
+    # in hundredths of the value and whole per cent of the height, so that only the last division is inexact
+    height, blur = F.least(F.lit(36), F.col("k")) * 400, F.least(F.lit(4800), F.round(F.col("value") * 100).cast("long")) * 3
+    return B.events(spark, sf_dir).select("event_id", ((height + blur) / F.lit(28800.0)).alias("quality"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -593,5 +593,5 @@ ORACLE_SQL = {
     "v08_running_blend": f"""WITH RECURSIVE r AS (SELECT user_id, value, (k % 5 + 1)::DOUBLE AS w, row_number() OVER ({_BY}) AS i FROM {_E}),
   f AS (SELECT user_id, i, value AS blend, w AS weight FROM r WHERE i = 1 UNION ALL SELECT r.user_id, r.i, (f.blend * f.weight + r.value * r.w) / (f.weight + r.w), least(f.weight + r.w, 100.0::DOUBLE) FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1)
   SELECT user_id, round(arg_max(blend, i), 6) AS blend, round(arg_max(weight, i), 6) AS weight FROM f GROUP BY 1""",
-    "v09_soft_quality": f"SELECT event_id, round(0.5::DOUBLE * least(1.0::DOUBLE, k / 100 / (3 * 0.12::DOUBLE)) + 0.5::DOUBLE * least(1.0::DOUBLE, value / (6 * 8.0::DOUBLE)), 6) AS quality FROM {_E}",
+    "v09_soft_quality": f"SELECT event_id, (least(36, k) * 400 + least(4800, round(value * 100)::BIGINT) * 3) / 28800.0::DOUBLE AS quality FROM {_E}",
 }

@@ -79,7 +79,9 @@ def test_identity_assignment():
     go = lambda rows: [(e["person"], e["status"]) for e in run(I.assign_step, (1, []), rows)]
     assert go([track(1, 0.0, 0.0), track(2, 5.0, 0.1), track(3, 9.0, 1.5, clothing=2)]) == [("PERSON-0001", "NEW"), ("PERSON-0001", "MATCH"), ("PERSON-0002", "NEW")]
     assert go([track(1, 0.0, 0.0), track(2, 1000.0, 0.0)])[1] == ("PERSON-0002", "NEW")  # forgotten
-    assert go([track(1, 0.0, 0.0), track(2, 5.0, 0.0, clothing=None, body=None)])[1] == ("PERSON-0002", "NEW")  # one signal never suffices
+    assert go([track(1, 0.0, 0.0), track(2, 5.0, 0.0, clothing=None, body=None)])[1] == ("PERSON-0002", "UNCERTAIN")  # one signal never suffices
+    one = run(I.assign_step, (1, []), [track(1, 0.0, 0.0), track(2, 5.0, 0.0, clothing=None, body=None)])[1]
+    assert (one["score"], one["linked"]) == (0.79, "PERSON-0001")
     assert go([track(1, 0.0, 0.0), track(2, 5.0, 1.2)])[1][1] == "UNCERTAIN"
 
 
@@ -89,6 +91,29 @@ def test_evidence():
     assert got[0] == ("UNKNOWN", 2.5) and got[1] == ("MALE", 4.875) and got[2][0] == "MALE" and got[3][0] == "UNKNOWN" and got[4][0] == "FEMALE" and got[5] == ("UNKNOWN", 1.0)
 
 
+    sample = lambda t, x, face, weight=1.0: {"user_id": 1, "ts": float(t), "id": t, "logit": x, "face": face, "weight": weight}
+    go = lambda rows: [(e["label"], e["evidence"]) for e in run(I.evidence_step, I.evidence_start(), rows)]
+    assert go([sample(0, 1.0, True), sample(1, 1.5, False)]) == [("UNKNOWN", 1.0), ("UNKNOWN", 2.45)]  # one face isn't two
+    assert go([sample(0, 2.0, True), sample(1, 9.0, False, 0.0), sample(2, 2.0, True)]) == [("UNKNOWN", 2.0), ("UNKNOWN", 2.0), ("MALE", 3.9)]
+    assert go([sample(t, 1.5, False) for t in range(4)])[-2:] == [("UNKNOWN", 4.27875), ("MALE", 5.564812)]
+
+
+def test_tracks_begin_and_end():
+    def frames(how, found):
+        """found: (ts, x, score) of a box of ten pixels, or (ts,) for a frame without."""
+        rows = [{"camera_id": 1, "ts": float(f[0]), "found": [{"id": i, "x1": f[1], "y1": 0.0, "x2": f[1] + 10, "y2": 10.0, "score": f[2]}] if len(f) > 1 else []} for i, f in enumerate(found)]
+        return [(e["ts"], e["track"], e["confirmed"]) for e in run(T.frame_step(how), (1, []), rows)]
+
+    assert frames(T.BOOTH, [(t, 0.0, 0.6) for t in range(3)]) == [(0.0, 1, False), (1.0, 1, True), (2.0, 1, True)]  # 0.6 begins a track, tentatively
+    assert frames(T.BOOTH, [(0, 0.0, 0.7), (1,), (2, 0.0, 0.7)]) == [(0.0, 1, True), (2.0, 1, True)]
+    assert frames(T.BOOTH, [(0, 0.0, 0.9), (1, 5.0, 0.9), (2, 5.0, 0.9), (3, 0.0, 0.9)])[-1][1] == 1  # turned round: the last box counts too
+    seen = [(t, 0.0, 0.9) for t in range(3)]
+    assert [x[1] for x in frames(T.SERVER, [*seen, *[(t,) for t in range(3, 33)], (33, 0.0, 0.9)])] == [1] * 4
+    assert [x[1] for x in frames(T.SERVER, [*seen, *[(t,) for t in range(3, 200)], (200, 0.0, 0.9)])] == [1, 1, 1, 2]
+    small = [{"camera_id": 1, "ts": 0.0, "found": [{"id": 1, "x1": 0.0, "y1": 0.0, "x2": 7.0, "y2": 9.0, "score": 0.9}]}]
+    assert run(T.frame_step(T.SERVER), (1, []), small) == []
+
+
 def test_streaks_and_merges(spark):
     reasons = ["low", "low", None, "low", "low", "low", "gender", "gender", "hair", "hair", "hair", "face", "colour", "face", "face"]
     checks = spark.createDataFrame([(1, float(i), i, r) for i, r in enumerate(reasons)], "track long, ts double, id long, reason string")

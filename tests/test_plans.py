@@ -86,6 +86,7 @@ def test_hold_cases():
     assert go([(0, True, 7), (1.9, True, 7), (2.5, False, None)]) == []
     assert go([(0, True, 7), (2.0, True, 7), (3.0, False, None)]) == [("confirmed", 7, 2.0), ("finalized", 7, 3.0)]
     assert go([(0, True, 7), (2.0, True, 7), (2.5, True, 8), (4.6, True, 8)]) == [("confirmed", 7, 2.0), ("finalized", 7, 2.5), ("confirmed", 8, 4.6)]
+    assert go([(0, True, 7), (2.0, True, 7), (2.5, False, 8), (4.0, False, 7), (5.0, False, None)]) == [("confirmed", 7, 2.0), ("finalized", 7, 5.0)]  # touched by another, not moved
     assert go([(0, True, 7), (2.0, True, 7), (9.0, False, None)]) == [("confirmed", 7, 2.0), ("finalized", 7, 2.0)]
 
 
