@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fairground.functions.scope import half_up
-from fairground.operators import sinks
+from fairground.operators import scans, sinks
 from fairground.plans import kiosk
 from fairground.sources import bindings as B
 from fairground.sources import documents, shared
@@ -428,10 +428,9 @@ def l08_best_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l10_name_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of product names in the order of their letters, whatever the case: distinct names only, so
-    that the one ordered window holds each once."""
-    names = B.kiosk_products(spark, sf_dir).select(F.lower("name").alias("name")).distinct()
-    return names.select("name", F.dense_rank().over(W.orderBy("name")).alias("place"))
+    """Places of the different product names in the order of the language, by ranges."""
+    names = B.kiosk_products(spark, sf_dir).select("name").distinct()
+    return scans.numbered(names.withColumn("sorted", F.collate("name", "th")), ["sorted", "name"], "place").select("name", "place")
 
 
 def l11_alert_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -581,7 +580,7 @@ ORACLE_SQL = {
     "l05_top_candidates": f"""WITH p AS (SELECT user_id, k % 8 AS product, round(max(value), 1) AS score FROM {_E} GROUP BY 1, 2) SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY score DESC, product))::INT AS rank FROM p QUALIFY rank <= 3""",
     "l07_best_per_class": f"SELECT floor(ts / 86400)::BIGINT AS frame, event_type, max(round(value, 0)) AS score, arg_max(event_id, (round(value, 0), -event_id)) AS event_id FROM {_E} GROUP BY 1, 2",
     "l08_best_shots": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM {_E}) SELECT user_id, count(*)::BIGINT AS shots, round(min(value), 6) AS worst FROM r WHERE rank <= 3 GROUP BY 1""",
-    "l10_name_order": f"SELECT name, dense_rank() OVER (ORDER BY name)::INT AS place FROM (SELECT DISTINCT lower(name) AS name FROM ({PRODUCT_SQL}))",
+    "l10_name_order": f"SELECT name, row_number() OVER (ORDER BY name COLLATE th, name) AS place FROM (SELECT DISTINCT name FROM ({PRODUCT_SQL}))",
     "l11_alert_ring": f"SELECT event_id, user_id FROM {_E} WHERE event_type = 'error' AND value > 20 ORDER BY ts DESC, event_id DESC LIMIT 50",
     "l12_recent_values": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM {_E}) SELECT user_id, count(*)::BIGINT AS held, round(avg(value), 6) AS mean FROM r WHERE rank <= 12 GROUP BY 1""",
     "n07_approaching": f"SELECT event_id, coalesce(lag(value) OVER ({_BY}) - value > 0.05, false) AS approaching FROM {_E}",
