@@ -23,6 +23,8 @@ def scope(df: DataFrame, event_id=None, booth_id=None, date: str | None = None,
     """Rows of an event, a booth, a camera, a day; what isn't given doesn't filter."""
     for name, value in (("event_id", event_id), ("booth_id", booth_id), ("camera_id", camera_id)):
         if value not in (None, ""):
+            if name not in df.columns:
+                raise ValueError(f"these rows have no {name}")
             df = df.where(F.col(name) == value)
     if date:
         start, end = day_range(date)

@@ -1,4 +1,6 @@
-"""Booth analytics (inventory ids Q01-Q22, J01, J06-J08) over the views of fairground.sources.bindings."""
+"""Booth analytics (inventory ids Q01-Q22, J01, J06-J08) over the views of fairground.sources.bindings.
+
+Q01 to Q13 take a scope: event_id, booth_id, camera_id and date (a local day), each of which may be left out."""
 
 from __future__ import annotations
 
@@ -12,9 +14,9 @@ from fairground.sources import bindings as B
 from fairground.sources.bindings import CROSSING_SQL, HEALTH_SQL, HOLD_SQL, INTERACTION_SQL, PERSON_SQL, hold_events, table
 
 
-def q01_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q01_summary(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
     """Four figures of one row; each side is reduced to one row before they meet."""
-    seen, health = B.interactions(spark, sf_dir), B.health_events(spark, sf_dir)
+    seen, health = B.interactions(spark, sf_dir, **where), B.health_events(spark, sf_dir, **where)
     a = seen.agg(F.count("*").alias("total_interactions"), F.countDistinct("product_name").alias("unique_products"))
     b = health.agg(F.count_if(F.col("status") == "error").alias("open_alerts"))
     c = seen.select("booth_id").union(health.select("booth_id")).distinct().agg(F.count("*").alias("active_booths"))
@@ -22,21 +24,21 @@ def q01_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(a).join(one(b), "one").join(one(c), "one").drop("one")
 
 
-def q02_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.interactions(spark, sf_dir).groupBy("product_name").agg(F.count("*").alias("interactions")).orderBy(F.desc("interactions"), "product_name").limit(10)
+def q02_top_products(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
+    return B.interactions(spark, sf_dir, **where).groupBy("product_name").agg(F.count("*").alias("interactions")).orderBy(F.desc("interactions"), "product_name").limit(10)
 
 
 def _interest(holds: DataFrame, *keys: str) -> DataFrame:
     return holds.groupBy(*keys).agg(F.count("*").alias("mover_count"), F.round(F.sum("duration_sec"), 6).alias("total_duration_sec"), F.countDistinct("global_person_id").alias("unique_people"))
 
 
-def q03_product_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _interest(hold_events(spark, sf_dir, "product_name", "duration_sec", "global_person_id"), "product_name").orderBy(F.desc("mover_count"), "product_name").limit(10)
+def q03_product_movers(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
+    return _interest(hold_events(spark, sf_dir, "product_name", "duration_sec", "global_person_id", **where), "product_name").orderBy(F.desc("mover_count"), "product_name").limit(10)
 
 
-def q04_interest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q04_interest_summary(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
     """By key and name: a product that was renamed comes as two rows."""
-    return _interest(hold_events(spark, sf_dir, "product_key", "product_name", "duration_sec", "global_person_id"), "product_key", "product_name")
+    return _interest(hold_events(spark, sf_dir, "product_key", "product_name", "duration_sec", "global_person_id", **where), "product_key", "product_name")
 
 
 def _matrix(holds: DataFrame, column: str, values: list[str]) -> DataFrame:
@@ -49,43 +51,43 @@ def _matrix(holds: DataFrame, column: str, values: list[str]) -> DataFrame:
     return per.groupBy("product_key").agg(F.min("name").alias("product_name"), *counts, F.to_json(other).alias("other"))
 
 
-def q05_gender_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matrix(hold_events(spark, sf_dir, "product_key", "product_name", "gender"), "gender", ["MALE", "FEMALE", "UNKNOWN"]).drop("other")
+def q05_gender_matrix(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
+    return _matrix(hold_events(spark, sf_dir, "product_key", "product_name", "gender", **where), "gender", ["MALE", "FEMALE", "UNKNOWN"]).drop("other")
 
 
-def q06_age_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matrix(hold_events(spark, sf_dir, "product_key", "product_name", "age_category"), "age_category", ["CHILD", "ADULT", "UNKNOWN"]).drop("other")
+def q06_age_matrix(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
+    return _matrix(hold_events(spark, sf_dir, "product_key", "product_name", "age_category", **where), "age_category", ["CHILD", "ADULT", "UNKNOWN"]).drop("other")
 
 
-def q07_gender_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q07_gender_totals(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
     known = F.col("gender").isin("MALE", "FEMALE")
-    return hold_events(spark, sf_dir, "gender").agg(F.count_if(F.col("gender") == "MALE").alias("male"), F.count_if(F.col("gender") == "FEMALE").alias("female"), F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown"))
+    return hold_events(spark, sf_dir, "gender", **where).agg(F.count_if(F.col("gender") == "MALE").alias("male"), F.count_if(F.col("gender") == "FEMALE").alias("female"), F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown"))
 
 
-def q08_age_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q08_age_totals(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
     known = F.col("age_category").isin("CHILD", "ADULT")
-    return hold_events(spark, sf_dir, "age_category").agg(F.count_if(F.col("age_category") == "CHILD").alias("child"), F.count_if(F.col("age_category") == "ADULT").alias("adult"), F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown"))
+    return hold_events(spark, sf_dir, "age_category", **where).agg(F.count_if(F.col("age_category") == "CHILD").alias("child"), F.count_if(F.col("age_category") == "ADULT").alias("adult"), F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown"))
 
 
-def q09_interest_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hold_events(spark, sf_dir, "global_person_id").agg(F.count("*").alias("total_events"), F.countDistinct("global_person_id").alias("unique_people"))
+def q09_interest_overview(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
+    return hold_events(spark, sf_dir, "global_person_id", **where).agg(F.count("*").alias("total_events"), F.countDistinct("global_person_id").alias("unique_people"))
 
 
-def q10_presence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q10_presence_stats(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
     zero = lambda c: F.coalesce(F.round(c, 6), F.lit(0.0))
     d = F.col("duration_sec").cast("double")
-    return hold_events(spark, sf_dir, "duration_sec").agg(F.count("*").alias("sessions"), zero(F.avg(d)).alias("avg_sec"), zero(F.min(d)).alias("min_sec"), zero(F.max(d)).alias("max_sec"))
+    return hold_events(spark, sf_dir, "duration_sec", **where).agg(F.count("*").alias("sessions"), zero(F.avg(d)).alias("avg_sec"), zero(F.min(d)).alias("min_sec"), zero(F.max(d)).alias("max_sec"))
 
 
-def q11_presence_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q11_presence_breakdown(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
     c = F.lower("age_category")
     known = F.coalesce(c.isin("child", "adult", "staff"), F.lit(False))
-    return hold_events(spark, sf_dir, "age_category").agg(*[F.count_if(c == k).alias(k) for k in ("child", "adult", "staff")], F.count_if(~known).alias("unknown"))
+    return hold_events(spark, sf_dir, "age_category", **where).agg(*[F.count_if(c == k).alias(k) for k in ("child", "adult", "staff")], F.count_if(~known).alias("unknown"))
 
 
-def q12_tripwire_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q12_tripwire_stats(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
     """By booth: totals, who is inside by the totals, the peak of a balance that never falls below 0."""
-    rows = running_balance(B.crossings(spark, sf_dir), ["booth_id"])
+    rows = running_balance(B.crossings(spark, sf_dir, **where), ["booth_id"])
     per = rows.groupBy("booth_id").agg(F.count_if(F.col("delta") > 0).alias("total_in"), F.count_if(F.col("delta") < 0).alias("total_out"), F.greatest(F.max("balance"), F.lit(0)).cast("long").alias("peak_inside"))
     return per.withColumn("current_inside", F.greatest(F.col("total_in") - F.col("total_out"), F.lit(0)))
 
@@ -100,13 +102,13 @@ def visits(crossings: DataFrame) -> DataFrame:
     return edges.select("track_id", "booth_id", F.col("ts").alias("entered_at"), "exited_at")
 
 
-def t03_booth_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = visits(B.crossings(spark, sf_dir))
+def t03_booth_sessions(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
+    out = visits(B.crossings(spark, sf_dir, **where))
     return out.select("track_id", F.round("entered_at", 6).alias("entered_at"), F.round("exited_at", 6).alias("exited_at"), F.round(F.col("exited_at") - F.col("entered_at"), 6).alias("dwell_seconds"), F.when(F.col("exited_at").isNull(), "active").otherwise("closed").alias("status"))
 
 
-def q13_session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = visits(B.crossings(spark, sf_dir)).withColumn("dwell", F.col("exited_at") - F.col("entered_at"))
+def q13_session_stats(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
+    rows = visits(B.crossings(spark, sf_dir, **where)).withColumn("dwell", F.col("exited_at") - F.col("entered_at"))
     zero = lambda c: F.coalesce(F.round(c, 6), F.lit(0.0))
     return rows.agg(F.count("*").alias("sessions"), F.count_if(F.col("exited_at").isNull()).alias("active"), zero(F.avg("dwell")).alias("avg_dwell"), zero(F.min("dwell")).alias("min_dwell"), zero(F.max("dwell")).alias("max_dwell"))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fairground.plans import booth, identity, kiosk, looks, ordered, reports, scans, spatial, streams, tracking
+from fairground.plans import booth, identity, kiosk, looks, ordered, reports, scans, scoped, spatial, streams, tracking
 
-_MODULES = (booth, kiosk, ordered, spatial, tracking, reports, identity, looks, streams, scans)
+_MODULES = (booth, kiosk, ordered, spatial, tracking, reports, identity, looks, streams, scans, scoped)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

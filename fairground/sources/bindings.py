@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairground.functions.scope import scope
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,9 +17,9 @@ def epoch(column: str):
     return (F.unix_micros(F.col(column).cast("timestamp")) / F.lit(1_000_000)).cast("double")
 
 
-def hold_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def hold_events(spark: SparkSession, sf_dir: str, *columns: str, **where) -> DataFrame:
     """Product hold events: a line item is a hold of a part, its order's customer the person. Of the given
-    columns (all, if none is given); what they don't need isn't joined. Every line item has its order,
+    columns (all, if none is given) and scope; what they don't need isn't joined. Every line item has its order,
     part and supplier."""
     made = {
         "product_key": F.col("l_partkey"), "product_name": F.col("p_name"), "duration_sec": F.col("l_quantity"),
@@ -28,11 +30,13 @@ def hold_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "ts": epoch("l_shipdate"), "order_id": F.col("l_orderkey"), "price": F.col("l_extendedprice"),
     }
     wanted = columns or tuple(made)
+    scoped = [c for c in ("event_id", "booth_id", "camera_id") if where.get(c) not in (None, "")] + ["ts"] * bool(where.get("date"))
     rows = table(spark, sf_dir, "lineitem")
     for needs, name, key, own in (("global_person_id", "orders", "l_orderkey", "o_orderkey"), ("product_name", "part", "l_partkey", "p_partkey"), ("event_id", "supplier", "l_suppkey", "s_suppkey")):
-        if needs in wanted:
+        if needs in wanted or needs in scoped:
             rows = rows.join(table(spark, sf_dir, name), F.col(key) == F.col(own))
-    return rows.select(*[made[c].alias(c) for c in wanted])
+    every = rows.select(*[made[c].alias(c) for c in dict.fromkeys([*wanted, *scoped])])
+    return scope(every, **where).select(*wanted)
 
 
 HOLD_SQL = """SELECT l_partkey AS product_key, p_name AS product_name, l_quantity AS duration_sec,
@@ -55,34 +59,34 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_SQL = "SELECT event_id, epoch(ts) AS ts, user_id, event_type, value, regexp_extract(props, '[0-9]+')::BIGINT AS k FROM events"
 
 
-def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def interactions(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
     """A view or click is an interaction with a product."""
     rows = events(spark, sf_dir).where(F.col("event_type").isin("view", "click"))
-    return rows.select(F.col("event_id").alias("id"), "ts", F.col("k").alias("product_name"), (F.col("value") / 500).alias("confidence"), (F.col("user_id") % 4).alias("camera_id"), (F.col("user_id") % 10).alias("booth_id"), (F.col("user_id") % 3).alias("event_id"))
+    return scope(rows.select(F.col("event_id").alias("id"), "ts", F.col("k").alias("product_name"), (F.col("value") / 500).alias("confidence"), (F.col("user_id") % 4).alias("camera_id"), (F.col("user_id") % 10).alias("booth_id"), (F.col("user_id") % 3).alias("event_id")), **where)
 
 
 INTERACTION_SQL = f"""SELECT event_id AS id, ts, k AS product_name, value / 500 AS confidence, user_id % 4 AS camera_id,
   user_id % 10 AS booth_id, user_id % 3 AS event_id FROM ({EVENT_SQL}) WHERE event_type IN ('view', 'click')"""
 
 
-def health_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def health_events(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
     """Errors and views are health rows of the booth."""
     rows = events(spark, sf_dir).where(F.col("event_type").isin("view", "error"))
-    return rows.select(F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), (F.col("user_id") % 12).alias("booth_id"), (F.col("user_id") % 3).alias("event_id"), (F.col("user_id") % 7).alias("component"))
+    return scope(rows.select(F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), (F.col("user_id") % 12).alias("booth_id"), (F.col("user_id") % 3).alias("event_id"), (F.col("user_id") % 7).alias("component")), **where)
 
 
 HEALTH_SQL = f"""SELECT event_id AS id, ts, CASE event_type WHEN 'error' THEN 'error' ELSE 'ok' END AS status,
   user_id % 12 AS booth_id, user_id % 3 AS event_id, user_id % 7 AS component FROM ({EVENT_SQL}) WHERE event_type IN ('view', 'error')"""
 
 
-def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def crossings(spark: SparkSession, sf_dir: str, **where) -> DataFrame:
     """A sign-up is an entry, a purchase an exit."""
     rows = events(spark, sf_dir).where(F.col("event_type").isin("signup", "purchase"))
-    return rows.select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("track_id"), F.when(F.col("event_type") == "signup", "in").otherwise("out").alias("direction"), (F.col("user_id") % 10).alias("booth_id"), (F.col("k") % 4).alias("camera_id"))
+    return scope(rows.select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("track_id"), F.when(F.col("event_type") == "signup", "in").otherwise("out").alias("direction"), (F.col("user_id") % 10).alias("booth_id"), (F.col("k") % 4).alias("camera_id"), (F.col("user_id") % 3).alias("event_id")), **where)
 
 
 CROSSING_SQL = f"""SELECT event_id AS id, ts, user_id AS track_id, CASE event_type WHEN 'signup' THEN 'in' ELSE 'out' END AS direction,
-  user_id % 10 AS booth_id, k % 4 AS camera_id FROM ({EVENT_SQL}) WHERE event_type IN ('signup', 'purchase')"""
+  user_id % 10 AS booth_id, k % 4 AS camera_id, user_id % 3 AS event_id FROM ({EVENT_SQL}) WHERE event_type IN ('signup', 'purchase')"""
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
