@@ -162,14 +162,16 @@ def _confirm(batches, k: int, similarity: float):
         sets = [np.frombuffer(g["set"][i], dtype=np.uint64) for i in rows]
         n, tokens = np.array([len(s) for s in sets]), minhashes(sets, mult).view(np.int32)
         big, side = np.array([g["big"][r] for r in rows]), np.array([g["side"][r] for r in rows])
-        pairs = [(np.full(len(js), i), js) for i, js in _partners(g["tree"][0], tokens, n, big, side, least, similarity)]
+        # what is kept of a pair are two numbers and a count: a block's pairs may be millions
+        pairs = [(np.full(len(js), i, np.int32), js.astype(np.int32), (tokens[js] == tokens[i]).sum(1, dtype=np.int8)) for i, js in _partners(g["tree"][0], tokens, n, big, side, least, similarity)]
         if not pairs:
             continue
-        left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        left, right, equal = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        del pairs
         # the likeliest first: they connect most rows, and what is connected needs no comparison
-        likely = np.argsort(-(tokens[left] == tokens[right]).sum(1), kind="stable")
+        likely = np.argsort(-equal, kind="stable").astype(np.int32)
         forest = Forest(len(rows))
-        for i, j in zip(left[likely].tolist(), right[likely].tolist(), strict=True):
+        for i, j in ((int(left[p]), int(right[p])) for p in likely):
             if forest.root(i) == forest.root(j):
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
