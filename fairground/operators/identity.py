@@ -167,7 +167,7 @@ def evidence_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
         label = own
     elif n < samples or label != own or abs(e) < KEEP * least:
         label = None
-    out = {"user_id": row["user_id"], "ts": row["ts"], "id": row["id"], "evidence": round(e, 6), "label": label or "UNKNOWN"}
+    out = {"user_id": row["user_id"], "ts": row["ts"], "id": row["id"], "evidence": e, "label": label or "UNKNOWN"}
     return {"e": e, "n": n, "faces": faces, "label": label, "ts": row["ts"]}, [out]
 
 

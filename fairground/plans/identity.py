@@ -309,6 +309,18 @@ ORACLE_SQL = {
   m AS (SELECT x.a, x.b FROM f x JOIN f y ON x.a = y.b AND x.b = y.a WHERE x.rank = 1 AND y.rank = 1 AND least(x.ahead, y.ahead) >= {I.MERGE_GAP} AND x.sim >= {I.MERGE_MUTUAL})
   SELECT booth AS booth_id, CASE WHEN sa <= sb THEN s.b ELSE s.a END AS loser, CASE WHEN sa <= sb THEN s.a ELSE s.b END AS winner, sim FROM s LEFT JOIN m ON s.a = m.a AND s.b = m.b
   WHERE (ca OR cb) AND (sim >= CASE WHEN ca AND cb THEN {I.MERGE} ELSE 0.5 END OR m.a IS NOT NULL)""",
+    "t17g_sampler_gate": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, {_AT} AS m, row_number() OVER ({_BY}) AS i FROM {_E} WHERE k >= 12 AND value >= 5), t AS (SELECT user_id, i, event_id, m AS taken_at, true AS taken FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, e.event_id, CASE WHEN e.m - taken_at >= 0.75::DOUBLE THEN e.m ELSE taken_at END, e.m - taken_at >= 0.75::DOUBLE FROM t JOIN e ON e.user_id = t.user_id AND e.i = t.i + 1)
+  SELECT user_id, event_id FROM t WHERE taken""",
+    "t20_evidence": f"""WITH RECURSIVE r AS (SELECT user_id, event_id AS id, {_AT} / 10 AS ts, (k - 40) / 20 AS x, event_type <> 'error' AS face, row_number() OVER ({_BY}) AS i FROM {_E}),
+  s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS id, NULL::DOUBLE AS ts, 0.0::DOUBLE AS e, 0 AS n, 0 AS faces, NULL::VARCHAR AS label FROM r UNION ALL
+    SELECT user_id, i, id, ts, e, n, faces, CASE WHEN n >= samples AND abs(e) >= least THEN own WHEN n < samples OR label IS DISTINCT FROM own OR abs(e) < {I.KEEP}::DOUBLE * least THEN NULL ELSE label END FROM (
+      SELECT *, CASE WHEN faces >= {I.DECIDE[1]} THEN {I.DECIDE[0]} ELSE {I.DECIDE_BODY[0]} END::DOUBLE AS least, CASE WHEN faces >= {I.DECIDE[1]} THEN {I.DECIDE[1]} ELSE {I.DECIDE_BODY[1]} END AS samples, CASE WHEN e > 0 THEN 'MALE' ELSE 'FEMALE' END AS own FROM (
+        SELECT user_id, i, id, ts, CASE WHEN stale THEN 0.0 ELSE e END::DOUBLE * {I.DECAY}::DOUBLE + push AS e, CASE WHEN stale THEN 0 ELSE n END + 1 AS n, CASE WHEN stale THEN 0 ELSE faces END + face::INT AS faces, CASE WHEN NOT stale THEN label END AS label FROM (
+          SELECT r.*, s.e, s.n, s.faces, s.label, coalesce(r.ts - s.ts > {I.STALE}, false) AS stale,
+            CASE WHEN r.face THEN greatest(-{I.FACE_MOST}::DOUBLE, least({I.FACE_MOST}::DOUBLE, r.x)) ELSE greatest(-{I.BODY_MOST}::DOUBLE, least({I.BODY_MOST}::DOUBLE, r.x)) * 0.8::DOUBLE END AS push
+          FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1))))
+  SELECT user_id, ts, id, e AS evidence, coalesce(label, 'UNKNOWN') AS label FROM s WHERE i > 0""",
     "t18_co_visibility": f"WITH s AS (SELECT DISTINCT k % 6 AS c, floor(ts / 3600) AS p, user_id AS u FROM {_E}) SELECT DISTINCT x.u AS a, y.u AS b FROM s x JOIN s y ON x.c = y.c AND x.p = y.p AND x.u < y.u",
     "t24_interest_events": f"""WITH r AS (SELECT user_id AS person, k % 4 AS product, round({_AT}, 6) AS t, event_id FROM {_E}), a AS (SELECT *, min(t) OVER (PARTITION BY person ORDER BY round(t * 1000000)::BIGINT RANGE BETWEEN 3000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS again, lead(t) OVER (PARTITION BY person, product ORDER BY t, event_id) AS next FROM r),
   e AS (SELECT *, again IS NOT NULL AND (next IS NULL OR next > again) AS ends FROM a), s AS (SELECT *, coalesce(lag(ends) OVER (PARTITION BY person, product ORDER BY t, event_id), true) AS starts FROM e)

@@ -216,6 +216,13 @@ _VECTORS = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
 _HEAT = f"SELECT trunc(y / 0.5)::INT AS row, trunc(x / 0.5)::INT AS col, count(*)::BIGINT AS traffic FROM ({POSITION_SQL}) GROUP BY 1, 2"
 _NORM = "sqrt(list_dot_product(mean, mean))"
 ORACLE_SQL = {
+    "t02_tripwire": f"""WITH RECURSIVE d AS (SELECT *, (k - 50) / 100.0::DOUBLE AS distance, k / 100 - value / 2000 AS x1, k / 100 + value / 2000 AS x2, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ({EVENT_SQL})),
+  r AS (SELECT *, CASE WHEN (abs(distance) < {folds.AMBIGUOUS}::DOUBLE AND NOT (x1 < 0.5 AND x2 > 0.5)) OR k % 10 / 5.0::DOUBLE < {folds.LEAST_AGE}::DOUBLE OR value / 100 < {folds.LEAST_HEIGHT}::DOUBLE THEN NULL WHEN distance >= 0 THEN 1 ELSE -1 END AS reads FROM d),
+  s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::DOUBLE AS ts, NULL::INT AS side, 0 AS pending, NULL::DOUBLE AS last, false AS event FROM r UNION ALL
+    SELECT user_id, i, ts, CASE WHEN turns OR side IS NULL THEN coalesce(reads, side) ELSE side END, CASE WHEN reads IS NULL THEN pending WHEN turns OR side IS NULL OR reads = side THEN 0 ELSE pending + 1 END, CASE WHEN turns AND NOT soon THEN ts ELSE last END, turns AND NOT soon FROM (
+      SELECT *, coalesce(reads <> side AND pending + 1 >= {folds.READINGS}, false) AS turns, coalesce(ts - last < {folds.COOLDOWN}::DOUBLE, false) AS soon FROM (
+        SELECT r.user_id, r.i, r.ts, r.reads, s.side, s.pending, s.last FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)))
+  SELECT user_id % 5 AS camera_id, user_id AS track_id, ts, CASE WHEN side = 1 THEN 'in' ELSE 'out' END AS direction FROM s WHERE event""",
     "j11_zone_of": f"SELECT id, CASE {_INSIDE} END AS zone FROM ({POSITION_SQL})",
     "j12_near_zones": "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT id, '{z[0]}' AS zone, round(sqrt(pow(greatest({z[1]} - x, 0, x - {z[1] + z[3]}), 2) + pow(greatest({z[2]} - y, 0, y - {z[2] + z[4]}), 2)), 6) AS distance FROM ({POSITION_SQL})" for z in ZONES

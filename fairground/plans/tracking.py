@@ -130,6 +130,13 @@ _BOX_SQL = f"SELECT event_id AS id, user_id % 5 AS camera_id, floor(ts / 3600)::
 _USER = "PARTITION BY user_id ORDER BY ts, event_id"
 _SPAN = "PARTITION BY camera_id, product ORDER BY ts, event_id"
 ORACLE_SQL = {
+    "t09_scan_switches": f"""WITH RECURSIVE r AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'unknown' ELSE 'matched' END AS status, CASE WHEN event_type <> 'error' THEN k % 3 END AS product, row_number() OVER ({_USER}) AS i FROM ({EVENT_SQL}) WHERE event_type = 'error' OR value >= 5),
+  s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, NULL::BIGINT AS shown, NULL::VARCHAR AS asked, 0 AS times, false AS told FROM r UNION ALL
+    SELECT user_id, i, event_id, CASE WHEN told THEN product ELSE shown END, CASE WHEN NOT same AND NOT told THEN wish END, CASE WHEN NOT same AND NOT told THEN times ELSE 0 END, told FROM (
+      SELECT *, NOT same AND (shown IS NULL OR times >= {D.SWITCH_SCANS}) AS told FROM (
+        SELECT r.user_id, r.i, r.event_id, r.product, s.shown, coalesce(r.product = s.shown, false) AS same, r.status || coalesce(r.product, -1) AS wish, CASE WHEN s.asked = r.status || coalesce(r.product, -1) THEN s.times + 1 ELSE 1 END AS times
+        FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)))
+  SELECT user_id AS camera_id, event_id AS scan_id, shown AS product_id, shown IS NOT NULL AS matched FROM s WHERE told""",
     "t08_product_confirmation": f"""WITH p AS (SELECT *, 1 - (least(greatest(k + 20.0::DOUBLE, 24), 80) - 24) / 56.0::DOUBLE AS far FROM ({EVENT_SQL})),
   r AS (SELECT event_id, user_id % 5 AS camera_id, k % 4 AS product, round((ts - 1704067200) / 3600, 6) AS ts, value % 7.0 AS x, (k % 12) / 2 AS y, 2 + round_even(far * 2, 0)::INT AS needed FROM p WHERE least(value / 100, 1.0) >= 0.45::DOUBLE + far * (0.75::DOUBLE - 0.45::DOUBLE)),
   b AS (SELECT *, list({{'t': ts, 'x': x, 'y': y}}) OVER ({_SPAN} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS back FROM r),

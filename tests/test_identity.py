@@ -87,12 +87,12 @@ def test_identity_assignment():
 
 def test_evidence():
     rows = [{"user_id": 1, "ts": float(t), "id": t, "logit": x, "face": True, "weight": 1.0} for t, x in [(0, 9.0), (1, 9.0), (2, -9.0), (3, -9.0), (4, -9.0), (20, 1.0)]]
-    got = [(e["label"], e["evidence"]) for e in run(I.evidence_step, {"e": 0.0, "n": 0, "faces": 0, "label": None, "ts": None}, rows)]
+    got = [(e["label"], round(e["evidence"], 6)) for e in run(I.evidence_step, {"e": 0.0, "n": 0, "faces": 0, "label": None, "ts": None}, rows)]
     assert got[0] == ("UNKNOWN", 2.5) and got[1] == ("MALE", 4.875) and got[2][0] == "MALE" and got[3][0] == "UNKNOWN" and got[4][0] == "FEMALE" and got[5] == ("UNKNOWN", 1.0)
 
 
     sample = lambda t, x, face, weight=1.0: {"user_id": 1, "ts": float(t), "id": t, "logit": x, "face": face, "weight": weight}
-    go = lambda rows: [(e["label"], e["evidence"]) for e in run(I.evidence_step, I.evidence_start(), rows)]
+    go = lambda rows: [(e["label"], round(e["evidence"], 6)) for e in run(I.evidence_step, I.evidence_start(), rows)]
     assert go([sample(0, 1.0, True), sample(1, 1.5, False)]) == [("UNKNOWN", 1.0), ("UNKNOWN", 2.45)]  # one face isn't two
     assert go([sample(0, 2.0, True), sample(1, 9.0, False, 0.0), sample(2, 2.0, True)]) == [("UNKNOWN", 2.0), ("UNKNOWN", 2.0), ("MALE", 3.9)]
     assert go([sample(t, 1.5, False) for t in range(4)])[-2:] == [("UNKNOWN", 4.27875), ("MALE", 5.564812)]
