@@ -53,11 +53,36 @@ def t26_world_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(rows, ["person"], ["at", "id"], lambda: None, position_step, "id long, wx double, wy double, confidence double")
 
 
+#: Seconds of the log from which on layers of heat count here.
+HEAT_SINCE = 2000.0
+
+
 def t27_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = B.positions(spark, sf_dir).groupBy(G.cell(F.col("y"), 0.5).alias("row"), G.cell(F.col("x"), 0.5).alias("col")).agg(F.count("*").alias("traffic"))
     return per.select("row", "col", "traffic", F.round(F.col("traffic") / F.max("traffic").over(W.partitionBy()), 6).alias("share"))
 
 
+def heat_layers(rows: DataFrame, size: float, since: float | None = None) -> DataFrame:
+    """rows: person, x, y, at, id, interest. layer, row, col, weight and share of the layer's most: how many were there (traffic), for how
+    many seconds, of steps under five, which count where they end (dwell), and what they cared for (interest); of rows from since on."""
+    before = F.lag("at").over(W.partitionBy("person").orderBy("at", "id"))
+    step = F.col("at") - before
+    rows = rows.withColumn("dwell", F.when((step > 0) & (step < 5), step).otherwise(0.0))
+    if since is not None:
+        rows = rows.where(F.col("at") >= since)
+    layers = [F.struct(F.lit(name).alias("layer"), w.alias("w")) for name, w in (("traffic", F.lit(1.0)), ("dwell", F.col("dwell")), ("interest", F.coalesce("interest", F.lit(0.0))))]
+    per = rows.select(G.cell(F.col("y"), size).alias("row"), G.cell(F.col("x"), size).alias("col"), F.inline(F.array(*layers))).where("row IS NOT NULL AND col IS NOT NULL")
+    per = per.groupBy("layer", "row", "col").agg(F.round(F.sum("w"), 6).alias("weight")).where("weight > 0")
+    most = per.groupBy("layer").agg(F.max("weight").alias("most"))
+    return per.join(F.broadcast(most), "layer").select("layer", "row", "col", "weight", F.round(F.col("weight") / F.col("most"), 6).alias("share"))
+
+
+def t27_heat_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All layers of the last half of the log; ten minutes count as a second."""
+    rows = B.positions(spark, sf_dir).withColumn("at", F.round((F.col("ts") - 1704067200) / 600, 6)).withColumn("interest", (F.col("id") % 7) / 4)
+    return heat_layers(rows.select("person", "x", "y", "at", "id", "interest"), 0.5, HEAT_SINCE)
+
+
 def l04_top_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t27_heatmap(spark, sf_dir).orderBy(F.desc("traffic"), F.desc(F.col("row") * 20 + F.col("col"))).limit(5).select("row", "col", "traffic")
 
@@ -202,7 +227,7 @@ def q37_attribute_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    j11_zone_of, j12_near_zones, t26_world_position, t27_heatmap, l04_top_cells, t23_interest_score, t02_tripwire, t06_product_holds, t30_load_alerts, v01_cosine, v03_burst_consensus, l06_best_per_track,
+    j11_zone_of, j12_near_zones, t26_world_position, t27_heatmap, t27_heat_layers, l04_top_cells, t23_interest_score, t02_tripwire, t06_product_holds, t30_load_alerts, v01_cosine, v03_burst_consensus, l06_best_per_track,
     v07_representative, e01_detection_scores, e04_pairwise_merges, e06_wilson_bound, q36_readiness, q37_attribute_vote,
 )}
 
@@ -235,6 +260,9 @@ ORACLE_SQL = {
     FROM (SELECT r.*, f.lt, f.lx, f.ly, sqrt(pow(r.wx - lx, 2) + pow(r.wy - ly, 2)) / greatest(0.001::DOUBLE, r.t - lt) > 3.0 AS j FROM f JOIN r ON r.person = f.person AND r.i = f.i + 1) r)
   SELECT id, wx, wy, confidence FROM f""",
     "t27_heatmap": f"SELECT row, col, traffic, round(traffic / max(traffic) OVER (), 6) AS share FROM ({_HEAT})",
+    "t27_heat_layers": f"""WITH r AS (SELECT person, trunc(y / 0.5)::INT AS row, trunc(x / 0.5)::INT AS col, round((ts - 1704067200) / 600, 6) AS m, id, id % 7 / 4 AS interest FROM ({POSITION_SQL})), d AS (SELECT *, m - lag(m) OVER (PARTITION BY person ORDER BY m, id) AS step FROM r),
+  l AS (SELECT row, col, unnest([{{'layer': 'traffic', 'w': 1.0::DOUBLE}}, {{'layer': 'dwell', 'w': CASE WHEN step > 0 AND step < 5 THEN step ELSE 0 END}}, {{'layer': 'interest', 'w': interest}}], recursive := true) FROM d WHERE m >= {HEAT_SINCE}),
+  p AS (SELECT layer, row, col, round(sum(w), 6) AS weight FROM l GROUP BY ALL HAVING round(sum(w), 6) > 0) SELECT layer, row, col, weight, round(weight / max(weight) OVER (PARTITION BY layer), 6) AS share FROM p""",
     "l04_top_cells": f"SELECT row, col, traffic FROM ({_HEAT}) ORDER BY traffic DESC, row * 20 + col DESC LIMIT 5",
     "t23_interest_score": f"""WITH e AS (SELECT *, value / 10 AS look, k / 5 AS dwell, k % 6 <> 0 AS seen FROM ({EVENT_SQL})), s AS (SELECT event_id, list_filter([
     {{'w': 0.15::DOUBLE, 's': CASE WHEN look >= 1.5 THEN least(1.0::DOUBLE, look / 10) END}}, {{'w': 0.10::DOUBLE, 's': CASE WHEN dwell >= 2 THEN least(1.0::DOUBLE, dwell / 15) END}}, {{'w': 0.15::DOUBLE, 's': CASE WHEN seen THEN greatest(0.0::DOUBLE, 1 - (value % 3.0) / 1.5) END}},

@@ -129,7 +129,23 @@ QUERIES = {f.__name__: f for f in (
 _BOX_SQL = f"SELECT event_id AS id, user_id % 5 AS camera_id, floor(ts / 3600)::BIGINT AS frame, value % 7.0 AS x, (k % 12) / 2 AS y, event_type FROM ({EVENT_SQL}) WHERE event_type IN ('view', 'click')"
 _USER = "PARTITION BY user_id ORDER BY ts, event_id"
 _SPAN = "PARTITION BY camera_id, product ORDER BY ts, event_id"
+_IOU_SQL = f"""WITH b AS ({_BOX_SQL}), p AS (SELECT a.camera_id, a.frame, a.id AS row, b.id AS col, greatest(3 - abs(a.x - b.x), 0) * greatest(3 - abs(a.y - b.y), 0) AS i
+  FROM b a JOIN b ON a.camera_id = b.camera_id AND a.frame = b.frame AND a.event_type = 'view' AND b.event_type = 'click')
+  SELECT camera_id, frame, row, col, round(i / (18 - i), 9) AS iou FROM p WHERE round(i / (18 - i), 9) >= {MATCH_IOU}"""
+#: Pairs by falling overlap, each row and column of a frame once: the frames' candidates one after another.
+_GREEDY_SQL = f"""c AS (SELECT *, row_number() OVER (PARTITION BY camera_id, frame ORDER BY iou DESC, row DESC, col DESC) AS i FROM ({_IOU_SQL})),
+  g AS (SELECT DISTINCT camera_id, frame, 0::BIGINT AS i, 0::BIGINT AS row, 0::BIGINT AS col, 0.0::DOUBLE AS iou, []::BIGINT[] AS rows, []::BIGINT[] AS cols, false AS taken FROM c UNION ALL
+    SELECT camera_id, frame, i, row, col, iou, CASE WHEN free THEN list_append(rows, row) ELSE rows END, CASE WHEN free THEN list_append(cols, col) ELSE cols END, free FROM (
+      SELECT c.camera_id, c.frame, c.i, c.row, c.col, c.iou, g.rows, g.cols, NOT list_contains(g.rows, c.row) AND NOT list_contains(g.cols, c.col) AS free FROM g JOIN c ON c.camera_id = g.camera_id AND c.frame = g.frame AND c.i = g.i + 1))"""
 ORACLE_SQL = {
+    "j14_greedy_pairs": f"WITH RECURSIVE {_GREEDY_SQL} SELECT camera_id, frame, row, col, iou FROM g WHERE taken",
+    "q40_tracking_scores": f"""WITH RECURSIVE {_GREEDY_SQL}, b AS (SELECT b.*, user_id AS track FROM ({_BOX_SQL}) b JOIN events ON event_id = id),
+  m AS (SELECT g.camera_id, p.track AS pred, lag(p.track) OVER (PARTITION BY g.camera_id, t.track ORDER BY g.frame, g.row) AS before FROM g JOIN b t ON t.id = g.row JOIN b p ON p.id = g.col WHERE taken),
+  s AS (SELECT camera_id, count(*) AS matched, count(*) FILTER (before <> pred) AS switches FROM m GROUP BY 1),
+  n AS (SELECT camera_id, count(*) FILTER (event_type = 'view') AS num_gt, count(*) FILTER (event_type = 'click') AS num_pred FROM b GROUP BY 1),
+  r AS (SELECT n.*, coalesce(matched, 0) AS matched, coalesce(switches, 0)::BIGINT AS switches FROM n LEFT JOIN s USING (camera_id))
+  SELECT camera_id, num_gt, (num_gt - matched)::BIGINT AS misses, (num_pred - matched)::BIGINT AS false_positives, switches, round(CASE WHEN num_gt > 0 THEN 1.0::DOUBLE - (num_gt + num_pred - 2 * matched + switches) / num_gt ELSE 0.0 END, 4) AS mota,
+    round(coalesce(matched / nullif(num_pred, 0), 0.0::DOUBLE), 4) AS precision, round(coalesce(matched / nullif(num_gt, 0), 0.0::DOUBLE), 4) AS recall FROM r""",
     "t09_scan_switches": f"""WITH RECURSIVE r AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'unknown' ELSE 'matched' END AS status, CASE WHEN event_type <> 'error' THEN k % 3 END AS product, row_number() OVER ({_USER}) AS i FROM ({EVENT_SQL}) WHERE event_type = 'error' OR value >= 5),
   s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, NULL::BIGINT AS shown, NULL::VARCHAR AS asked, 0 AS times, false AS told FROM r UNION ALL
     SELECT user_id, i, event_id, CASE WHEN told THEN product ELSE shown END, CASE WHEN NOT same AND NOT told THEN wish END, CASE WHEN NOT same AND NOT told THEN times ELSE 0 END, told FROM (
@@ -151,9 +167,7 @@ ORACLE_SQL = {
   g AS (SELECT *, i - row_number() OVER (PARTITION BY camera_id, kind ORDER BY i) AS island FROM k), n AS (SELECT *, row_number() OVER w AS n, first(ts) OVER w AS since FROM g WINDOW w AS (PARTITION BY camera_id, kind, island ORDER BY i)),
   q AS (SELECT camera_id, kind, island, min(i) AS i FROM n WHERE kind <> 0 AND ts - since >= 0.6 AND n >= CASE kind WHEN 1 THEN 10 ELSE 12 END GROUP BY 1, 2, 3), t AS (SELECT *, lag(kind, 1, -1) OVER (PARTITION BY camera_id ORDER BY i) AS before FROM q)
   SELECT camera_id, round(ts, 6) AS ts, CASE t.kind WHEN 1 THEN 'PRESENT' ELSE 'EMPTY' END AS state FROM t JOIN k USING (camera_id, i) WHERE before <> t.kind""",
-    "j13_iou_pairs": f"""WITH b AS ({_BOX_SQL}), p AS (SELECT a.camera_id, a.frame, a.id AS row, b.id AS col, greatest(3 - abs(a.x - b.x), 0) * greatest(3 - abs(a.y - b.y), 0) AS i
-  FROM b a JOIN b ON a.camera_id = b.camera_id AND a.frame = b.frame AND a.event_type = 'view' AND b.event_type = 'click')
-  SELECT camera_id, frame, row, col, round(i / (18 - i), 9) AS iou FROM p WHERE round(i / (18 - i), 9) >= {MATCH_IOU}""",
+    "j13_iou_pairs": _IOU_SQL,
     "t28_camera_transitions": f"""WITH f AS (SELECT user_id, k % 4 AS camera_id, min((ts, event_id)) AS seen, min(ts) AS ts FROM ({EVENT_SQL}) GROUP BY 1, 2),
   l AS (SELECT user_id, lag(camera_id) OVER w AS from_camera, camera_id AS to_camera, round(ts - lag(ts) OVER w, 6) AS transit_sec FROM f WINDOW w AS (PARTITION BY user_id ORDER BY seen))
   SELECT * FROM l WHERE from_camera IS NOT NULL""",
