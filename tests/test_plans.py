@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB at the smallest scale; operators on cases with known results."""
 
 import glob
+import numbers
 import os
 
 import duckdb
@@ -30,7 +31,8 @@ def plain(frame: pd.DataFrame) -> list:
     def cell(v):
         if v is None or v is pd.NA or v != v:
             return "NULL"
-        return f"{float(v):.5f}" if isinstance(v, float) else str(v)
+        # whole numbers with nulls among them come as floats from one side only
+        return f"{float(v):.5f}" if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
     return sorted(tuple(map(cell, r)) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
