@@ -44,6 +44,11 @@ def mean_vectors(rows: DataFrame, key: str, column: str) -> DataFrame:
     return per.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
 
 
+def blocks_of(gallery: DataFrame, least: int = 1) -> int:
+    """How many blocks of at most about BLOCK rows a gallery is dealt into: more rows, more tasks."""
+    return max(least, -(-gallery.count() // BLOCK))
+
+
 def burst_match(live: DataFrame, gallery: DataFrame) -> DataFrame:
     """live: burst_id, frame_no, v; gallery: template, product, v. Per burst the best product, its score and
     how sure that is. A frame isn't compared with the template of its own number.
@@ -51,7 +56,7 @@ def burst_match(live: DataFrame, gallery: DataFrame) -> DataFrame:
     A frame's similarity with a product is the best over its templates; a product's score the mean of
     the median and the trimmed mean over the frames. Every frame, the stated queries, meets the gallery
     block by block; a gallery of one block is broadcast."""
-    blocks = -(-max(1, gallery.count()) // BLOCK)
+    blocks = blocks_of(gallery)
     dealt = gallery.select("template", "product", normalised(F.col("v")).alias("g"), F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block"))
     asked = live.withColumn("v", normalised(F.col("v"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     sims = asked.join(F.broadcast(dealt) if blocks == 1 else dealt, "block").where("frame_no <> template")
