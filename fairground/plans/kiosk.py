@@ -69,18 +69,43 @@ def j05_stale_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kiosk_products(spark, sf_dir).join(current, "id", "left_anti").select("id", "name")
 
 
+def searched(products: DataFrame, query: str | None) -> DataFrame:
+    """Products of which every word of the query occurs somewhere in name, category, origin or material; all, without words."""
+    hay = F.lower(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("name", "category", "origin", "material")]))
+    for word in (query or "").lower().split():
+        products = products.where(F.contains(hay, F.lit(word)))
+    return products
+
+
+def facets(products: DataFrame, query: str | None = None, active: str | None = None) -> DataFrame:
+    """chip, products, active: how many products of the search each category has, those without one last, and of all first (__all__). The
+    category that is chosen stays, if need be with none."""
+    per = searched(products, query).groupBy(F.coalesce(F.nullif("category", F.lit("")), F.lit(NO_CATEGORY)).alias("chip")).agg(F.count("*").alias("products"))
+    whole = per.agg(F.lit(ALL).alias("chip"), F.coalesce(F.sum("products"), F.lit(0)).alias("products"))
+    rows = whole.union(per)
+    if active is not None:
+        chosen = products.sparkSession.createDataFrame([(active, 0)], "chip string, products long")
+        rows = rows.union(chosen).groupBy("chip").agg(F.max("products").alias("products"))
+    first, last = F.col("chip") != ALL, F.col("chip") == NO_CATEGORY
+    return rows.withColumn("active", F.col("chip") == F.lit(active if active is not None else ALL)).orderBy(first, last, F.desc("products"), F.collate("chip", "th"))
+
+
+#: Names of the chips of all products and of those without a category (the latter a fixed value).
+ALL, NO_CATEGORY = "__all__", "__none__"
+#: A search, and a category that none of its products has.
+SEARCH, CHOSEN = "Red size 1", "no such category"
+
+
 def q45_catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of the query occurs somewhere in a product's fields."""
-    words = "Red 1".lower().split()
-    hay = F.lower(F.concat_ws(" ", "name", "category", "origin"))
-    rows = kiosk_products(spark, sf_dir)
-    for word in words:
-        rows = rows.where(F.contains(hay, F.lit(word)))
-    return rows.select("id", "name")
+    return searched(kiosk_products(spark, sf_dir), SEARCH).select("id", "name", "material")
 
 
 def q46_category_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kiosk_products(spark, sf_dir).groupBy(F.coalesce(F.nullif("category", F.lit("")), F.lit("__none__")).alias("category")).agg(F.count("*").alias("products")).orderBy(F.col("category") == "__none__", F.desc("products"), "category")
+    return facets(kiosk_products(spark, sf_dir))
+
+
+def q46_facets_of_a_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets(kiosk_products(spark, sf_dir), SEARCH, CHOSEN)
 
 
 def q47_peak_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,13 +170,14 @@ def t19_merge_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     q23_zone_analytics, q24_product_analytics, q25_stats, q26_camera_person_counts, q27_product_summary, q28_hourly, q29_daily, q30_product_rows, q31_overview, j04_scans_with_names, j05_stale_products,
-    q45_catalog_search, q46_category_facets, q47_peak_hour, s04_idempotent_crossings, s05_upsert_latest, s06_upsert_min_max, t19_merge_propagation,
+    q45_catalog_search, q46_category_facets, q46_facets_of_a_search, q47_peak_hour, s04_idempotent_crossings, s05_upsert_latest, s06_upsert_min_max, t19_merge_propagation,
 )}
 
 _PER = f"""SELECT p.*, count(s.id)::BIGINT AS scan_count, round(avg(confidence), 6) AS avg_confidence, round(max(created_at), 6) AS last_scan
   FROM ({PRODUCT_SQL}) p LEFT JOIN ({SCAN_SQL}) s ON s.product_id = p.id AND s.matched AND s.created_at >= {SINCE} GROUP BY ALL"""
 _STATUS = "CASE WHEN duration_sec >= 40 THEN 'CONFIRMED' WHEN duration_sec >= 20 THEN 'POSSIBLE' ELSE 'NONE' END"
 _AT = "to_timestamp(created_at) AT TIME ZONE 'UTC'"
+_FOUND = f"SELECT * FROM ({PRODUCT_SQL}) WHERE " + " AND ".join(f"contains(lower(concat_ws(' ', name, category, origin, material)), '{w}')" for w in SEARCH.lower().split())
 ORACLE_SQL = {
     "q23_zone_analytics": f"""SELECT camera_id AS zone_id, count(DISTINCT global_person_id)::BIGINT AS unique_people, {", ".join(f"count(*) FILTER ({_STATUS} = '{s}')::BIGINT AS {s.lower()}" for s in STATUS)}
   FROM ({HOLD_SQL}) GROUP BY 1""",
@@ -171,8 +197,11 @@ ORACLE_SQL = {
     "j04_scans_with_names": f"""SELECT s.id, product_id::VARCHAR AS product_id, name, CASE WHEN NOT matched THEN 'unmatched' WHEN corrected THEN 'corrected' ELSE 'matched' END AS outcome
   FROM ({SCAN_SQL}) s LEFT JOIN ({PRODUCT_SQL}) p ON p.id = product_id""",
     "j05_stale_products": f"SELECT id, name FROM ({PRODUCT_SQL}) p WHERE NOT EXISTS (SELECT 1 FROM ({SCAN_SQL}) s WHERE s.product_id = p.id AND confidence >= 0.6)",
-    "q45_catalog_search": f"SELECT id, name FROM ({PRODUCT_SQL}) WHERE contains(lower(concat_ws(' ', name, category, origin)), 'red') AND contains(lower(concat_ws(' ', name, category, origin)), '1')",
-    "q46_category_facets": f"SELECT coalesce(category, '__none__') AS category, count(*)::BIGINT AS products FROM ({PRODUCT_SQL}) GROUP BY 1 ORDER BY coalesce(category, '__none__') = '__none__', 2 DESC, 1",
+    "q45_catalog_search": f"SELECT id, name, material FROM ({_FOUND})",
+    "q46_category_facets": f"""WITH c AS (SELECT coalesce(category, '__none__') AS chip, count(*)::BIGINT AS products FROM ({PRODUCT_SQL}) GROUP BY 1)
+  SELECT chip, products, false AS active FROM c UNION ALL SELECT '__all__', sum(products)::BIGINT, true FROM c""",
+    "q46_facets_of_a_search": f"""WITH c AS (SELECT coalesce(category, '__none__') AS chip, count(*)::BIGINT AS products FROM ({_FOUND}) GROUP BY 1)
+  SELECT chip, products, false AS active FROM c UNION ALL SELECT '__all__', coalesce(sum(products), 0)::BIGINT, false FROM c UNION ALL SELECT '{CHOSEN}', 0, true""",
     "q47_peak_hour": f"""SELECT hour AS peak_hour, n AS scans, floor(n * 100.0 / (SELECT count(*) FROM events) + 0.5)::BIGINT AS percent FROM (SELECT extract(hour FROM {_AT})::BIGINT AS hour, count(*)::BIGINT AS n
   FROM ({SCAN_SQL}) GROUP BY 1) ORDER BY n DESC, hour LIMIT 1""",
     "s04_idempotent_crossings": f"""WITH e AS (SELECT *, CASE WHEN user_id % 7 <> 0 THEN concat_ws(':', user_id, event_type, k) END AS key FROM ({EVENT_SQL}))

@@ -103,10 +103,10 @@ SCAN_SQL = f"""SELECT event_id AS id, CASE WHEN k < 80 THEN k END AS product_id,
 
 def kiosk_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part")
-    return rows.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 5, F.col("p_type")).alias("category"), F.col("p_brand").alias("origin"), F.col("p_retailprice").alias("price"))
+    return rows.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 5, F.col("p_type")).alias("category"), F.col("p_brand").alias("origin"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("material"), F.col("p_retailprice").alias("price"))
 
 
-PRODUCT_SQL = "SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size > 5 THEN p_type END AS category, p_brand AS origin, p_retailprice AS price FROM part"
+PRODUCT_SQL = "SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size > 5 THEN p_type END AS category, p_brand AS origin, 'size ' || p_size AS material, p_retailprice AS price FROM part"
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
