@@ -229,9 +229,23 @@ def f15_embedding_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f17_sharpness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of a burst that are sharp beside its best quarter."""
-    rows = B.events(spark, sf_dir).select("event_id", "user_id", "value")
-    gates = rows.groupBy("user_id").agg(F.greatest(F.lit(8.0), 0.25 * F.percentile("value", 0.75)).alias("gate"))
-    return rows.join(gates, "user_id").where("value >= gate").groupBy("user_id").agg(F.count("*").alias("frames"), F.round(F.first("gate"), 6).alias("gate"))
+    return sharp_frames(B.events(spark, sf_dir).select("user_id", "value"))
+
+
+def sharp_frames(rows: DataFrame) -> DataFrame:
+    """rows: user_id, value. The upper quartile, between two values, is rounded once, as SQL engines with a fused
+    multiply-add do: a frame's sharpness may be its burst's gate to the last bit."""
+    burst = W.partitionBy("user_id")
+    rows = rows.withColumn("place", F.row_number().over(burst.orderBy(F.col("value").asc_nulls_last())) - 1).withColumn("at", (F.count("value").over(burst) - 1) * 0.75)
+    held = lambda place: F.max(F.when(F.col("place") == place, F.col("value"))).over(burst)
+    rows = rows.withColumn("lo", held(F.floor("at"))).withColumn("hi", held(F.ceil("at"))).withColumn("part", F.col("at") - F.floor("at"))
+    lo, part = F.col("lo"), F.col("part")
+    half, quarter = lo * F.when(part < 0.5, 0.5).otherwise(0.0), lo * F.when(part == 0.0, 0.5).when(part == 0.5, 0.5).otherwise(0.25)
+    rows = rows.withColumn("low", half + quarter).withColumn("low_rest", F.greatest(half, quarter) - F.col("low") + F.least(half, quarter)).withColumn("high", F.col("hi") * part)
+    rows = rows.withColumn("sum", F.col("low") + F.col("high")).withColumn("b", F.col("sum") - F.col("low"))
+    rest = (F.col("low") - (F.col("sum") - F.col("b"))) + (F.col("high") - F.col("b"))
+    rows = rows.withColumn("gate", F.greatest(F.lit(8.0), 0.25 * (F.col("sum") + (rest + F.col("low_rest")))))
+    return rows.where("value >= gate").groupBy("user_id").agg(F.count("*").alias("frames"), F.round(F.first("gate"), 6).alias("gate"))
 
 
 def f19_virtual_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
