@@ -212,10 +212,9 @@ def v05_gallery_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors.valid(table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")), "v", 64)
     mean = vectors.mean_vectors(rows.withColumn("all", F.lit(1)), "all", "v").select("mean")
     rows = rows.join(F.broadcast(mean)).withColumn("v", vectors.normalised(F.zip_with("v", "mean", lambda x, m: x - m)))
-    n = vectors.blocks_of(rows, 64)
-    gallery = rows.where("label IS NOT NULL").select(F.col("vec_id").alias("other"), F.col("label").alias("product"), F.col("v").alias("g"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"))
-    asked = rows.where("vec_id % 20 = 0").select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
-    per = asked.join(gallery, "block").where("vec_id <> other").groupBy("vec_id", "product").agg(F.round(F.max(vectors.dot(F.col("v"), F.col("g"))), 6).alias("score"))
+    gallery = rows.where("label IS NOT NULL").select(F.col("vec_id").alias("other"), F.col("label").alias("product"), F.col("v").alias("g"))
+    met = vectors.best_looks(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "v"), gallery)
+    per = met.select(F.col("query").alias("vec_id"), F.col("product").cast("int").alias("product"), F.round("score", 6).alias("score"))
     by = W.partitionBy("vec_id").orderBy(F.desc("score"), "product")
     top = per.withColumn("next", F.lead("score").over(by)).withColumn("rank", F.row_number().over(by)).where("rank = 1")
     sure = F.when(F.col("next").isNull(), F.col("score") >= ALONE).otherwise((F.col("score") >= GALLERY[0]) & (F.round(F.col("score") - F.col("next"), 6) >= GALLERY[1]))
@@ -227,17 +226,11 @@ def v10_person_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     by the best of the cameras' mean looks, which the query has part in as any other look. Across cameras, colours have a weight of their own."""
     rows = vectors.valid(table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select("vec_id", "label", (F.col("vec_id") % 3).alias("camera"), F.col("embedding").cast("array<double>").alias("v")), "v", 64)
     unit = rows.withColumn("v", vectors.normalised(F.col("v")))
-    looks, n = unit, vectors.blocks_of(unit, 64)
-    key = F.struct("label", "camera")
-    means = vectors.mean_vectors(looks.withColumn("key", key), "key", "v").select("key.label", "key.camera", F.col("mean").alias("g"))
-    stored = looks.select("label", "camera", F.col("v").alias("g"), F.col("vec_id").alias("other"), F.lit(True).alias("single")).union(means.select("label", "camera", "g", F.lit(None), F.lit(False)))
-    stored = stored.withColumn("block", F.pmod(F.xxhash64("label", "camera", "g"), F.lit(n)))
-    asked = unit.where("vec_id % 20 = 0").select("vec_id", F.col("camera").alias("own"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
-    cnn, colour = lambda c: F.slice(c, 1, 64 - COLOURS), lambda c: F.slice(c, 65 - COLOURS, COLOURS)
-    plain = vectors.cosine(F.col("v"), F.col("g"))
-    cross = (1 - COLOUR_SHARE) * vectors.cosine(cnn("v"), cnn("g")) + COLOUR_SHARE * vectors.cosine(colour("v"), colour("g"))
-    sim = F.when(F.col("own") == F.col("camera"), plain).otherwise(cross)
-    per = asked.join(stored, "block").where(~F.col("vec_id").eqNullSafe(F.col("other"))).groupBy("vec_id", "label").agg(F.max(F.when(F.col("single"), sim)).alias("best"), F.max(F.when(~F.col("single"), sim)).alias("mean"), F.count_if("single").alias("n"))
+    means = vectors.mean_vectors(unit.withColumn("key", F.struct("label", "camera")), "key", "v").select("key.label", "key.camera", F.col("mean").alias("g"))
+    look = lambda rows, other, single, v: rows.select(other.cast("long").alias("other"), F.col("label").cast("long").alias("label"), F.col("camera").cast("long").alias("camera"), F.lit(single).alias("single"), F.col(v).alias("g"))
+    stored = look(unit, F.col("vec_id"), True, "v").union(look(means, F.lit(None), False, "g"))
+    asked = unit.where("vec_id % 20 = 0").select(F.col("vec_id").cast("long").alias("query"), F.col("camera").cast("long").alias("own"), "v")
+    per = vectors.best_and_mean_looks(asked, stored, COLOURS, COLOUR_SHARE).withColumnRenamed("query", "vec_id").withColumn("label", F.col("label").cast("int"))
     return per.select("vec_id", "label", F.round(F.when(F.col("n") < 2, F.col("best")).otherwise(0.5 * F.col("best") + 0.5 * F.col("mean")), 6).alias("similarity"))
 
 

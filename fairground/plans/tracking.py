@@ -112,10 +112,9 @@ def v06_product_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     possible or unknown by likeness and by the gap to the runner-up."""
     rows = vectors.valid(table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")), "v", 64)
     rows = rows.withColumn("v", vectors.normalised(F.col("v")))
-    n = vectors.blocks_of(rows, 64)
-    gallery = rows.where("label IS NOT NULL").select(F.col("vec_id").alias("other"), "label", F.col("v").alias("g"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"))
-    asked = rows.where("vec_id % 20 = 0").select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
-    per = asked.join(gallery, "block").where("vec_id <> other").groupBy("vec_id", "label").agg(F.round(F.max(vectors.dot(F.col("v"), F.col("g"))), 6).alias("score"))
+    gallery = rows.where("label IS NOT NULL").select(F.col("vec_id").alias("other"), F.col("label").alias("product"), F.col("v").alias("g"))
+    met = vectors.best_looks(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "v"), gallery)
+    per = met.select(F.col("query").alias("vec_id"), F.col("product").cast("int").alias("label"), F.round("score", 6).alias("score"))
     by = W.partitionBy("vec_id").orderBy(F.desc("score"), F.desc("label"))
     top = per.withColumn("next", F.coalesce(F.lead("score").over(by), F.lit(0.0))).withColumn("rank", F.row_number().over(by)).where("rank = 1")
     sure = (F.col("score") >= KNOWN) & (F.col("score") - F.col("next") >= MARGIN)
