@@ -182,7 +182,7 @@ def e01_detection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     their frame, the best overlap first."""
     from fairground.plans import tracking
 
-    pairs = decisions.greedy_pairs(tracking.j13_iou_pairs(spark, sf_dir).where(F.col("iou") >= RIGHT_IOU)).groupBy("camera_id").agg(F.count("*").alias("tp"))
+    pairs = tracking.greedy_boxes(spark, sf_dir, RIGHT_IOU).groupBy("camera_id").agg(F.count("*").alias("tp"))
     boxes = lambda truth, name: tracking._boxes(spark, sf_dir, truth).groupBy("camera_id").agg(F.count("*").alias(name))
     rows = boxes(True, "n_true").join(boxes(False, "n_told"), "camera_id", "full").join(pairs, "camera_id", "left").na.fill(0)
     share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)

@@ -38,7 +38,12 @@ def j13_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j14_greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.greedy_pairs(j13_iou_pairs(spark, sf_dir))
+    return greedy_boxes(spark, sf_dir, MATCH_IOU)
+
+
+def greedy_boxes(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    true, told = (_boxes(spark, sf_dir, truth).select("camera_id", "frame", "id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 3).alias("x2"), (F.col("y") + 3).alias("y2")) for truth in (True, False))
+    return D.greedy_boxes(true, told, least)
 
 
 def q40_tracking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
