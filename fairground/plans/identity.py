@@ -21,6 +21,8 @@ GALLERY, ALONE = (0.45, 0.10), 0.65
 FASTEST, SLOWEST, PAUSE = 2.0, 0.35, 5.0
 #: Share of the colours in a likeness across cameras, and how many components they are.
 COLOUR_SHARE, COLOURS = 0.35, 16
+#: Rows of a task that sorts them by person.
+PER_TASK = 250_000
 
 
 def _minutes():
@@ -185,17 +187,23 @@ def t24_interest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A person's interest in a product starts, and ends once the person is seen again and the product
     hasn't been with them for three seconds; who isn't seen again ends nothing."""
     rows = B.events(spark, sf_dir).select(F.col("user_id").alias("person"), (F.col("k") % 4).alias("product"), F.round(_minutes(), 6).alias("at"), "event_id")
-    micros = F.round(F.col("at") * 1_000_000).cast("long")
-    again = F.min("at").over(W.partitionBy("person").orderBy(micros).rangeBetween(3_000_001, W.unboundedFollowing))
+    return interest_events(rows)
+
+
+def interest_events(rows: DataFrame) -> DataFrame:
+    """rows: person, product, at, event_id. Persons are dealt into tasks of about PER_TASK rows."""
+    rows = rows.repartition(max(1, -(-rows.count() // PER_TASK)), "person")
+    # from the latest on, so that the frame only grows
+    back = -F.round(F.col("at") * 1_000_000).cast("long")
+    again = F.min("at").over(W.partitionBy("person").orderBy(back).rangeBetween(W.unboundedPreceding, -3_000_001))
     by = W.partitionBy("person", "product").orderBy("at", "event_id")
     rows = rows.withColumn("again", again).withColumn("before", F.lag("at").over(by)).withColumn("next", F.lead("at").over(by))
     # the pair is over if the person came again, without the product, before it did
     rows = rows.withColumn("ends", F.col("again").isNotNull() & (F.col("next").isNull() | (F.col("next") > F.col("again"))))
     rows = rows.withColumn("starts", F.coalesce(F.lag("ends").over(by), F.lit(True)))
-    started = rows.where("starts").select("person", "product", F.lit("STARTED").alias("event"), F.col("at").alias("ts"))
-    updated = rows.where("NOT starts").select("person", "product", F.lit("UPDATED"), "at")
-    ended = rows.where("ends").select("person", "product", F.lit("ENDED"), "again")
-    return started.union(updated).union(ended)
+    begun = F.struct(F.when(F.col("starts"), "STARTED").otherwise("UPDATED").alias("event"), F.col("at").alias("ts"))
+    ended = F.when(F.col("ends"), F.struct(F.lit("ENDED").alias("event"), F.col("again").alias("ts")))
+    return rows.select("person", "product", F.inline(F.array_compact(F.array(begun, ended))))
 
 
 def q42_interest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
