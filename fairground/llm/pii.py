@@ -23,8 +23,6 @@ PATTERNS = {
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
-#: Characters on either side of a value in which terms are counted with it.
-CONTEXT = 200
 #: A term is sensitive if it leaves at most so many bits of the value's information, and at most that share
 #: of it: it is removed up to LEFT_BITS, and generalised to its first letter up to VAGUE_BITS. Estimates
 #: hold DOUBT of a text without the value: a term in one text is no evidence, two are.
@@ -96,24 +94,16 @@ def _without_emails(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
 
 
-def _around(kind: str):
-    """Of a match and its place: its protected form, the text around it, whether it is valid."""
+def _value(kind: str):
+    """Of a match: its protected form, and whether it is valid."""
+    return lambda m: F.struct(_protected(kind, m).alias("entity"), _valid(kind, m).alias("valid"))
 
-    def around(m: Column, i: Column) -> Column:
-        before, after = F.get(f"{kind}_p", i), F.get(f"{kind}_p", i + 1)
-        # a letter at the edge of the context may belong to a longer word
-        head = F.when(F.length(before) > CONTEXT, F.regexp_replace(F.right(before, F.lit(CONTEXT)), r"^\p{L}+", "")).otherwise(before)
-        tail = F.when(F.length(after) > CONTEXT, F.regexp_replace(F.left(after, F.lit(CONTEXT)), r"\p{L}+$", "")).otherwise(after)
-        return F.struct(_protected(kind, m).alias("entity"), F.concat_ws(" ", head, tail).alias("context"), _valid(kind, m).alias("valid"))
 
-    return around
-
-
-def _contexts(rows: DataFrame) -> DataFrame:
-    """h, entity, context: every valid value with the text around it."""
-    every = [F.filter(F.transform(f"{kind}_m", _around(kind)), lambda x: x["valid"]) for kind in PATTERNS]
+def _holders(rows: DataFrame) -> DataFrame:
+    """entity, h: every valid value and the texts that hold it, each once."""
+    every = [F.filter(F.transform(f"{kind}_m", _value(kind)), lambda x: x["valid"]) for kind in PATTERNS]
     some = F.greatest(*[F.size(f"{kind}_m") for kind in PATTERNS]) > 0
-    return rows.where(some).select("h", F.inline(F.concat(*every))).select("h", "entity", "context")
+    return rows.where(some).select("h", F.inline(F.concat(*every))).select("entity", "h").distinct()
 
 
 def _marked(kind: str):
@@ -131,46 +121,54 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text", left_bits: float =
     """term, entity, near, documents, left_bits, gain_bits, removed: the terms that give a value away, and
     whether so clearly that they are removed (else generalised).
 
-    Counts are of different texts: with the term and the value, with the term, with the value. A term
-    is a candidate for a value once it stands near it; its other places count wherever they are."""
+    Counts are of whole and different texts: with the term and the value, with the term, with the value.
+    Wherever a term stands in the texts of a value, it is a candidate."""
     text = F.coalesce(named(docs, text_col).cast("string"), F.lit(""))
     rows = docs.select(text.alias("text_"), F.xxhash64(text).alias("h"))
-    contexts = scratch(_contexts(_with_matches(rows)), "contexts")
+    holders = scratch(_holders(_with_matches(rows)), "holders")
     total = rows.select("h").distinct().count()
-    holders = contexts.select("entity", "h").distinct()
     entities = holders.groupBy("entity").agg(F.count("*").alias("with_entity"))
     # what a term may leave: of a value with less than one bit of its own, the same share of that
     entities = entities.withColumn("own_bits", F.log2(F.lit(float(total)) / F.col("with_entity")))
     entities = entities.withColumn("allowed", F.lit(max(left_bits, vague_bits)) * F.least(F.lit(1.0), "own_bits"))
     left = lambda together, documents: F.log2((documents + F.lit(DOUBT)) / together)
-    # values for which no term can pass go: none leaves less than one that stands in just their texts (or, to be
-    # generalised, in the fewest that this takes)
     share = left_bits / max(left_bits, vague_bits)
-    least = F.greatest("with_entity", F.lit(VAGUE_TEXTS))
-    some = (left(F.col("with_entity"), F.col("with_entity")) <= share * F.col("allowed")) | (left(F.col("with_entity"), least) <= F.col("allowed"))
-    entities = scratch(entities.where(some), "entities")
-    wanted = contexts.join(entities.select("entity").hint("merge"), "entity")
-    pairs = wanted.select("entity", F.explode(_terms(_without_emails(F.col("context")))).alias("term")).distinct()
-    pairs = scratch(pairs, "terms")
-    # a term that a slice of the texts already holds too often for a value can't pass, however many more hold it
-    _, small = _small(pairs.select("term").distinct(), ["term"])
+
+    def may_pass(together: Column, documents: Column, allowed: Column) -> Column:
+        """Whether a term of at least so many texts, of them at most so many with the value, can be sensitive
+        (to be generalised, it takes the fewest texts for that)."""
+        return (left(together, documents) <= share * allowed) | (left(together, F.greatest(documents, F.lit(VAGUE_TEXTS))) <= allowed)
+
+    # values for which no term can pass go: none leaves less than one that stands in just their texts
+    entities = scratch(entities.where(may_pass(F.col("with_entity"), F.col("with_entity"), F.col("allowed"))), "entities")
+    most, widest = entities.agg(F.max("with_entity"), F.max("allowed")).first()
+    none = docs.sparkSession.createDataFrame([], "term string, entity string, near double, documents double, left_bits double, gain_bits double, removed boolean")
+    if most is None:
+        return none
+    wanted = scratch(holders.join(entities.hint("merge"), "entity"), "wanted")
+    texts = wanted.select("h").distinct()
+    _, small = _small(texts, [])
+    near_words = rows.join(small(texts), "h", "left_semi").select("h", F.explode(_terms(_without_emails(F.col("text_")))).alias("term"))
+    near_words = scratch(near_words.distinct(), "near_words")
+    # a term that a slice of the texts already holds too often can't pass, however many more hold it, nor one that too
+    # few texts with a value hold
+    in_texts = scratch(near_words.groupBy("term").agg(F.count("*").alias("in_texts")), "in_texts")
+    _, small = _small(in_texts, ["term"])
     part = rows.where(F.pmod("h", F.lit(SLICES)) == 0).select("h", F.explode(_terms(_without_emails(F.col("text_")))).alias("term"))
-    part = part.join(small(pairs.select("term").distinct()), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("least"))
-    bound = pairs.join(part, "term", "left").join(entities, "entity")
-    frequent = (F.col("least") > F.col("with_entity")) & (left(F.col("with_entity"), F.col("least")) > F.col("allowed"))
-    pairs = scratch(bound.where(~F.coalesce(frequent, F.lit(False))).select("entity", "term"), "rare_terms")
+    part = part.join(small(in_texts.select("term")), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("in_slice"))
+    bound = in_texts.join(part.hint("merge"), "term", "left").withColumn("least", F.greatest("in_texts", "in_slice"))
+    bound = scratch(bound.where(may_pass(F.least("in_texts", F.lit(most)), F.col("least"), F.lit(widest))).select("term", "least"), "bound")
+    _, small = _small(bound, ["term"])
+    met = near_words.join(small(bound), "term").join(wanted.hint("merge"), "h")
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("near"), *(F.first(c).alias(c) for c in ("least", "own_bits", "allowed")))
+    pairs = scratch(pairs.where(may_pass(F.col("near"), F.col("least"), F.col("allowed"))).drop("least"), "pairs")
     candidates = pairs.select("term").distinct()
     held, small = _small(candidates, ["term"])
     if held == 0:
-        return pairs.select("term", "entity", *(F.lit(0.0).alias(c) for c in ("near", "documents", "left_bits", "gain_bits")), F.lit(True).alias("removed")).limit(0)
+        return none
     words = rows.select("h", F.explode(_terms(_without_emails(F.col("text_")))).alias("term")).join(small(candidates), "term", "left_semi")
-    words = scratch(words.distinct(), "words")
-    likely = pairs.join(words.groupBy("term").agg(F.count("*").alias("documents")), "term").join(entities, "entity")
-    likely = scratch(likely.where(left(F.least("documents", "with_entity"), F.col("documents")) <= F.col("allowed")), "likely")
-    _, small = _small(likely, ["term", "entity"])
-    met = words.join(small(likely.select("term", "entity")), "term").join(holders.hint("merge"), ["entity", "h"])
-    together = met.groupBy("entity", "term").agg(F.count("*").alias("near"))
-    scored = likely.join(together, ["entity", "term"]).withColumn("left_bits", left(F.col("near"), F.col("documents")))
+    documents = words.distinct().groupBy("term").agg(F.count("*").alias("documents"))
+    scored = pairs.join(documents, "term").withColumn("left_bits", left(F.col("near"), F.col("documents")))
     scored = scored.withColumn("removed", F.col("left_bits") <= share * F.col("allowed"))
     kept = scored.where(F.col("removed") | ((F.col("left_bits") <= F.col("allowed")) & (F.col("documents") >= VAGUE_TEXTS)))
     return kept.select("term", "entity", F.col("near").cast("double").alias("near"), F.col("documents").cast("double").alias("documents"), "left_bits", (F.col("own_bits") - F.col("left_bits")).alias("gain_bits"), "removed")

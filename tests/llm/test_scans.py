@@ -88,6 +88,18 @@ def test_sensitive_terms_of_hot_and_rare_values(spark):
         assert "Quorvex" in terms and not terms & {"over", "there", "dogs", "lazy"}
 
 
+def test_sensitive_terms_far_from_their_value(spark):
+    """Names that never stand near their address, before and after it, and one text with many values."""
+    filler = "the lazy dogs waited over there while seven others slept "
+    rows = [f"Quorvex {i} {filler * 12} quorvex.k@mail.example.com {filler * 12} Zimbrol" for i in range(6)]
+    rows += [f"{filler} {i}" for i in range(200)] + ["then Quorvex met Zimbrol", " ".join(f"u{i}@mail.example.com" for i in range(50))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {(r.term, r.entity, r.near, r.documents, r.removed) for r in pii.sensitive_terms(docs).collect()}
+    assert found == {(t, "email:quorvex.k@mail.example.com", 6.0, 7.0, False) for t in ("Quorvex", "Zimbrol")}
+    assert {(t, e, r) for t, e, _, _, r in found} == plain_terms(rows)
+    assert pii.sanitise(docs).where("doc_id = 206").first().sanitised == "then [Q.] met [Z.]"
+
+
 def plain_terms(rows):
     """The whole rule on one machine: texts with a term, texts with a value, both near one another."""
     texts = {t or "" for t in rows}
