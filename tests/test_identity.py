@@ -85,6 +85,44 @@ def test_identity_assignment():
     assert go([track(1, 0.0, 0.0), track(2, 5.0, 1.2)])[1][1] == "UNCERTAIN"
 
 
+def plain_assign_step(state, row):
+    """The whole rule, one person after another."""
+    number, persons = state
+    persons = [p for p in persons if row["ts"] - p["ts"] <= I.FORGET]
+    scores = [I._score(row, p) for p in persons]
+    best = max(range(len(scores)), key=lambda i: (scores[i], -i), default=None)
+    score = round(scores[best], 6) if best is not None else 0.0
+    if best is not None and score >= I.SURE:
+        name, status, linked = persons[best]["name"], "MATCH", None
+        persons = [{**p, "ts": row["ts"], "camera_id": row["camera_id"]} if i == best else p for i, p in enumerate(persons)]
+    else:
+        name, status = f"PERSON-{number:04d}", "UNCERTAIN" if score >= I.PERHAPS else "NEW"
+        linked = persons[best]["name"] if status == "UNCERTAIN" else None
+        number += 1
+        persons = [*persons, {**{c: row[c] for c in ("look", "clothing", "body", "ts", "camera_id")}, "name": name}]
+    return (number, persons), [{"booth_id": row["booth_id"], "track": row["track"], "person": name, "status": status, "score": score, "linked": linked}]
+
+
+def test_assignment_compares_all_at_once(monkeypatch):
+    """The same persons, scores and links as one after another; few of them are scored on their own."""
+    asked, score = [], I._score
+    monkeypatch.setattr(I, "_score", lambda *a: asked.append(0) or score(*a))
+    for seed in range(12):
+        rng = random.Random(seed)
+        rows, ts = [], 0.0
+        for i in range(400):
+            ts += rng.choice([0.0, 1.0, 2.5, 40.0 if seed % 2 else 7.0])
+            angle = rng.randrange(40) / 6
+            look = None if rng.random() < 0.1 else [] if rng.random() < 0.02 else [math.cos(angle), math.sin(angle)]
+            rows.append({"booth_id": 1, "track": i, "camera_id": rng.randrange(3), "ts": ts, "look": look, "clothing": rng.choice([None, 0, 1, 2]), "body": rng.choice([None, "a", "b"])})
+        plain = run(plain_assign_step, (1, []), rows)
+        before = len(asked)
+        asked.clear()
+        assert run(I.assign_step, (1, []), rows) == plain and {e["status"] for e in plain} == {"MATCH", "NEW", "UNCERTAIN"}
+        assert len(asked) < before / 5
+        asked.clear()
+
+
 def test_evidence():
     rows = [{"user_id": 1, "ts": float(t), "id": t, "logit": x, "face": True, "weight": 1.0} for t, x in [(0, 9.0), (1, 9.0), (2, -9.0), (3, -9.0), (4, -9.0), (20, 1.0)]]
     got = [(e["label"], round(e["evidence"], 6)) for e in run(I.evidence_step, {"e": 0.0, "n": 0, "faces": 0, "label": None, "ts": None}, rows)]
